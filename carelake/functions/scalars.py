@@ -175,8 +175,10 @@ def total_tokens(tokens_in, tokens_out) -> Column:
 
 
 def request_key(agent, query) -> Column:
-    """Cache key: SHA-256 over the agent and the normalised question."""
-    return F.sha2(F.concat(_c(agent), F.lit("::"), F.lower(F.trim(_c(query)))), 256)
+    """Cache key: SHA-256 over the agent and the normalised question, which is
+    lower-cased and freed of white space at both ends."""
+    stripped = F.regexp_replace(_c(query), r"(?U)^\s+|\s+$", "")
+    return F.sha2(F.concat(_c(agent), F.lit("::"), F.lower(stripped)), 256)
 
 
 def clip_text(col, n: int = ref.CACHED_QUERY_CHARS) -> Column:

@@ -169,7 +169,8 @@ def vw_provider_performance(t: dict[str, DataFrame]) -> DataFrame:
         *PROVIDER_GROUP, "TotalClaims", "TotalBilled", "TotalPaid",
         (F.col("TotalBilled").cast("double") / F.col("TotalClaims")).alias("AvgClaimValue"),
         "DeniedClaims", "ApprovedClaims",
-        (F.col("DeniedClaims").cast("decimal(20,0)") * 100 / F.col("TotalClaims").cast("decimal(20,0)"))
+        # percent to two places, half up, in whole numbers
+        (F.expr("(DeniedClaims * 20000 + TotalClaims) div (2 * TotalClaims)").cast("decimal(12,0)") / 100)
         .cast("decimal(5,2)").alias("DenialRatePct"))
 
 
