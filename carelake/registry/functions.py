@@ -293,9 +293,17 @@ def _(spark, sf):
     return chosen.groupBy("FacilityName").agg(n_rows("labs"))
 
 
-@entry("statement_guard", """SELECT event_id, CASE event_type WHEN 'click' THEN 'stacked statements; blocked keyword'
-    WHEN 'purchase' THEN 'not a SELECT; direct write to dw; DELETE without WHERE' WHEN 'error' THEN 'not a SELECT'
-    ELSE '' END AS reasons, event_type IN ('click', 'purchase', 'error') AS blocked FROM events""")
+@entry("statement_guard", r"""WITH bodies AS (SELECT event_id, upper(regexp_replace(trim(regexp_replace(regexp_replace(
+        sql_text, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'gs')), '(\s*;+)+$', '')) AS b FROM statements),
+    found AS (SELECT event_id, list_filter([
+        CASE WHEN NOT starts_with(b, 'SELECT') THEN 'not a SELECT' END,
+        CASE WHEN contains(b, ';') THEN 'stacked statements' END,
+        CASE WHEN regexp_matches(b, '\b(EXEC|EXECUTE|XP_\w+|SP_\w+|OPENROWSET|OPENQUERY)\b') THEN 'blocked keyword' END,
+        CASE WHEN regexp_matches(b, '\b(INSERT\s+INTO|UPDATE|DELETE\s+FROM|DROP\s+TABLE|ALTER\s+TABLE|TRUNCATE\s+TABLE)\s+DW\.')
+            THEN 'direct write to dw' END,
+        CASE WHEN regexp_matches(b, '\bDELETE\b') AND NOT regexp_matches(b, '\bWHERE\b') THEN 'DELETE without WHERE' END
+        ], lambda x: x IS NOT NULL) AS r FROM bodies)
+    SELECT event_id, array_to_string(r, '; ') AS reasons, len(r) > 0 AS blocked FROM found""")
 def _(spark, sf):
     return pred.statement_guard(td.statement_log(spark, sf), "sql_text").select(
         "event_id", F.concat_ws("; ", "reasons").alias("reasons"), "blocked")

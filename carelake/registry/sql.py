@@ -176,6 +176,9 @@ BLOCKS: dict[str, str] = {
     "access_events": f"""SELECT event_id, {cased('event_type', td.EVENT_PRINCIPALS)} AS principal,
         {listed(td.AUDITED_OBJECTS)}[user_id % {len(td.AUDITED_OBJECTS)} + 1] AS object_name,
         CASE WHEN event_id % 20 = 0 THEN 'INSERT' ELSE 'SELECT' END AS permission FROM events""",
+    "statements": "SELECT event_id, CASE event_type " + " ".join(
+        f"WHEN {text(k)} THEN " + " || event_id || ".join(text(part) for part in v.split("{}"))
+        for k, v in td.STATEMENTS.items()) + " END AS sql_text FROM events",
     "catalog": rows([(s, f"{s}.{o}") for s, names in ref.CATALOG.items() for o in names], "schema_name, object_name"),
     "grants": rows([(p, one, s) for p, many, s in ref.GRANTS for one in many.split()], "principal, permission, scope"),
     "denies": rows([(p, one, s) for p, many, s in ref.DENIES for one in many.split()], "principal, permission, scope"),

@@ -87,19 +87,17 @@ def edi_837(claims: DataFrame, created: str, batch_size: int = 1000) -> DataFram
     control = _padded(F.col("batch"), 9)
     blank = " " * 10
     tail = F.lit(2) + F.col("claims") * width
+    line = lambda at, text: F.struct(at.cast("bigint").alias("position"), text.alias("segment"))
     frame = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("claims")).select(
         "batch",
-        F.explode(F.array(
-            F.struct(F.lit(0).cast("bigint").alias("position"),
-                     _segment("ISA", "00", blank, "00", blank, "ZZ", SENDER, "ZZ", RECEIVER, day[2:], clock,
-                              "^", "00501", control, "0", "P", ":").alias("segment")),
-            F.struct(F.lit(1).cast("bigint"),
-                     _segment("GS", "HC", GROUP_SENDER, GROUP_RECEIVER, day, clock,
-                              F.col("batch").cast("string"), "X", IMPLEMENTATION)),
-            F.struct(tail, _segment("GE", F.col("claims").cast("string"), F.col("batch").cast("string"))),
-            F.struct(tail + 1, _segment("IEA", "1", control)),
-        )).alias("line"),
-    ).select("batch", F.col("line.position").alias("position"), F.col("line.segment").alias("segment"))
+        F.inline(F.array(
+            line(F.lit(0), _segment("ISA", "00", blank, "00", blank, "ZZ", SENDER, "ZZ", RECEIVER, day[2:], clock,
+                                    "^", "00501", control, "0", "P", ":")),
+            line(F.lit(1), _segment("GS", "HC", GROUP_SENDER, GROUP_RECEIVER, day, clock,
+                                    F.col("batch").cast("string"), "X", IMPLEMENTATION)),
+            line(tail, _segment("GE", F.col("claims").cast("string"), F.col("batch").cast("string"))),
+            line(tail + 1, _segment("IEA", "1", control)),
+        )))
     return lines.unionByName(frame)
 
 
