@@ -14,7 +14,7 @@ from carelake.operators.facts import load_fact
 from carelake.operators.keys import max_key
 from carelake.schemas import SURROGATE_KEY, TABLES, empty_table
 from carelake.sources.staging import StagingArea
-from carelake.sources.tables import TableStore
+from carelake.sources.tables import TableStore, append_rows
 
 # Load order: table -> staging entity.
 STEPS = {
@@ -33,6 +33,7 @@ class EtlLog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/dw/ETLLog"
+        self._last: int | None = None
 
     def _rows(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -46,10 +47,14 @@ class EtlLog:
         return self._rows().groupBy("LogID").agg(last.alias("r")).select("LogID", "r.*")
 
     def append(self, *row) -> None:
-        self.spark.createDataFrame([row], TABLES["ETLLog"]).coalesce(1).write.mode("append").parquet(self.path)
+        append_rows(self.spark, self.path, TABLES["ETLLog"], [row])
 
     def next_id(self) -> int:
-        return max_key(self._rows(), "LogID") + 1
+        """One more than the highest id; looked up once per session."""
+        if self._last is None:
+            self._last = max_key(self._rows(), "LogID")
+        self._last += 1
+        return self._last
 
 
 def etl_log(log: DataFrame) -> DataFrame:

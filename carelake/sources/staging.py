@@ -7,10 +7,13 @@ that arrives during a load is not touched by it.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.schemas import STAGING_COLUMNS
+from carelake.sources.tables import append_rows
 
 STATUS_SCHEMA = "entity string, batch string, status string, seq bigint"
 
@@ -70,13 +73,8 @@ class StagingArea:
     def mark(self, entity: str, batches: list[str], ok: bool) -> None:
         if not batches:
             return
-        path, fs = self._fs(self._status)
-        seq = 0
-        if fs.exists(path):
-            seq = self.spark.read.schema(STATUS_SCHEMA).parquet(self._status).agg(
-                F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        rows = [(entity, b, "Processed" if ok else "Error", seq + 1) for b in batches]
-        self.spark.createDataFrame(rows, STATUS_SCHEMA).coalesce(1).write.mode("append").parquet(self._status)
+        status, seq = "Processed" if ok else "Error", time.time_ns()
+        append_rows(self.spark, self._status, STATUS_SCHEMA, [(entity, b, status, seq) for b in batches])
 
 
 def mark_processed(stg: DataFrame, ok: bool, load_ids: DataFrame | None = None) -> DataFrame:

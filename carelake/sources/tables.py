@@ -14,6 +14,11 @@ from carelake.schemas import TABLES, table_schema
 LAYERS = ("stg", "dw", "rpt")
 
 
+def append_rows(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> None:
+    """Append a few driver-side rows, such as log lines, as one file."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
