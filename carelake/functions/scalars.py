@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from carelake import reference_data as ref
 
 TOTAL = "decimal(38,2)"
+INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
 def _c(x) -> Column:
@@ -40,7 +41,8 @@ def typed_cast(col, dtype: str) -> Column:
         return c.try_cast("timestamp_ntz")
     if dtype in ("tinyint", "smallint", "int"):
         base = "smallint" if dtype == "tinyint" else dtype
-        value = F.when(F.trim(c) == "", F.lit(0).cast(base)).otherwise(c.try_cast(base))
+        # a failing integer cast raises inside the engine, so text is tested first
+        value = F.when(c.rlike(INTEGER_TEXT), c.try_cast(base)).when(F.trim(c) == "", F.lit(0).cast(base))
         return F.when(value.between(0, 255), value) if dtype == "tinyint" else value
     return c.try_cast(dtype)
 
