@@ -13,7 +13,7 @@ from carelake.operators.lookups import lookup_or_unknown, resolve_duplicates
 from carelake.schemas import SURROGATE_KEY, TABLES, conform, table_schema
 
 DEFAULT_CALENDAR = ("2019-01-01", "2030-12-31")
-LATEST = ["stg_load_date", "stg_load_id"]
+LATEST = ["stg_load_date"]
 
 
 # --- calendar and static lists ---------------------------------------------------

@@ -73,9 +73,13 @@ class DuplicateKeys(ValueError):
 
 
 def resolve_duplicates(df: DataFrame, key: str, on_duplicate: str, order_by: list[str]) -> DataFrame:
-    """``keep_latest`` keeps one row per key, ``error`` refuses the batch."""
+    """``keep_latest`` keeps one row per key, ``error`` refuses the batch.
+
+    Rows loaded at the same time are told apart by their content, so the
+    choice does not depend on how the batch was read.
+    """
     if on_duplicate == "keep_latest":
-        return keep_latest(df, key, order_by)
+        return keep_latest(df, key, order_by + [c for c in df.columns if c != key and not c.startswith("stg_")])
     if on_duplicate != "error":
         raise ValueError(f"on_duplicate must be 'error' or 'keep_latest', not {on_duplicate!r}")
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).collect()

@@ -121,17 +121,19 @@ class Etl:
                                partition_by="PartitionYear", append=True)
         return seen.get["ins"], 0
 
-    def run_step(self, name: str, as_of) -> None:
+    def run_step(self, name: str, as_of, batches: list[str] | None = None) -> None:
+        """Load the given batches of one table, by default all pending ones."""
         entity, log_id, started = STEPS[name], self.log.next_id(), self.clock()
+        batches = self.staging.pending(entity) if batches is None else batches
+        if not batches:
+            self.log.append(log_id, started, self.clock(), name, 0, 0, 0, "Success", None)
+            return
         self.log.append(log_id, started, None, name, 0, 0, 0, "Running", None)
-        batches = self.staging.pending(entity)
         try:
-            inserted = updated = skipped = 0
-            if batches:
-                stg = self.staging.read_pending(entity, batches)
-                is_fact = name.startswith("Fact")
-                inserted, updated = (self._load_fact if is_fact else self._load_dim)(name, stg, as_of)
-                skipped = stg.count() - inserted if is_fact else 0
+            stg = self.staging.read_pending(entity, batches)
+            is_fact = name.startswith("Fact")
+            inserted, updated = (self._load_fact if is_fact else self._load_dim)(name, stg, as_of)
+            skipped = stg.count() - inserted if is_fact else 0
             self.staging.mark(entity, batches, ok=True)
         except Exception as exc:
             self.staging.mark(entity, batches, ok=False)
@@ -140,10 +142,13 @@ class Etl:
         self.log.append(log_id, started, self.clock(), name, inserted, updated, skipped, "Success", None)
 
     def run_all(self, as_of) -> DataFrame:
-        """All steps in order; a failing step stops the run, earlier ones stay."""
-        started = self.clock()
-        for name in STEPS:
-            self.run_step(name, as_of)
+        """All steps in order; a failing step stops the run, earlier ones stay.
+
+        The run works on the batches pending at its start; later ones wait.
+        """
+        started, pending = self.clock(), self.staging.pending_all()
+        for name, entity in STEPS.items():
+            self.run_step(name, as_of, pending[entity])
         log = self.log.read()
         return run_summary(log.where(F.col("RunStarted") >= F.lit(str(started)).cast("timestamp_ntz")),
                            self.clock(), minutes=24 * 60)

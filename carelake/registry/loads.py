@@ -124,6 +124,10 @@ COUNTS = {"payers": "d_payer", "facilities": "d_facility", "providers": "d_provi
           "claims": "s_claims", "labs": "s_labs", "prescriptions": "s_rx", "financials": "s_fin"}
 
 
+# Rows that reach the warehouse: one per claim and fill id.
+LOADED = {**COUNTS, "claims": "f_claims", "prescriptions": "f_rx"}
+
+
 @entry("load_manifest", " UNION ALL ".join(
     f"SELECT '{RUN_DATE}' AS run_date, '{e}' AS entity, count(*) AS row_count, 'ok' AS status FROM {b}"
     for e, b in COUNTS.items()))
@@ -144,10 +148,10 @@ def _(spark, sf):
 
 
 @entry("reference_dims", """SELECT d.code, d.descr AS description, count(s.claim_id) AS claims FROM dx d
-    LEFT JOIN (SELECT coalesce(x.code, 'UNKNOWN') AS code, claim_id FROM s_claims LEFT JOIN dx x ON x.code = icd) s
+    LEFT JOIN (SELECT coalesce(x.code, 'UNKNOWN') AS code, claim_id FROM f_claims LEFT JOIN dx x ON x.code = icd) s
     USING (code) GROUP BY ALL
     UNION ALL SELECT p.code, p.descr, count(s.claim_id) FROM px p
-    LEFT JOIN (SELECT coalesce(x.code, 'UNKNOWN') AS code, claim_id FROM s_claims LEFT JOIN px x ON x.code = cpt) s
+    LEFT JOIN (SELECT coalesce(x.code, 'UNKNOWN') AS code, claim_id FROM f_claims LEFT JOIN px x ON x.code = cpt) s
     USING (code) GROUP BY ALL""")
 def _(spark, sf):
     claims, lists = warehouse_for(spark, sf)["FactClaims"], dimensions.reference_dims(spark)
@@ -162,9 +166,9 @@ def _(spark, sf):
 
 
 @entry("sentinel_rows", """SELECT 'diagnosis' AS dimension, count(*) FILTER (d.code IS NULL) AS unknown, count(*) AS facts
-    FROM s_claims LEFT JOIN dx d ON d.code = icd
-    UNION ALL SELECT 'procedure', count(*) FILTER (p.code IS NULL), count(*) FROM s_claims LEFT JOIN px p ON p.code = cpt
-    UNION ALL SELECT 'drug', count(*) FILTER (n.code IS NULL), count(*) FROM s_rx s LEFT JOIN ndc n ON n.code = s.code
+    FROM f_claims LEFT JOIN dx d ON d.code = icd
+    UNION ALL SELECT 'procedure', count(*) FILTER (p.code IS NULL), count(*) FROM f_claims LEFT JOIN px p ON p.code = cpt
+    UNION ALL SELECT 'drug', count(*) FILTER (n.code IS NULL), count(*) FROM f_rx s LEFT JOIN ndc n ON n.code = s.code
     UNION ALL SELECT 'patient', count(*) FILTER (p.id IS NULL), count(*) FROM s_labs s LEFT JOIN d_patient p
         ON p.id = s.patient_id""")
 def _(spark, sf):
@@ -250,7 +254,7 @@ def _fact_load(spark: SparkSession, sf: str, name: str, entity: str) -> DataFram
     count(*) AS claims, count(DISTINCT claim_id) AS ids, {total('billed')} AS billed, {total('allowed')} AS allowed,
     {total('paid')} AS paid, count(*) FILTER (d.code IS NULL) AS unknown_diagnosis,
     count(DISTINCT patient_id) AS patients, count(denial_reason) AS denials
-    FROM s_claims LEFT JOIN dx d ON d.code = icd GROUP BY ALL""")
+    FROM f_claims LEFT JOIN dx d ON d.code = icd GROUP BY ALL""")
 def _(spark, sf):
     return _fact_load(spark, sf, "FactClaims", "claims").groupBy(F.col("PartitionYear").alias("year"), "ClaimStatus").agg(
         n_rows("claims"), F.count_distinct("ClaimID").alias("ids"), F.sum("BilledAmount").cast(TOTAL).alias("billed"),
@@ -272,7 +276,7 @@ def _(spark, sf):
 @entry("load_fact_prescriptions", f"""SELECT CAST(year(prescribed) AS INTEGER) AS year, days AS "DaysSupply",
     count(*) AS fills, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(refills_left) AS BIGINT) AS refills_left,
     {total('patient_cost + payer_cost')} AS cost, count(*) FILTER (n.code IS NULL) AS unknown_drug
-    FROM s_rx s LEFT JOIN ndc n ON n.code = s.code GROUP BY ALL""")
+    FROM f_rx s LEFT JOIN ndc n ON n.code = s.code GROUP BY ALL""")
 def _(spark, sf):
     return _fact_load(spark, sf, "FactPrescriptions", "prescriptions").groupBy(
         F.col("PartitionYear").alias("year"), "DaysSupply").agg(
@@ -289,7 +293,7 @@ def _(spark, sf):
         F.count_distinct("CostCenter").alias("cost_centers"))
 
 
-@entry("reload_skips_known_facts", """SELECT count(*) FILTER (s_nationkey = 3) AS inserted FROM s_claims
+@entry("reload_skips_known_facts", """SELECT count(*) FILTER (s_nationkey = 3) AS inserted FROM f_claims
     JOIN supplier ON 'P' || s_suppkey = provider_id""")
 def _(spark, sf):
     wh = warehouse_for(spark, sf)
@@ -301,24 +305,21 @@ def _(spark, sf):
 
 
 @entry("row_count_check", """SELECT 'DimPatient' AS table_name, count(*) + 1 AS row_count FROM d_patient
-    UNION ALL SELECT 'DimProvider', count(*) + 1 FROM d_provider UNION ALL SELECT 'FactClaims', count(*) FROM s_claims
-    UNION ALL SELECT 'FactLabResults', count(*) FROM s_labs UNION ALL SELECT 'FactPrescriptions', count(*) FROM s_rx
+    UNION ALL SELECT 'DimProvider', count(*) + 1 FROM d_provider UNION ALL SELECT 'FactClaims', count(*) FROM f_claims
+    UNION ALL SELECT 'FactLabResults', count(*) FROM s_labs UNION ALL SELECT 'FactPrescriptions', count(*) FROM f_rx
     UNION ALL SELECT 'FactFinancials', count(*) FROM s_fin""")
 def _(spark, sf):
     return quality.row_count_check(warehouse_for(spark, sf).tables(*quality.COUNTED))
 
 
-FACT_OF = {"FactClaims": "s_claims", "FactLabResults": "s_labs", "FactPrescriptions": "s_rx", "FactFinancials": "s_fin"}
-
-
 def _integrity_sql() -> str:
     """The planted faults of ``integrity_report``; every other rule holds."""
     planted = {
-        ("FactClaims", "unique", "ClaimID"): "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lines",
+        ("FactClaims", "unique", "ClaimID"): "SELECT count(*) - count(DISTINCT list_slice(string_split(claim_id, '-'), 1, 2)) FROM f_claims",
         ("FactClaims", "foreign_key", "ProviderKey"):
-            "SELECT count(*) FROM s_claims JOIN d_provider r ON r.id = provider_id WHERE r.specialty = 'Oncology'",
+            "SELECT count(*) FROM f_claims JOIN d_provider r ON r.id = provider_id WHERE r.specialty = 'Oncology'",
         ("FactPrescriptions", "foreign_key", "ProviderKey"):
-            "SELECT count(*) FROM s_rx JOIN d_provider r ON r.id = provider_id WHERE r.specialty = 'Oncology'",
+            "SELECT count(*) FROM f_rx JOIN d_provider r ON r.id = provider_id WHERE r.specialty = 'Oncology'",
         ("FactLabResults", "foreign_key", "ProviderKey"):
             "SELECT count(*) FROM s_labs JOIN d_provider r ON r.id = provider_id WHERE r.specialty = 'Oncology'",
         ("DimPatient", "foreign_key", "PrimaryProviderKey"):
@@ -379,7 +380,8 @@ def _two_loads(spark: SparkSession, sf: str) -> Etl:
 
 CHANGED = "(c_custkey % 7 = 0 OR c_custkey % 11 = 0)"
 LOG_ROWS = " UNION ALL ".join(
-    f"SELECT {i} AS log_id, '{name}' AS entity, count(*) AS ins, 0::BIGINT AS upd, 0::BIGINT AS skip FROM {COUNTS[e]}"
+    f"SELECT {i} AS log_id, '{name}' AS entity, count(*) AS ins, 0::BIGINT AS upd, "
+    f"(SELECT count(*) FROM {COUNTS[e]}) - count(*) AS skip FROM {LOADED[e]}"
     for i, (name, e) in enumerate(STEPS.items(), 1)) + f"""
     UNION ALL SELECT 12, 'DimPatient', (SELECT count(*) FROM customer WHERE {CHANGED})
         + (SELECT count(*) FROM customer WHERE c_custkey % 13 = 0), (SELECT count(*) FROM customer WHERE {CHANGED}), 0
@@ -396,7 +398,7 @@ def _(spark, sf):
 
 
 @entry("etl_log", """SELECT 'Success' AS "Status", 16::BIGINT AS steps, 16::BIGINT AS timed,
-    (SELECT count(*) FROM s_claims) AS claims""")
+    (SELECT count(*) FROM f_claims) AS claims""")
 def _(spark, sf):
     log = etl_log(_two_loads(spark, sf).log.read())
     claims = F.sum(F.when(F.col("Entity") == "FactClaims", F.col("RowsInserted"))).alias("claims")
@@ -427,7 +429,7 @@ def _(spark, sf):
     return part("claims").unionByName(part("patients"))
 
 
-@entry("expired_versions_drop_out", f"""SELECT status AS "ClaimStatus", count(*) AS claims FROM s_claims
+@entry("expired_versions_drop_out", f"""SELECT status AS "ClaimStatus", count(*) AS claims FROM f_claims
     JOIN customer ON 'C' || c_custkey = patient_id WHERE NOT {CHANGED} GROUP BY ALL""")
 def _(spark, sf):
     from carelake.plans.views import VIEW_TABLES, vw_claims_summary
@@ -611,7 +613,7 @@ def _(spark, sf):
 # --- streams ---------------------------------------------------------------------------------------
 
 @entry("landing_stream", " UNION ALL ".join(
-    f"SELECT '{name}' AS \"Entity\", count(*) AS \"RowsInserted\" FROM {COUNTS[e]}" for name, e in STEPS.items()))
+    f"SELECT '{name}' AS \"Entity\", count(*) AS \"RowsInserted\" FROM {LOADED[e]}" for name, e in STEPS.items()))
 def _(spark, sf):
     root = scratch_dir(spark, "stream")
     for entity in ENTITIES:

@@ -79,6 +79,9 @@ BLOCKS: dict[str, str] = {
         CASE WHEN status = 'Approved' THEN CAST(allowed * share AS DECIMAL(10,2)) ELSE CAST(0 AS DECIMAL(10,2)) END
             AS paid,
         CASE WHEN status = 'Denied' THEN reason END AS denial_reason FROM s_claims0""",
+    "f_claims": """SELECT * FROM s_claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY
+        CAST(service_date AS VARCHAR) DESC, CAST(billed AS VARCHAR) DESC, CAST(allowed AS VARCHAR) DESC,
+        CAST(paid AS VARCHAR) DESC, status DESC, coalesce(denial_reason, '') DESC) = 1""",
     "v_claims": f"""SELECT s.claim_id AS "ClaimID", s.status AS "ClaimStatus", s.denial_reason AS "DenialReason",
         s.billed AS "BilledAmount", s.allowed AS "AllowedAmount", s.paid AS "PaidAmount",
         CAST(s.allowed - s.paid AS DECIMAL(11,2)) AS "WriteOffAmount", s.service_date AS "ServiceDate",
@@ -96,7 +99,7 @@ BLOCKS: dict[str, str] = {
         coalesce(c.code, 'UNKNOWN') AS "CPTCode", coalesce(c.descr, 'Unknown / Not Coded') AS "ProcedureDescription",
         CAST(coalesce(c.price, '0.00') AS DECIMAL(10,2)) AS "ProcedureBasePrice",
         CAST(r.years AS SMALLINT) AS years_experience
-        FROM s_claims s LEFT JOIN d_patient p ON p.id = s.patient_id LEFT JOIN d_provider r ON r.id = s.provider_id
+        FROM f_claims s LEFT JOIN d_patient p ON p.id = s.patient_id LEFT JOIN d_provider r ON r.id = s.provider_id
         LEFT JOIN d_facility f ON f.id = s.facility_id LEFT JOIN d_payer y ON y.id = s.payer_id
         LEFT JOIN dx d ON d.code = s.icd LEFT JOIN px c ON c.code = s.cpt""",
     "s_labs": f"""SELECT 'L' || event_id AS lab_id, 'C' || user_id AS patient_id, 'P' || (event_id % 10) AS provider_id,
@@ -128,6 +131,8 @@ BLOCKS: dict[str, str] = {
         odate AS prescribed, odate + CAST(l_linenumber % 7 AS INTEGER) AS filled,
         CAST(round(price * 0.001, 2) AS DECIMAL(10,2)) AS patient_cost,
         CAST(round(price * 0.005, 2) AS DECIMAL(10,2)) AS payer_cost FROM lines""",
+    "f_rx": """SELECT * FROM s_rx QUALIFY row_number() OVER (PARTITION BY rx_id ORDER BY
+        CAST(quantity AS VARCHAR) DESC, CAST(patient_cost AS VARCHAR) DESC, CAST(payer_cost AS VARCHAR) DESC) = 1""",
     "v_rx": f"""SELECT s.rx_id AS "PrescriptionID", s.days AS "DaysSupply", s.quantity AS "Quantity",
         s.refills AS "RefillsAuthorized", s.refills_left AS "RefillsRemaining", s.patient_cost AS "CostToPatient",
         s.payer_cost AS "CostToPayer", CAST(s.patient_cost + s.payer_cost AS DECIMAL(11,2)) AS "TotalCost",
@@ -138,7 +143,7 @@ BLOCKS: dict[str, str] = {
         coalesce(p.name, 'Unknown Unknown') AS "PatientName", p.gender AS "Gender", p.state AS "PatientState",
         coalesce(r.name, 'Unknown Unknown') AS "ProviderName", r.specialty AS "Specialty",
         coalesce(y.name, 'Unknown') AS "PayerName", coalesce(y.type, 'Unknown') AS "PayerType", y.plan AS "PlanType"
-        FROM s_rx s LEFT JOIN d_patient p ON p.id = s.patient_id LEFT JOIN d_provider r ON r.id = s.provider_id
+        FROM f_rx s LEFT JOIN d_patient p ON p.id = s.patient_id LEFT JOIN d_provider r ON r.id = s.provider_id
         LEFT JOIN d_payer y ON y.id = s.payer_id LEFT JOIN ndc n ON n.code = s.code""",
     "s_fin": f"""SELECT *, {cased('kind', td.GL_ACCOUNTS)} AS gl FROM (
         SELECT 'T' || o_orderkey AS tx_id, CAST(o_orderdate AS DATE) AS day,

@@ -95,7 +95,7 @@ def _(spark, sf):
 
 
 @entry("role_playing_dates", """SELECT CAST(year(service_date) AS SMALLINT) AS "ServiceYear",
-    CAST(year(claim_date) AS SMALLINT) AS "ClaimYear", count(*) AS claims FROM s_claims GROUP BY ALL""")
+    CAST(year(claim_date) AS SMALLINT) AS "ClaimYear", count(*) AS claims FROM f_claims GROUP BY ALL""")
 def _(spark, sf):
     wh = warehouse_for(spark, sf)
     service = lookups.role_playing_dates(wh["DimDate"], "ServiceDateKey", {"Year": "ServiceYear"})
@@ -381,8 +381,8 @@ def _(spark, sf):
 
 
 @entry("union_all", """SELECT kind, count(*) AS n, count(DISTINCT patient) AS patients FROM (
-    SELECT 'claim' AS kind, patient_id AS patient FROM s_claims UNION ALL SELECT 'lab', patient_id FROM s_labs
-    UNION ALL SELECT 'fill', patient_id FROM s_rx) GROUP BY kind""")
+    SELECT 'claim' AS kind, patient_id AS patient FROM f_claims UNION ALL SELECT 'lab', patient_id FROM s_labs
+    UNION ALL SELECT 'fill', patient_id FROM f_rx) GROUP BY kind""")
 def _(spark, sf):
     wh = warehouse_for(spark, sf)
     part = lambda name, view: wh.view(view).select(F.lit(name).alias("kind"), F.col("PatientID").alias("patient"))

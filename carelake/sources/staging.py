@@ -54,10 +54,14 @@ class StagingArea:
             log = log.where(F.col("entity") == entity)
         return log.groupBy("entity", "batch").agg(F.max_by("status", "seq").alias("status"))
 
-    def pending(self, entity: str) -> list[str]:
+    def pending_all(self) -> dict[str, list[str]]:
+        """Pending batches of every entity, from one look at the statuses."""
         # one row per batch ever staged: folder metadata, not data
-        done = {r.batch for r in self.statuses(entity).where(F.col("status") != "Pending").collect()}
-        return [b for b in self.batches(entity) if b not in done]
+        done = {(r.entity, r.batch) for r in self.statuses().where(F.col("status") != "Pending").collect()}
+        return {e: [b for b in self.batches(e) if (e, b) not in done] for e in STAGING_COLUMNS}
+
+    def pending(self, entity: str) -> list[str]:
+        return self.pending_all()[entity]
 
     def read_pending(self, entity: str, batches: list[str]) -> DataFrame:
         paths = [f"{self.root}/{entity}/batch={b}" for b in batches]

@@ -1,26 +1,14 @@
 """Shapes of physical plans that must hold whatever the data size."""
 
-import pytest
-
-import __spark_entry__ as spark_entry
 from carelake.plans import procedures as proc
 
-PYTHON_TASKS = {"semantic_candidate", "best_match_per_request"}
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in spark_entry.queries() if not n.startswith(("etl", "landing", "latest"))])
-def test_no_cross_join_and_no_python_rows(name, spark, sf):
-    text = plan(spark_entry.queries()[name](spark, sf))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name not in PYTHON_TASKS:
-        assert "Python" not in text and "Pandas" not in text
-
-
-def test_date_filter_prunes_years_and_reaches_the_scan(wh):
+def test_date_filter_prunes_years_and_reaches_the_scan(spark, wh):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     text = plan(proc.get_claims_summary(wh.view("vw_ClaimsSummary"), "1997-03-01", "1998-10-31", "Medicare"))
     assert "TakeOrderedAndProject" in text
     assert "PartitionFilters: [isnotnull(ServiceYear" in text and "ServiceYear#" in text

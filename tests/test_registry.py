@@ -6,6 +6,7 @@ import __spark_entry__ as spark_entry
 from tools.check import compare, connect
 
 ORACLES = spark_entry.oracle_sql()
+PYTHON_TASKS = {"semantic_candidate", "best_match_per_request"}
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,9 @@ def con(sf):
 @pytest.mark.parametrize("name", list(spark_entry.queries()))
 def test_query_matches_sql(name, spark, sf, con):
     df = spark_entry.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert name in PYTHON_TASKS or "Python" not in plan and "Pandas" not in plan
     if name in ORACLES:
         assert compare(con, df, ORACLES[name]) == ""
     else:
