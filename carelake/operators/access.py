@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake import reference_data as ref
+from carelake.schemas import local_rows
 
 _RULE = "principal string, permissions string, scope string"
 
@@ -13,8 +14,8 @@ _RULE = "principal string, permissions string, scope string"
 def policy_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Grants, denies and the object catalog as small tables."""
     objects = [(s, f"{s}.{o}") for s, names in ref.CATALOG.items() for o in names]
-    return (spark.createDataFrame(ref.GRANTS, _RULE), spark.createDataFrame(ref.DENIES, _RULE),
-            spark.createDataFrame(objects, "schema_name string, object_name string"))
+    return (local_rows(spark, ref.GRANTS, _RULE), local_rows(spark, ref.DENIES, _RULE),
+            local_rows(spark, objects, "schema_name string, object_name string"))
 
 
 def _expanded(rules: DataFrame, catalog: DataFrame) -> DataFrame:

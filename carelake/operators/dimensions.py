@@ -10,7 +10,7 @@ from carelake.functions.predicates import _instant, pending_only
 from carelake.functions.scalars import blank_to_null, date_parts, full_name, typed_cast
 from carelake.operators.keys import max_key, surrogate_keys
 from carelake.operators.lookups import lookup_or_unknown, resolve_duplicates
-from carelake.schemas import SURROGATE_KEY, TABLES, conform, table_schema
+from carelake.schemas import SURROGATE_KEY, TABLES, conform, local_rows, table_schema
 
 DEFAULT_CALENDAR = ("2019-01-01", "2030-12-31")
 LATEST = ["stg_load_date"]
@@ -67,7 +67,7 @@ def reference_dims(spark: SparkSession) -> dict[str, DataFrame]:
         "DimDrug": [(i, *r) for i, r in enumerate(ref.DRUGS, 1)],
     }
     raw = {"DimProcedure": "ProcedureKey bigint, CPTCode string, Description string, BasePrice string"}
-    return {n: conform(spark.createDataFrame(r, raw.get(n, TABLES[n])), n) for n, r in rows.items()}
+    return {n: conform(local_rows(spark, r, raw.get(n, TABLES[n])), n) for n, r in rows.items()}
 
 
 # --- type 1 ------------------------------------------------------------------------

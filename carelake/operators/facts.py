@@ -13,6 +13,8 @@ from carelake.operators.keys import max_key, one_pass_keys
 from carelake.operators.lookups import anti_existing, lookup_or_unknown, resolve_duplicates
 from carelake.schemas import SURROGATE_KEY, conform
 
+CODE_LISTS = ("DimDiagnosis", "DimProcedure", "DimDrug")
+
 # staging id column -> (dimension, natural id, surrogate key)
 LOOKUPS = {
     "FactClaims": {
@@ -107,14 +109,17 @@ def new_fact_rows(name: str, stg: DataFrame, fact: DataFrame, dims: dict[str, Da
     """The rows a load appends, without surrogate key."""
     staging_id, natural_id, part_key, columns = SPECS[name]
     batch = resolve_duplicates(pending_only(stg), staging_id, on_duplicate, LATEST)
-    rows = anti_existing(batch, fact, staging_id, natural_id)
+    fresh = anti_existing(batch, fact, staging_id, natural_id)
+    # typed and trimmed first: the lookups below move no staging text but the ids
+    cast = fresh.select(
+        F.col(staging_id).alias(natural_id), *[F.col(c) for c in LOOKUPS[name]],
+        *[c.alias(n) for n, c in columns().items()],
+        typed_cast("created_at", "datetime").alias("CreatedAt"), _instant(as_of).alias("DWLoadedAt"))
     for id_col, (dim, dim_id, key) in LOOKUPS[name].items():
         side = current_only(dims[dim]) if dim == "DimPatient" else dims[dim]
-        rows = lookup_or_unknown(rows, side, id_col, dim_id, key, ci=ci)
-    keys = [key for _, _, key in LOOKUPS[name].values()]
-    cast = rows.select(
-        F.col(staging_id).alias(natural_id), *keys, *[c.alias(n) for n, c in columns().items()],
-        typed_cast("created_at", "datetime").alias("CreatedAt"), _instant(as_of).alias("DWLoadedAt"))
+        # the code lists are of fixed length
+        side = F.broadcast(side) if dim in CODE_LISTS else side
+        cast = lookup_or_unknown(cast, side, id_col, dim_id, key, ci=ci).drop(id_col)
     date_keys = [c for c in cast.columns if c.endswith("DateKey")]
     known = _known_dates(cast, dims["DimDate"], date_keys)
     return known.withColumn("PartitionYear", F.floor(F.col(part_key) / 10000).cast("int"))

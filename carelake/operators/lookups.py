@@ -26,7 +26,7 @@ def lookup_or_unknown(df: DataFrame, dim: DataFrame, id_col: str, dim_id: str, k
                       out: str | None = None, unknown: int = ref.UNKNOWN_KEY, ci: bool = False) -> DataFrame:
     """Surrogate key of a natural id; the unknown member when there is none."""
     side = dim.select(F.col(dim_id).alias("_lookup_id"), F.col(key).alias("_lookup_key"))
-    joined = df.join(side, same_text(df[id_col], side["_lookup_id"], ci), "left")
+    joined = df.join(side, same_text(id_col, "_lookup_id", ci), "left")
     found = F.coalesce(F.col("_lookup_key"), F.lit(unknown).cast("bigint"))
     return joined.withColumn(out or key, found).drop("_lookup_id", "_lookup_key")
 

@@ -9,13 +9,13 @@ from carelake import reference_data as ref
 from carelake.functions.predicates import optional_filters
 from carelake.functions.scalars import total_tokens
 from carelake.operators.keys import max_key, one_pass_keys
-from carelake.schemas import conform
+from carelake.schemas import conform, local_rows
 
 
 def budget_table(spark: SparkSession) -> DataFrame:
     """Configured token budget and cache minutes per agent."""
-    return spark.createDataFrame(
-        [(n, b, m) for n, _, b, m in ref.AGENTS], "AgentName string, token_budget bigint, cache_ttl_minutes int")
+    return local_rows(spark, [(n, b, m) for n, _, b, m in ref.AGENTS],
+                      "AgentName string, token_budget bigint, cache_ttl_minutes int")
 
 
 def usage_record(log: DataFrame, rows: DataFrame, as_of: str | None = None) -> DataFrame:

@@ -104,14 +104,15 @@ def claims_crosstab(claims: DataFrame, **filters) -> DataFrame:
     The total lines carry ``Total`` in the column they sum over, and every
     line has its billed and paid totals and denial rate.
     """
-    df = _claims_where(claims, **filters)
-    denied = F.count_if(F.col("ClaimStatus") == "Denied")
-    n = F.count(F.lit(1))
-    label = lambda c: F.when(F.grouping(c) == 1, "Total").otherwise(F.col(c)).alias(c)
-    return df.cube("ClaimStatus", "PayerType").agg(
-        label("ClaimStatus").alias("Status"), label("PayerType").alias("Payer"),
-        n.alias("Claims"), F.sum("BilledAmount").cast(TOTAL).alias("TotalBilled"),
-        F.sum("PaidAmount").cast(TOTAL).alias("TotalPaid"), (safe_divide(denied, n) * 100).alias("DenialRatePct"),
+    cells = _claims_where(claims, **filters).groupBy("ClaimStatus", "PayerType").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("BilledAmount").alias("billed"), F.sum("PaidAmount").alias("paid"))
+    n = F.sum("n")
+    denied = F.coalesce(F.sum(F.when(F.col("ClaimStatus") == "Denied", F.col("n"))), F.lit(0))
+    label = lambda c: F.when(F.grouping(c) == 1, "Total").otherwise(F.col(c))
+    return cells.cube("ClaimStatus", "PayerType").agg(
+        label("ClaimStatus").alias("Status"), label("PayerType").alias("Payer"), n.alias("Claims"),
+        F.sum("billed").cast(TOTAL).alias("TotalBilled"), F.sum("paid").cast(TOTAL).alias("TotalPaid"),
+        (safe_divide(denied, n) * 100).alias("DenialRatePct"),
     ).select("Status", "Payer", "Claims", "TotalBilled", "TotalPaid", "DenialRatePct")
 
 

@@ -133,11 +133,14 @@ def cost_split_by_drug(prescriptions: DataFrame, choices: dict | None = None, n:
 
 
 def date_hierarchy(claims: DataFrame, date_col: str = "ServiceDate") -> DataFrame:
-    """Claim counts drilled year, quarter, month, day; NULL marks a subtotal."""
-    d = F.col(date_col)
-    parts = claims.select(F.year(d).alias("Year"), F.concat(F.lit("Qtr "), F.quarter(d)).alias("Quarter"),
-                          F.date_format(d, "MMMM").alias("Month"), F.dayofmonth(d).alias("Day"))
-    return parts.rollup("Year", "Quarter", "Month", "Day").agg(F.count(F.lit(1)).alias("TotalClaims"))
+    """Claim counts drilled year, quarter, month, day; NULL marks a subtotal.
+
+    Counted per day first, so the subtotals multiply days and not claims.
+    """
+    daily = claims.groupBy(F.col(date_col).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    parts = daily.select(F.year("d").alias("Year"), F.concat(F.lit("Qtr "), F.quarter("d")).alias("Quarter"),
+                         F.date_format("d", "MMMM").alias("Month"), F.dayofmonth("d").alias("Day"), "n")
+    return parts.rollup("Year", "Quarter", "Month", "Day").agg(F.sum("n").alias("TotalClaims"))
 
 
 # --- year comparisons on already aggregated rows ---------------------------------

@@ -6,9 +6,11 @@ surrogate keys are bigint so a table may outgrow 2^31 rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 STAGING_COLUMNS = {
     "payers": ["payer_id", "payer_name", "payer_type", "plan_name", "plan_type",
@@ -137,5 +139,18 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(name)])
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few driver-side rows as a frame whose size the optimizer knows.
+
+    Built from Arrow it is a local relation, so joins with it are broadcast
+    by its statistics and an empty one is folded away.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    data = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(data, schema=arrow), schema)
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[name])
+    return local_rows(spark, [], TABLES[name])

@@ -37,6 +37,9 @@ GROUP_SENDER = "CARELAKE"
 GROUP_RECEIVER = "CLEARINGHS"
 IMPLEMENTATION = "005010X222A1"
 SEGMENTS_PER_CLAIM = 12
+# Staging columns the segments use.
+CLAIM_FIELDS = ["claim_id", "patient_id", "provider_id", "payer_id", "claim_date", "service_date", "icd10_primary",
+                "procedure_code", "billed_amount"]
 
 
 def _padded(col: Column, width: int) -> Column:
@@ -78,7 +81,7 @@ def edi_837(claims: DataFrame, created: str, batch_size: int = 1000) -> DataFram
     stay one row per segment, so nothing larger than a batch is ever grouped.
     """
     day, clock = created.replace("-", "")[:8], created[11:16].replace(":", "")
-    numbered = batch_numbering(claims, "claim_id", batch_size)
+    numbered = batch_numbering(claims.select(*CLAIM_FIELDS), "claim_id", batch_size)
     width = SEGMENTS_PER_CLAIM + 1
     lines = numbered.select(
         "batch", "no", F.posexplode(claim_segments(F.col("no"))).alias("seg", "segment")

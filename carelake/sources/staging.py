@@ -12,7 +12,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.schemas import STAGING_COLUMNS
+from carelake.schemas import STAGING_COLUMNS, local_rows
 from carelake.sources.tables import append_rows
 
 STATUS_SCHEMA = "entity string, batch string, status string, seq bigint"
@@ -48,7 +48,7 @@ class StagingArea:
         """Latest status per batch."""
         path, fs = self._fs(self._status)
         if not fs.exists(path):
-            return self.spark.createDataFrame([], "entity string, batch string, status string")
+            return local_rows(self.spark, [], "entity string, batch string, status string")
         log = self.spark.read.schema(STATUS_SCHEMA).parquet(self._status)
         if entity:
             log = log.where(F.col("entity") == entity)

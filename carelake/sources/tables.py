@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelake.schemas import TABLES, table_schema
+from carelake.schemas import TABLES, local_rows, table_schema
 
 LAYERS = ("stg", "dw", "rpt")
 
 
 def append_rows(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> None:
     """Append a few driver-side rows, such as log lines, as one file."""
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    local_rows(spark, rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
 class TableStore:
