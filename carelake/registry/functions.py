@@ -202,14 +202,14 @@ def _(spark, sf):
 @entry("request_key", r"""SELECT doc_id, sha256(source || '::' || lower(regexp_replace(text,
     '^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+$', '', 'g'))) AS cache_key FROM documents""")
 def _(spark, sf):
-    return td.read(spark, sf, "documents").select("doc_id", fn.request_key("source", "text").alias("cache_key"))
+    return td.spread(spark, sf, "documents").select("doc_id", fn.request_key("source", "text").alias("cache_key"))
 
 
 @entry("clip_text", """SELECT doc_id, length(substr(text, 1, 2000)) AS kept, md5(substr(text, 1, 2000)) AS digest
     FROM documents""")
 def _(spark, sf):
     clipped = fn.clip_text("text")
-    return td.read(spark, sf, "documents").select(
+    return td.spread(spark, sf, "documents").select(
         "doc_id", F.length(clipped).cast("bigint").alias("kept"), F.md5(clipped).alias("digest"))
 
 

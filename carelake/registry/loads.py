@@ -467,7 +467,7 @@ def _(spark, sf):
     CAST(sum("InputTokens" + "OutputTokens") OVER (PARTITION BY "AgentName", "SessionID" ORDER BY "LogID") AS BIGINT)
         AS running_tokens, CAST(budget AS BIGINT) // 100 AS token_budget FROM usage JOIN budgets ON agent = "AgentName")""")
 def _(spark, sf):
-    return usage.budget_crossing(td.usage_log(spark, sf), _small_budgets(spark), chunk_rows=1000)
+    return usage.budget_crossing(td.usage_log(spark, sf), _small_budgets(spark))
 
 
 @entry("usage_record", """SELECT event_type AS "AgentName", count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS "InputTokens",
@@ -502,7 +502,7 @@ SCORES = f"""SELECT r.request_id, a.id, list_dot_product(CAST(r.embedding AS DOU
     PARTITION BY request_id ORDER BY score DESC, id) AS rn FROM ({SCORES})) WHERE rn = 1 AND score >= 0.25""")
 def _(spark, sf):
     best = cache.semantic_candidate(td.cache_requests(spark, sf), td.answer_cache(spark, sf), td.CACHE_AS_OF,
-                                    floor=0.25, block_rows=16)
+                                    floor=0.25)
     return best.select("request_id", "CacheID", F.round("Score", 6).alias("score"), "MatchedQuery", "Response")
 
 
@@ -511,7 +511,7 @@ def _(spark, sf):
 def _(spark, sf):
     from carelake.functions.predicates import unexpired
     live = unexpired(td.answer_cache(spark, sf), td.CACHE_AS_OF)
-    scored = cache.score_blocks(td.cache_requests(spark, sf), live, floor=-1.0, block_rows=20)
+    scored = cache.score_blocks(td.cache_requests(spark, sf), live, floor=-1.0)
     return cache.best_match_per_request(scored).select("request_id", "CacheID", F.round("Score", 6).alias("score"))
 
 
@@ -557,12 +557,12 @@ SCORED = f"SELECT doc_id, CAST({_score_sql('text')} + {_score_sql('source')} AS
 
 @entry("keyword_scores", f"SELECT * FROM ({SCORED}) WHERE score > 0")
 def _(spark, sf):
-    return search.keyword_scores(td.read(spark, sf, "documents"), ["text", "source"], QUERY_TEXT).select("doc_id", "score")
+    return search.keyword_scores(td.spread(spark, sf, "documents"), ["text", "source"], QUERY_TEXT).select("doc_id", "score")
 
 
 @entry("keyword_search", f"SELECT * FROM ({SCORED}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, sf):
-    return search.keyword_search(td.read(spark, sf, "documents"), ["text", "source"], QUERY_TEXT, "doc_id")
+    return search.keyword_search(td.spread(spark, sf, "documents"), ["text", "source"], QUERY_TEXT, "doc_id")
 
 
 PROFILED = {"ClaimID": "string", "ClaimStatus": "string", "DenialReason": "string", "BilledAmount": "decimal(10,2)",
