@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, compression, secrets, simhash, substrings, urltree, warc
+from carelake.llm import bpe, compression, secrets, simhash, substrings, templates, urltree, warc
 from carelake.llm.common import fold, of_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op6_template_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages"))
