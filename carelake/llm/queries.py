@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, compression, secrets, simhash, substrings, templates, urltree, warc
+from carelake.llm import bpe, compression, ppm, secrets, simhash, substrings, templates, urltree, warc
 from carelake.llm.common import fold, of_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = warc.derive(warc.responses(table(spark, sf_dir, "pages"), FETCHED))
     return built.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length",
                         "block_digest", "source_digest", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("source_headers")))).alias("source_headers"), "block")
+
+
+LM_FOLDS = 10
+
+
+@query("op10_ppm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"), ppm.not_in_fold(LM_FOLDS))
