@@ -23,6 +23,7 @@ from re import _parser
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.llm.common import append_columns, of_documents
@@ -179,29 +180,54 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     return with_spans(of_documents(docs, doc_id, text), rules).select("doc_id", "spans")
 
 
+def _finder(rules: tuple[Rule, ...]):
+    """A function from texts to their spans (start, number of the rule, end), sorted."""
+    queries = [trigram_query(r) for r in rules]
+    known = _codes({t for q in queries for term in q for t in term})
+    codes = sorted(known.values())
+    slots = np.zeros(1 << 24, dtype=np.uint16)
+    slots[codes] = np.arange(1, len(codes) + 1)
+    asked = [None if q == ALWAYS else [[known[t] for t in term] for term in q] for q in queries]
+    regexes = [r.regex for r in rules]
+
+    def find(texts):
+        index = Segment(texts, slots, codes)
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for k, (rule, regex, query) in enumerate(zip(rules, regexes, asked)):
+            for i in range(len(texts)) if query is None else index.find(query).tolist():
+                for m in regex.finditer(texts[i]):
+                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                        found[i].append((m.start(), k, m.end()))
+        return [sorted(f) for f in found]
+
+    return find
+
+
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` with its spans in a column ``name``."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
     def make():
-        queries = [trigram_query(r) for r in rules]
-        known = _codes({t for q in queries for term in q for t in term})
-        codes = sorted(known.values())
-        slots = np.zeros(1 << 24, dtype=np.uint16)
-        slots[codes] = np.arange(1, len(codes) + 1)
-        asked = [None if q == ALWAYS else [[known[t] for t in term] for term in q] for q in queries]
-        regexes = [r.regex for r in rules]
-
-        def run(texts):
-            index = Segment(texts, slots, codes)
-            found: list[list] = [[] for _ in texts]
-            for k, (rule, regex, query) in enumerate(zip(rules, regexes, asked)):
-                for i in range(len(texts)) if query is None else index.find(query).tolist():
-                    for m in regex.finditer(texts[i]):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            found[i].append((m.start(), k, m.end()))
-            return [[[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(f)] for f in found]]
-
-        return run
+        find = _finder(rules)
+        return lambda texts: [[[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in f] for f in find(texts)]]
 
     return append_columns(docs, [T.StructField(name, T.ArrayType(span))], make, text)
+
+
+def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
+    """Each span, or run of overlapping spans, becomes ``<kind>`` of the first."""
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``docs`` with all spans of its texts replaced; a null text becomes empty."""
+    def make():
+        find = _finder(rules)
+        return lambda texts: [[redact(t, [(a, rules[k].kind, b) for a, k, b in f]) for t, f in zip(texts, find(texts))]]
+
+    return append_columns(docs, [T.StructField(text, T.StringType())], make, text).select(*[F.col(f"`{c}`") for c in docs.columns])
