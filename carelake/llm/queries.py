@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, compression, pivots, ppm, secrets, simhash, substrings, templates, urltree, warc
+from carelake.llm import bpe, compression, pivots, ppm, secrets, simhash, sql, substrings, templates, urltree, warc
 from carelake.llm.common import fold, of_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", sql.SUBSTRINGS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.deduplicated(table(spark, sf_dir, "documents"), words=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -78,12 +78,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_pivot_search")
+@query("op7_pivot_search", sql.TOP_K)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(50)) == 0, k=5, scale=256)
 
 
-@query("op8_url_filter")
+@query("op8_url_filter", sql.url_filter(urltree.RULES, urltree.Tree()))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages"))
 
@@ -92,11 +92,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 FETCHED = "2024-01-01T00:00:00Z"
 
 
-@query("op9_warc_derivatives")
+@query("op9_warc_derivatives", sql.derivatives(FETCHED))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = warc.derive(warc.responses(table(spark, sf_dir, "pages"), FETCHED))
     return built.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length",
-                        "block_digest", "source_digest", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("source_headers")))).alias("source_headers"), "block")
+                        "block_digest", "source_digest", F.array_join(F.transform(
+                            F.array_sort(F.map_entries("source_headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n").alias("source_headers"), "block")
 
 
 LM_FOLDS = 10
