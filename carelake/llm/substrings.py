@@ -114,7 +114,7 @@ def deduplicated(docs: DataFrame, words: int = 20, doc_id: str = "doc_id", text:
     read = of_documents(docs, doc_id, text)
     named = read.where("doc_id IS NOT NULL")
     live = None
-    for length in ladder(words)[:-1]:
+    for length in ladder(words)[:-1] or [words]:
         tables = [] if live is None else [live]
         source = named if live is None else named.join(live, "doc_id")
         marks = stored(_level(source, length, words), "marks")
