@@ -48,11 +48,24 @@ def runs_of(hashes: np.ndarray, length: int, words: int, live: np.ndarray) -> tu
     return hashes[least[at]], live[at], np.diff(np.concatenate([at, [len(live)]]))
 
 
-def _spread(runs) -> np.ndarray:
-    """Sorted starts of all windows in runs."""
-    if not len(runs):
-        return np.zeros(0, dtype=np.int64)
-    return np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs]))
+class Runs:
+    """The runs of each row of a batch, without a Python object per run."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        self.cuts = np.asarray(column.offsets).tolist()
+        values = column.values
+        self.start, self.n = (np.asarray(values.field(c), dtype=np.int64) for c in ("start", "n"))
+
+    def starts(self, k: int) -> np.ndarray:
+        """Sorted starts of all windows in row ``k``'s runs; none where it has no runs."""
+        a, b = self.cuts[k], self.cuts[k + 1]
+        start, n = self.start[a:b], self.n[a:b]
+        if a == b:
+            return start
+        order = np.argsort(start, kind="stable")
+        start, n = start[order], n[order]
+        out = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return out if (np.diff(out) > 0).all() else np.unique(out)  # rows with one id share their runs
 
 
 def _level(docs: DataFrame, length: int, words: int) -> DataFrame:
@@ -63,14 +76,14 @@ def _level(docs: DataFrame, length: int, words: int) -> DataFrame:
         words_hash, windows = WordHashes(), Windows()
         for batch in steps(batches):
             ids = batch.column("doc_id").to_pylist()
-            live = batch.column("runs").to_pylist() if known else None
+            live = Runs(batch.column("runs")) if known else None
             out: list[tuple] = []
             for k, text in enumerate(texts_of(batch)):
                 tokens = words_of(text)
                 count = len(tokens) - words + 1
                 if count < 1:
                     continue
-                starts = np.arange(count) if live is None else _spread(live[k])
+                starts = np.arange(count) if live is None else live.starts(k)
                 starts = starts[starts < count]  # of another row with this id
                 if len(starts):
                     h, s, n = runs_of(windows.of(words_hash.of(tokens), length), length, words, starts)
@@ -88,11 +101,11 @@ def _full(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         words_hash, windows = WordHashes(), Windows()
         for batch in steps(batches):
-            ids, live = batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()
+            ids, live = batch.column("doc_id").to_pylist(), Runs(batch.column("runs"))
             out = []
             for k, text in enumerate(texts_of(batch)):
                 all_of = windows.of(words_hash.of(words_of(text)), words)
-                starts = _spread(live[k])
+                starts = live.starts(k)
                 own = np.unique(all_of[starts[starts < len(all_of)]])
                 out.append((own, np.full(len(own), ids[k], dtype=np.int64)))
             h, d = (np.concatenate(x) for x in zip(*out))
@@ -133,16 +146,17 @@ def _cut(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         words_hash, windows = WordHashes(), Windows()
         for batch in steps(batches):
-            live, firsts = batch.column("runs").to_pylist(), batch.column("firsts")
+            live, firsts = Runs(batch.column("runs")), batch.column("firsts")
+            cuts, first_hashes = np.asarray(firsts.offsets).tolist(), np.asarray(firsts.values, dtype=np.int64).view(np.uint64)
             n_words, n_removed, kept = [], [], []
             for k, text in enumerate(texts_of(batch)):
                 tokens = words_of(text)
                 gone = 0
-                if live[k]:
-                    starts = _spread(live[k])
-                    starts = starts[starts <= len(tokens) - words]
+                starts = live.starts(k)
+                starts = starts[starts <= len(tokens) - words]
+                if len(starts):
                     hashes = windows.of(words_hash.of(tokens), words)[starts]
-                    own = np.asarray(firsts[k].values if firsts[k].is_valid else [], dtype=np.int64).view(np.uint64)
+                    own = first_hashes[cuts[k]:cuts[k + 1]]
                     stays = np.zeros(len(hashes), dtype=bool)
                     stays[np.unique(hashes, return_index=True)[1]] = True  # the earliest here
                     mask = removed_mask(len(tokens), starts[~(stays & np.isin(hashes, own))], words)
