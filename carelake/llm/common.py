@@ -33,17 +33,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/llm/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once and read back, so its lineage ends here and lost executors lose nothing.
 
-    The shuffle files of the write go when it has ended.
+    The shuffle files of the write go when it has ended.  ``codec``: zstd for large tables of numbers.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     before = spark.conf.get(_CLEAN_SHUFFLES, None)
     spark.conf.set(_CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEAN_SHUFFLES, before)

@@ -102,7 +102,7 @@ def test_lm_scores(spark, sf, docs):
         assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == base[d][:4]
         assert row["base_score"] == pytest.approx(base[d][4])
     short = [(d, t) for d, t in docs if len(t) < 1500]
-    for d, value in plain.ppm_scores(docs, short, 5).items():
+    for d, value in plain.ppm_scores(docs, short, 4).items():
         assert rows[d]["score"] == pytest.approx(value)
 
 
