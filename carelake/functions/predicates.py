@@ -93,7 +93,8 @@ DELETE_ALL = "DELETE without WHERE"
 def statement_reasons(sql) -> Column:
     """Array of reasons why a logged SQL text breaks the read-only rules."""
     bare = F.regexp_replace(F.regexp_replace(_c(sql), "--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    body = F.upper(F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"(\s*;+)+$", ""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = F.upper(trimmed(F.regexp_replace(trimmed(bare), ";+$", "")))
     return F.array_compact(F.array(
         F.when(~body.startswith("SELECT"), NOT_SELECT),
         F.when(body.contains(";"), STACKED),

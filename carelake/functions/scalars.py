@@ -183,7 +183,7 @@ def request_key(agent, query) -> Column:
     return F.sha2(F.concat(_c(agent), F.lit("::"), F.lower(stripped)), 256)
 
 
-def clip_text(col, n: int = ref.CACHED_QUERY_CHARS) -> Column:
+def clip_text(col, n: int) -> Column:
     return F.substring(_c(col), 1, n)
 
 
@@ -209,8 +209,9 @@ def edi_code(col) -> Column:
     return F.regexp_replace(_c(col), r"\.", "")
 
 
-def edi_id(col, n: int) -> Column:
-    return F.substring(_c(col), 1, n)
+def edi_id(col, n: int | None = None) -> Column:
+    """An id as an element: whole, unless the caller asks for its first ``n`` characters."""
+    return _c(col) if n is None else F.substring(_c(col), 1, n)
 
 
 # --- SQL surface ---------------------------------------------------------------

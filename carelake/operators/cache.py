@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carelake import reference_data as ref
 from carelake.functions.predicates import _instant, unexpired
-from carelake.functions.scalars import clip_text, request_key
+from carelake.functions.scalars import request_key
 from carelake.operators.keys import max_key, one_pass_keys
 from carelake.operators.lookups import keep_latest
 from carelake.schemas import conform
@@ -39,7 +39,7 @@ def cache_upsert(cache: DataFrame, entries: DataFrame, as_of, ttl_minutes: int |
     embedding = F.col("Embedding") if "Embedding" in entries.columns else F.lit(None).cast("array<float>")
     order = F.col("entry_no") if "entry_no" in entries.columns else F.xxhash64("Query", "Response")
     rows = entries.select(
-        request_key("AgentName", "Query").alias("CacheKey"), "AgentName", clip_text("Query").alias("Query"),
+        request_key("AgentName", "Query").alias("CacheKey"), "AgentName", "Query",
         "Response", now.alias("CreatedAt"), (now + F.make_dt_interval(mins=minutes)).alias("ExpiresAt"),
         embedding.alias("Embedding"), order.alias("_order"))
     latest = keep_latest(rows, "CacheKey", ["_order"]).drop("_order")

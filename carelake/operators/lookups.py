@@ -26,6 +26,9 @@ def lookup_or_unknown(df: DataFrame, dim: DataFrame, id_col: str, dim_id: str, k
                       out: str | None = None, unknown: int = ref.UNKNOWN_KEY, ci: bool = False) -> DataFrame:
     """Surrogate key of a natural id; the unknown member when there is none."""
     side = dim.select(F.col(dim_id).alias("_lookup_id"), F.col(key).alias("_lookup_key"))
+    if ci:
+        # ids that differ in case only are one id, and its lowest key stands for it
+        side = side.groupBy(F.lower("_lookup_id").alias("_lookup_id")).agg(F.min("_lookup_key").alias("_lookup_key"))
     joined = df.join(side, same_text(id_col, "_lookup_id", ci), "left")
     found = F.coalesce(F.col("_lookup_key"), F.lit(unknown).cast("bigint"))
     return joined.withColumn(out or key, found).drop("_lookup_id", "_lookup_key")
@@ -76,8 +79,11 @@ def resolve_duplicates(df: DataFrame, key: str, on_duplicate: str, order_by: lis
     """``keep_latest`` keeps one row per key, ``error`` refuses the batch.
 
     Rows loaded at the same time are told apart by their content, so the
-    choice does not depend on how the batch was read.
+    choice does not depend on how the batch was read.  Rows without a key are
+    no duplicates of each other and cannot be loaded: they are left out, and
+    the load refuses them.
     """
+    df = df.where(F.col(key).isNotNull())
     if on_duplicate == "keep_latest":
         return keep_latest(df, key, order_by + [c for c in df.columns if c != key and not c.startswith("stg_")])
     if on_duplicate != "error":

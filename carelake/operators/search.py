@@ -37,7 +37,7 @@ def keyword_scores(df: DataFrame, text_cols: list[str], query: str) -> DataFrame
     return df.withColumn("score", total).where(F.col("score") > 0)
 
 
-def keyword_search(df: DataFrame, text_cols: list[str], query: str, id_col: str, top_n: int = 10) -> DataFrame:
+def keyword_search(df: DataFrame, text_cols: list[str], query: str, id_col: str, top_n: int) -> DataFrame:
     """The ``top_n`` best rows: id, score."""
     scored = keyword_scores(df, text_cols, query).select(id_col, "score")
     return scored.orderBy(F.col("score").desc(), id_col).limit(top_n)

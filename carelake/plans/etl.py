@@ -13,8 +13,9 @@ from carelake.operators import dimensions as dims
 from carelake.operators.facts import load_fact
 from carelake.operators.keys import max_key
 from carelake.schemas import SURROGATE_KEY, TABLES, empty_table
+from carelake.sources.landing import without_id
 from carelake.sources.staging import StagingArea
-from carelake.sources.tables import TableStore, append_rows
+from carelake.sources.tables import TableStore, append_rows, by_partition
 
 # Load order: table -> staging entity.
 STEPS = {
@@ -117,7 +118,8 @@ class Etl:
         sides = {t: self.table(t) for t in (*STATIC, "DimPayer", "DimFacility", "DimProvider", "DimPatient")}
         rows = load_fact(name, self.table(name), stg, sides, as_of, on_duplicate=self.on_duplicate)
         seen = Observation()
-        self.store.write_table(rows.observe(seen, F.count(F.lit(1)).alias("ins")), "dw", name,
+        gathered = by_partition(rows, "PartitionYear")  # below the count: an empty shuffle is cut from the plan
+        self.store.write_table(gathered.observe(seen, F.count(F.lit(1)).alias("ins")), "dw", name,
                                partition_by="PartitionYear", append=True)
         return seen.get["ins"], 0
 
@@ -131,13 +133,14 @@ class Etl:
         self.log.append(log_id, started, None, name, 0, 0, 0, "Running", None)
         try:
             stg = self.staging.read_pending(entity, batches)
+            refused = self.staging.reject(without_id(stg, entity), entity, f"run-{log_id:06d}", "no id")
             is_fact = name.startswith("Fact")
             inserted, updated = (self._load_fact if is_fact else self._load_dim)(name, stg, as_of)
-            skipped = stg.count() - inserted if is_fact else 0
+            skipped = stg.count() - inserted if is_fact else refused
             self.staging.mark(entity, batches, ok=True)
         except Exception as exc:
             self.staging.mark(entity, batches, ok=False)
-            self.log.append(log_id, started, self.clock(), name, 0, 0, 0, "Error", str(exc)[:2000])
+            self.log.append(log_id, started, self.clock(), name, 0, 0, 0, "Error", str(exc))
             raise
         self.log.append(log_id, started, self.clock(), name, inserted, updated, skipped, "Success", None)
 

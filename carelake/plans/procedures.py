@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from carelake.functions.predicates import (abnormal_only, date_range, optional_filters, patient_filter)
 from carelake.functions.scalars import TOTAL, safe_divide, timeline_detail_drug, timeline_detail_lab
 
-ROW_CAP = 500
-
 CLAIM_COLUMNS = [
     "ClaimID", "ClaimStatus", "DenialReason", "BilledAmount", "AllowedAmount", "PaidAmount", "WriteOffAmount",
     "ServiceDate", "ServiceYear", "ServiceMonth", "PatientName", "PatientAgeAtService", "PatientState",
@@ -21,6 +19,11 @@ CLAIM_COLUMNS = [
     "DiagnosisDescription", "CPTCode", "ProcedureDescription"]
 
 
+def _first(ordered: DataFrame, top_n: int | None) -> DataFrame:
+    """All rows in order, or as many as the caller asks for."""
+    return ordered if top_n is None else ordered.limit(top_n)
+
+
 def _claims_where(claims: DataFrame, start_date=None, end_date=None, payer_type=None, claim_status=None,
                   state=None) -> DataFrame:
     df = date_range(claims, "ServiceDate", start_date, end_date, year_column="ServiceYear")
@@ -28,9 +31,9 @@ def _claims_where(claims: DataFrame, start_date=None, end_date=None, payer_type=
 
 
 def get_claims_summary(claims: DataFrame, start_date=None, end_date=None, payer_type=None, claim_status=None,
-                       state=None, top_n: int = 100) -> DataFrame:
+                       state=None, top_n: int | None = None) -> DataFrame:
     df = _claims_where(claims, start_date, end_date, payer_type, claim_status, state)
-    return df.select(*CLAIM_COLUMNS).orderBy(F.col("ServiceDate").desc(), "ClaimID").limit(top_n)
+    return _first(df.select(*CLAIM_COLUMNS).orderBy(F.col("ServiceDate").desc(), "ClaimID"), top_n)
 
 
 def get_financial_yoy(financials: DataFrame, start_year=None, end_year=None, facility_id=None) -> DataFrame:
@@ -46,10 +49,10 @@ def get_financial_yoy(financials: DataFrame, start_year=None, end_year=None, fac
 
 
 def get_provider_performance(performance: DataFrame, year=None, specialty=None, state=None,
-                             top_n: int = 50) -> DataFrame:
+                             top_n: int | None = None) -> DataFrame:
     df = optional_filters(performance, equals={"ServiceYear": year, "Specialty": specialty, "FacilityState": state})
-    return df.orderBy(F.col("TotalBilled").desc(), "ProviderID", "FacilityName", "ServiceYear",
-                      "ServiceQuarter").limit(top_n).select(
+    ordered = df.orderBy(F.col("TotalBilled").desc(), "ProviderID", "FacilityName", "ServiceYear", "ServiceQuarter")
+    return _first(ordered, top_n).select(
         "ProviderName", "Specialty", "FacilityName", "FacilityState", "ServiceYear", "ServiceQuarter",
         "TotalClaims", "TotalBilled", "TotalPaid", "AvgClaimValue", "DeniedClaims", "ApprovedClaims",
         "DenialRatePct")
@@ -61,13 +64,13 @@ def _abnormal_where(labs: DataFrame, patient_id=None, start_date=None, end_date=
 
 
 def get_abnormal_labs(labs: DataFrame, patient_id=None, start_date=None, end_date=None, flag=None,
-                      top_n: int = 200) -> DataFrame:
+                      top_n: int | None = None) -> DataFrame:
     df = _abnormal_where(labs, patient_id, start_date, end_date, flag)
-    return df.select(
+    return _first(df.select(
         "LabID", "PatientID", "PatientName", "PatientAge", "Gender", "TestName", "LOINCCode", "ResultValue",
         "ResultUnit", "ReferenceRangeLow", "ReferenceRangeHigh", "AbnormalFlag", "DeviationFromMid",
         "ResultDate", "ProviderName", "FacilityName",
-    ).orderBy(F.col("ResultDate").desc(), "LabID").limit(top_n)
+    ).orderBy(F.col("ResultDate").desc(), "LabID"), top_n)
 
 
 def timeline_events(claims: DataFrame, labs: DataFrame, prescriptions: DataFrame) -> DataFrame:
@@ -134,17 +137,17 @@ def abnormal_flag_summary(labs: DataFrame, patient_id=None, start_date=None, end
     return df.agg(of_flag("Critical"), of_flag("High"), of_flag("Low"), F.count(F.lit(1)).alias("TotalAbnormal"))
 
 
-def critical_callouts(labs: DataFrame, top_n: int = 5, **filters) -> DataFrame:
+def critical_callouts(labs: DataFrame, top_n: int | None = None, **filters) -> DataFrame:
     df = _abnormal_where(labs, flag="Critical", **filters)
-    return df.select("LabID", "ResultDate", "PatientName", "TestName").orderBy(
-        F.col("ResultDate").desc(), "LabID").limit(top_n)
+    return _first(df.select("LabID", "ResultDate", "PatientName", "TestName").orderBy(
+        F.col("ResultDate").desc(), "LabID"), top_n)
 
 
-def latest_etl_runs(log: DataFrame, n: int = 10) -> DataFrame:
-    return log.orderBy(F.col("LogID").desc()).limit(n).select(
+def latest_etl_runs(log: DataFrame, n: int | None = None) -> DataFrame:
+    return _first(log.orderBy(F.col("LogID").desc()), n).select(
         "LogID", "Entity", "RowsInserted", "RowsUpdated", "RowsSkipped", "Status", "ErrorMessage")
 
 
-def capped(df: DataFrame, order_by: list, cap: int = ROW_CAP) -> tuple[DataFrame, DataFrame]:
+def capped(df: DataFrame, order_by: list, cap: int) -> tuple[DataFrame, DataFrame]:
     """Row count and the first ``cap`` rows, for ad-hoc results shown to people."""
     return df.agg(F.count(F.lit(1)).alias("row_count")), df.orderBy(*order_by).limit(cap)

@@ -13,7 +13,7 @@ from carelake.plans.views import VIEW_TABLES, VIEW_YEAR, VIEWS
 from carelake.schemas import FACTS, empty_table
 from carelake.session import scratch_dir
 from carelake.sources import testdata
-from carelake.sources.tables import TableStore
+from carelake.sources.tables import TableStore, by_partition
 
 STAGING_OF = {"FactClaims": "claims", "FactLabResults": "labs", "FactPrescriptions": "prescriptions",
               "FactFinancials": "financials"}
@@ -51,13 +51,14 @@ class Warehouse:
     def view(self, name: str) -> DataFrame:
         with self._lock:
             if name not in self._ready:
-                df = VIEWS[name](self.view_tables(name))
+                df = by_partition(VIEWS[name](self.view_tables(name)), VIEW_YEAR[name])
                 self._ready[name] = self.store.write_table(df, "rpt", name, partition_by=VIEW_YEAR[name])
             return self._ready[name]
 
     def _stored(self, name: str) -> DataFrame:
         part = "PartitionYear" if name in FACTS else None
-        return self.store.write_table(self._build(name), "dw", name, partition_by=part)
+        rows = self._build(name)
+        return self.store.write_table(by_partition(rows, part) if part else rows, "dw", name, partition_by=part)
 
     def _build(self, name: str) -> DataFrame:
         spark, stg, at = self.spark, self.staging, self.as_of
@@ -85,14 +86,14 @@ _open_lock = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    """Paths, lengths and times of the input files, so new input is noticed."""
+    """Path, size, file count and time of each input, so new input is noticed at any depth; one look per table."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
     for status in fs.listStatus(folder):
-        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inner]
+        size = fs.getContentSummary(status.getPath())
+        found.append((status.getPath().toString(), size.getLength(), size.getFileCount(), status.getModificationTime()))
     return tuple(sorted(found))
 
 

@@ -202,14 +202,14 @@ def _(spark, sf):
 @entry("request_key", r"""SELECT doc_id, sha256(source || '::' || lower(regexp_replace(text,
     '^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+$', '', 'g'))) AS cache_key FROM documents""")
 def _(spark, sf):
-    return td.spread(spark, sf, "documents").select("doc_id", fn.request_key("source", "text").alias("cache_key"))
+    return td.read(spark, sf, "documents").select("doc_id", fn.request_key("source", "text").alias("cache_key"))
 
 
 @entry("clip_text", """SELECT doc_id, length(substr(text, 1, 2000)) AS kept, md5(substr(text, 1, 2000)) AS digest
     FROM documents""")
 def _(spark, sf):
-    clipped = fn.clip_text("text")
-    return td.spread(spark, sf, "documents").select(
+    clipped = fn.clip_text("text", 2000)
+    return td.read(spark, sf, "documents").select(
         "doc_id", F.length(clipped).cast("bigint").alias("kept"), F.md5(clipped).alias("digest"))
 
 
@@ -293,8 +293,8 @@ def _(spark, sf):
     return chosen.groupBy("FacilityName").agg(n_rows("labs"))
 
 
-@entry("statement_guard", r"""WITH bodies AS (SELECT event_id, upper(regexp_replace(trim(regexp_replace(regexp_replace(
-        sql_text, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'gs')), '(\s*;+)+$', '')) AS b FROM statements),
+@entry("statement_guard", r"""WITH bodies AS (SELECT event_id, upper(trim(regexp_replace(trim(regexp_replace(regexp_replace(
+        sql_text, '--[^\n]*', '', 'g'), '/\*.*?\*/', '', 'gs')), ';+$', ''))) AS b FROM statements),
     found AS (SELECT event_id, list_filter([
         CASE WHEN NOT starts_with(b, 'SELECT') THEN 'not a SELECT' END,
         CASE WHEN contains(b, ';') THEN 'stacked statements' END,

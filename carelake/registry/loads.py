@@ -14,7 +14,7 @@ from carelake.plans.warehouse import warehouse_for
 from carelake.registry.base import entry, n_rows
 from carelake.registry.functions import DATE_PARTS
 from carelake.registry.sql import total
-from carelake.schemas import ENTITIES, FACTS, empty_table
+from carelake.schemas import ENTITIES, FACTS, empty_table, local_rows
 from carelake.session import scratch_dir
 from carelake.sources import export, landing
 from carelake.sources import testdata as td
@@ -91,17 +91,38 @@ def _(spark, sf):
     return nested.withColumn("result", F.to_json("result"))
 
 
-@entry("export_edi_837", """WITH c AS (SELECT *, row_number() OVER (ORDER BY claim_id) - 1 AS pos FROM s_claims),
+def _claims_with_gaps(spark, sf):
+    """Claims of which some lack payer, diagnosis or a readable amount."""
+    last = F.ascii(F.substring("claim_id", -1, 1))
+    return td.landing(spark, sf, "claims").withColumns({
+        "payer_id": F.when(last % 5 != 0, F.col("payer_id")), "icd10_primary": F.when(last % 7 != 0, F.col("icd10_primary")),
+        "billed_amount": F.when(F.length("claim_id") % 4 == 0, "n/a").otherwise(F.col("billed_amount"))})
+
+
+GAPS = """SELECT * REPLACE (CASE WHEN ascii(right(claim_id, 1)) % 5 <> 0 THEN payer_id END AS payer_id,
+    CASE WHEN ascii(right(claim_id, 1)) % 7 <> 0 THEN icd END AS icd) FROM s_claims"""
+
+
+@entry("edi_faults", f"""SELECT claim_id, array_to_string(r, '; ') AS reasons, list_contains(r, 'no billed_amount') AS refused FROM (
+    SELECT claim_id, list_filter([CASE WHEN length(claim_id) % 4 = 0 THEN 'no billed_amount' END,
+        CASE WHEN length(claim_id) > 20 THEN 'long claim_id' END, CASE WHEN length(patient_id) > 12 THEN 'long patient_id' END,
+        CASE WHEN length(provider_id) > 10 THEN 'long provider_id' END, CASE WHEN length(payer_id) > 9 THEN 'long payer_id' END],
+        lambda x: x IS NOT NULL) AS r FROM ({GAPS})) WHERE len(r) > 0""")
+def _(spark, sf):
+    return export.edi_faults(_claims_with_gaps(spark, sf)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@entry("export_edi_837", f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY claim_id) - 1 AS pos FROM ({GAPS}) WHERE length(claim_id) % 4 <> 0),
     n AS (SELECT *, pos // 1000 + 1 AS batch, pos % 1000 + 1 AS no, printf('%04d', pos % 1000 + 1) AS st,
         strftime(service_date, '%Y%m%d') AS sd, strftime(claim_date, '%Y%m%d') AS cd FROM c),
     s AS (SELECT batch, unnest(['ST*837*' || st || '*005010X222A1~',
         'BHT*0019*00*' || st || '*' || cd || '*1200*CH~',
         'NM1*41*2*CARELAKE*****46*' || printf('%010d', no) || '~',
-        'SBR*P*18*' || substr(payer_id, 1, 9) || '*' || substr(payer_id, 1, 9) || '****CI~',
-        'NM1*IL*1*PATIENT*LAST*****MI*' || substr(patient_id, 1, 12) || '~',
-        'CLM*' || substr(claim_id, 1, 20) || '*' || billed || '***11:B:1*Y*A*Y*I~', 'DTP*472*D8*' || sd || '~',
-        'HI*ABK:' || replace(icd, '.', '') || '~',
-        'NM1*82*1*PROVIDER*FIRST*****XX*' || substr(provider_id, 1, 10) || '~', 'LX*1~',
+        'SBR*P*18*' || coalesce(payer_id, '') || '*' || coalesce(payer_id, '') || '****CI~',
+        'NM1*IL*1*PATIENT*LAST*****MI*' || patient_id || '~',
+        'CLM*' || claim_id || '*' || billed || '***11:B:1*Y*A*Y*I~', 'DTP*472*D8*' || sd || '~',
+        'HI*' || coalesce('ABK:' || replace(icd, '.', ''), '') || '~',
+        'NM1*82*1*PROVIDER*FIRST*****XX*' || provider_id || '~', 'LX*1~',
         'SV1*HC:' || cpt || '*' || billed || '*UN*1***1~', 'DTP*472*D8*' || sd || '~', 'SE*12*' || st || '~'])
         AS segment, unnest(range(13)) + 2 + (no - 1) * 13 AS position FROM n),
     b AS (SELECT batch, count(*) AS k FROM n GROUP BY batch),
@@ -110,14 +131,9 @@ def _(spark, sf):
         'GE*' || k || '*' || batch || '~', 'IEA*1*' || printf('%09d', batch) || '~']) AS segment,
         unnest([0, 1, 2 + k * 13, 3 + k * 13]) AS position FROM b),
     a AS (SELECT * FROM s UNION ALL SELECT * FROM f)
-    SELECT CAST(batch AS BIGINT) AS batch, split_part(segment, '*', 1) AS kind, count(*) AS lines,
-    CAST(min(position) AS BIGINT) AS first_position, CAST(max(position) AS BIGINT) AS last_position,
-    min(segment) AS lowest, max(segment) AS highest FROM a GROUP BY ALL""")
+    SELECT CAST(batch AS BIGINT) AS batch, CAST(position AS BIGINT) AS position, segment FROM a""")
 def _(spark, sf):
-    lines = export.edi_837(td.landing(spark, sf, "claims"), "2024-06-01 07:30:00")
-    return lines.groupBy("batch", F.split("segment", r"\*")[0].alias("kind")).agg(
-        n_rows("lines"), F.min("position").alias("first_position"), F.max("position").alias("last_position"),
-        F.min("segment").alias("lowest"), F.max("segment").alias("highest"))
+    return export.edi_837(_claims_with_gaps(spark, sf), "2024-06-01 07:30:00").select("batch", "position", "segment")
 
 
 COUNTS = {"payers": "d_payer", "facilities": "d_facility", "providers": "d_provider", "patients": "d_patient",
@@ -409,7 +425,7 @@ def _(spark, sf):
     upd AS "RowsUpdated", skip AS "RowsSkipped", 'Success' AS "Status", CAST(NULL AS VARCHAR) AS "ErrorMessage"
     FROM ({LOG_ROWS}) ORDER BY log_id DESC LIMIT 10""")
 def _(spark, sf):
-    return proc.latest_etl_runs(_two_loads(spark, sf).log.read())
+    return proc.latest_etl_runs(_two_loads(spark, sf).log.read(), 10)
 
 
 @entry("recent_runs", """SELECT user_id, count(*) AS recent FROM events
@@ -557,12 +573,12 @@ SCORED = f"SELECT doc_id, CAST({_score_sql('text')} + {_score_sql('source')} AS
 
 @entry("keyword_scores", f"SELECT * FROM ({SCORED}) WHERE score > 0")
 def _(spark, sf):
-    return search.keyword_scores(td.spread(spark, sf, "documents"), ["text", "source"], QUERY_TEXT).select("doc_id", "score")
+    return search.keyword_scores(td.read(spark, sf, "documents"), ["text", "source"], QUERY_TEXT).select("doc_id", "score")
 
 
 @entry("keyword_search", f"SELECT * FROM ({SCORED}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, sf):
-    return search.keyword_search(td.spread(spark, sf, "documents"), ["text", "source"], QUERY_TEXT, "doc_id")
+    return search.keyword_search(td.read(spark, sf, "documents"), ["text", "source"], QUERY_TEXT, "doc_id", 10)
 
 
 PROFILED = {"ClaimID": "string", "ClaimStatus": "string", "DenialReason": "string", "BilledAmount": "decimal(10,2)",
@@ -610,6 +626,50 @@ def _(spark, sf):
     return access.mask_bulk_patient(df, ["PatientID"], ["DateOfBirth"])
 
 
+# --- refused rows and repaired batches ------------------------------------------------------------
+
+def _land_with_faults(spark, sf, folder: str) -> None:
+    """Claims as CSV: some without an id, and a broken line for some."""
+    claims, last = td.landing(spark, sf, "claims"), F.ascii(F.substring("claim_id", -1, 1))
+    claims.withColumn("claim_id", F.when(last % 6 != 0, F.col("claim_id"))).write.mode("append").option("header", True).csv(folder)
+    # a file's first line is its header; one small file of broken lines
+    header = local_rows(spark, [("line",)], "value string")
+    broken = claims.where(last % 9 == 0).select(F.concat(F.lit("broken,"), "claim_id").alias("value"))
+    header.unionByName(broken).coalesce(1).write.mode("append").text(folder)
+
+
+REFUSED = """SELECT 'bad line' AS reason, count(*) AS n FROM s_claims WHERE ascii(right(claim_id, 1)) % 9 = 0
+    UNION ALL SELECT 'no id', count(*) FROM s_claims WHERE ascii(right(claim_id, 1)) % 6 = 0"""
+WITH_ID = "SELECT count(DISTINCT claim_id) FROM s_claims WHERE ascii(right(claim_id, 1)) % 6 <> 0"
+
+
+@entry("rejected_rows", f"""{REFUSED} UNION ALL SELECT 'loaded', ({WITH_ID}) UNION ALL SELECT 'skipped',
+    (SELECT count(*) FROM s_claims) - ({WITH_ID})""")
+def _(spark, sf):
+    root = scratch_dir(spark, "rejects")
+    _land_with_faults(spark, sf, f"{root}/claims.csv")
+    lines = landing.csv_reader(spark.read, "claims").csv(f"{root}/claims.csv")
+    etl = Etl(spark, f"{root}/warehouse", td.CALENDAR)
+    etl.staging.reject(landing.bad_lines(lines, "claims"), "claims", "1", "bad line")
+    etl.staging.add(landing.stage(lines, "claims", loaded_at=td.LOADED_AT), "claims", "1")
+    etl.run_step("FactClaims", td.LOADED_AT)
+    ran = etl.log.read().select(F.inline(F.array(F.struct(F.lit("loaded").alias("reason"), F.col("RowsInserted").alias("n")),
+                                                 F.struct(F.lit("skipped").alias("reason"), F.col("RowsSkipped").alias("n")))))
+    return etl.staging.rejected().groupBy("reason").agg(n_rows("n")).unionByName(ran.withColumn("n", F.col("n").cast("bigint")))
+
+
+@entry("reload_repaired_batch", """SELECT 'first' AS run, count(*) AS "RowsInserted" FROM d_payer WHERE id <> 'BUILDING'
+    UNION ALL SELECT 'repaired', 1""")
+def _(spark, sf):
+    etl = Etl(spark, scratch_dir(spark, "repaired"), td.CALENDAR)
+    payers = td.staged(spark, sf, "payers")
+    etl.staging.add(payers.where("payer_id != 'BUILDING'"), "payers", "1")
+    etl.run_step("DimPayer", td.LOADED_AT)
+    etl.staging.add(payers, "payers", "1")
+    etl.run_step("DimPayer", SECOND_LOAD)
+    return etl.log.read().select(F.when(F.col("LogID") == 1, "first").otherwise("repaired").alias("run"), F.col("RowsInserted").cast("bigint").alias("RowsInserted"))
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 @entry("landing_stream", " UNION ALL ".join(

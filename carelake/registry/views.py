@@ -195,7 +195,7 @@ CLAIM_LIST = ", ".join(f'"{c}"' for c in proc.CLAIM_COLUMNS)
 @entry("get_claims_summary", f"""SELECT {CLAIM_LIST} FROM v_claims
     ORDER BY "ServiceDate" DESC, "ClaimID" LIMIT 100""")
 def _(spark, sf):
-    return proc.get_claims_summary(warehouse_for(spark, sf).view(CLAIMS))
+    return proc.get_claims_summary(warehouse_for(spark, sf).view(CLAIMS), top_n=100)
 
 
 @entry("get_claims_summary_filtered", f"""SELECT {CLAIM_LIST} FROM v_claims
@@ -231,13 +231,13 @@ PERFORMANCE = """SELECT "ProviderName", "Specialty", "FacilityName", "FacilitySt
 
 @entry("get_provider_performance", PERFORMANCE.format(""))
 def _(spark, sf):
-    return proc.get_provider_performance(warehouse_for(spark, sf).view(PERF))
+    return proc.get_provider_performance(warehouse_for(spark, sf).view(PERF), top_n=50)
 
 
 @entry("get_provider_performance_filtered", PERFORMANCE.format(
     """WHERE "ServiceYear" = 1998 AND "Specialty" = 'Oncology'"""))
 def _(spark, sf):
-    return proc.get_provider_performance(warehouse_for(spark, sf).view(PERF), year=1998, specialty="Oncology")
+    return proc.get_provider_performance(warehouse_for(spark, sf).view(PERF), year=1998, specialty="Oncology", top_n=50)
 
 
 ABNORMAL = """SELECT "LabID", "PatientID", "PatientName", "PatientAge", "Gender", "TestName", "LOINCCode",
@@ -248,14 +248,14 @@ ABNORMAL = """SELECT "LabID", "PatientID", "PatientName", "PatientAge", "Gender"
 
 @entry("get_abnormal_labs", ABNORMAL.format(""))
 def _(spark, sf):
-    return proc.get_abnormal_labs(warehouse_for(spark, sf).view(LABS))
+    return proc.get_abnormal_labs(warehouse_for(spark, sf).view(LABS), top_n=200)
 
 
 @entry("get_abnormal_labs_filtered", ABNORMAL.format(
     """AND "AbnormalFlag" = 'Low' AND "ResultDate" BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def _(spark, sf):
     return proc.get_abnormal_labs(warehouse_for(spark, sf).view(LABS), start_date="2024-01-05",
-                                  end_date="2024-01-20", flag="Low")
+                                  end_date="2024-01-20", flag="Low", top_n=200)
 
 
 TIMELINE = """SELECT "PatientID", 'Claim' AS "EventType", CAST("ServiceDate" AS VARCHAR) AS "EventDate",
@@ -324,7 +324,7 @@ def _(spark, sf):
 @entry("critical_callouts", """SELECT "LabID", "ResultDate", "PatientName", "TestName" FROM v_labs
     WHERE "AbnormalFlag" = 'Critical' ORDER BY "ResultDate" DESC, "LabID" LIMIT 5""")
 def _(spark, sf):
-    return proc.critical_callouts(warehouse_for(spark, sf).view(LABS))
+    return proc.critical_callouts(warehouse_for(spark, sf).view(LABS), top_n=5)
 
 
 ROLLUP = """SELECT "SessionID", "AgentName", CAST(sum("InputTokens") AS BIGINT) AS "TotalInputTokens",
@@ -376,7 +376,7 @@ def _(spark, sf):
     ORDER BY "BilledAmount" DESC, "ClaimID" LIMIT 500""")
 def _(spark, sf):
     df = warehouse_for(spark, sf).view(CLAIMS).select("ClaimID", "BilledAmount")
-    counted, head = proc.capped(df, [F.col("BilledAmount").desc(), "ClaimID"])
+    counted, head = proc.capped(df, [F.col("BilledAmount").desc(), "ClaimID"], cap=500)
     return head.select("*", counted.scalar().alias("row_count"))
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_base: dict[str, str] = {}
-
 
 def get_spark(master: str | None = None, app: str = "carelake", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -27,17 +24,7 @@ def get_spark(master: str | None = None, app: str = "carelake", **conf) -> Spark
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder every executor can reach, under ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if app not in _local_base:
-            _local_base[app] = tempfile.mkdtemp(prefix="carelake-")
-        base = _local_base[app]
+    """A new folder every executor can reach: under ``spark.checkpoint.dir``, else under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     app = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/carelake/{app}/{label}-{uuid.uuid4().hex[:12]}"

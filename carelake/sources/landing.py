@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.schemas import LAB_JSON_SCHEMA, STAGING_COLUMNS, staging_schema
+from carelake.schemas import LAB_JSON_SCHEMA, NATURAL_ID, STAGING_COLUMNS, staging_schema
+
+
+BAD_LINE = "_corrupt_record"
 
 
 def landing_path(root: str, entity: str, run_date: str, extension: str = "csv") -> str:
@@ -15,9 +18,9 @@ def landing_path(root: str, entity: str, run_date: str, extension: str = "csv")
 
 def csv_reader(reader, entity: str):
     """Header CSV, every column a string, bad lines kept in ``_corrupt_record``."""
-    schema = staging_schema(entity).add("_corrupt_record", T.StringType())
+    schema = staging_schema(entity).add(BAD_LINE, T.StringType())
     return (reader.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record"))
+            .option("columnNameOfCorruptRecord", BAD_LINE))
 
 
 def read_landing_csv(spark: SparkSession, entity: str, run_date: str, root: str) -> DataFrame:
@@ -52,9 +55,14 @@ def stage(df: DataFrame, entity: str, source_file: str | None = None, loaded_at:
     """Staging frame: the entity's string columns and the four audit columns.
 
     The load id is a hash of the row and its file, so staging the same file
-    again gives the same ids.
+    again gives the same ids.  Lines the reader could not parse are left out;
+    ``bad_lines`` returns them.
     """
     columns = STAGING_COLUMNS[entity]
+    if BAD_LINE in df.columns:
+        # always true: the reader must parse whole lines to tell bad ones, even for a count
+        whole = F.octet_length(F.concat_ws("", *columns)) >= 0
+        df = df.where(F.col(BAD_LINE).isNull() & whole)
     source = F.lit(source_file) if source_file is not None else F.col("_metadata.file_path")
     loaded = F.lit(loaded_at).cast("timestamp_ntz") if loaded_at else F.localtimestamp()
     return df.select(
@@ -66,6 +74,20 @@ def stage(df: DataFrame, entity: str, source_file: str | None = None, loaded_at:
     )
 
 
+def bad_lines(df: DataFrame, entity: str, source_file: str | None = None) -> DataFrame:
+    """Lines the reader could not parse: source_file, raw."""
+    source = F.lit(source_file) if source_file is not None else F.col("_metadata.file_path")
+    # what was parsed is named too, so that the reader looks at whole lines
+    parsed = F.to_json(F.struct(*STAGING_COLUMNS[entity]))
+    return df.where(F.col(BAD_LINE).isNotNull()).select(source.alias("source_file"), F.coalesce(BAD_LINE, parsed).alias("raw"))
+
+
+def without_id(staged: DataFrame, entity: str) -> DataFrame:
+    """Staged rows that have no natural id: source_file, raw (the row as JSON)."""
+    return staged.where(F.col(NATURAL_ID[entity]).isNull()).select(
+        F.col("stg_source_file").alias("source_file"), F.to_json(F.struct(*STAGING_COLUMNS[entity])).alias("raw"))
+
+
 def load_manifest(tables: dict[str, DataFrame], run_date: str) -> DataFrame:
     """One row per entity: row count and status of the run."""
     parts = [

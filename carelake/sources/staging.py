@@ -16,6 +16,7 @@ from carelake.schemas import STAGING_COLUMNS, local_rows
 from carelake.sources.tables import append_rows
 
 STATUS_SCHEMA = "entity string, batch string, status string, seq bigint"
+REJECT_SCHEMA = "entity string, batch string, source_file string, reason string, raw string"
 
 
 class StagingArea:
@@ -23,6 +24,7 @@ class StagingArea:
         self.spark = spark
         self.root = root.rstrip("/") + "/stg"
         self._status = f"{self.root}/_batch_status"
+        self._rejects = f"{self.root}/_rejected"
 
     def schema(self, entity: str) -> str:
         columns = ", ".join(f"{c} string" for c in STAGING_COLUMNS[entity])
@@ -30,8 +32,23 @@ class StagingArea:
                 f"stg_status string, {columns}")
 
     def add(self, staged: DataFrame, entity: str, batch: str) -> None:
-        """Store a batch; storing it again replaces it."""
+        """Store a batch as pending; storing it again replaces it, and it will be loaded again."""
         staged.write.mode("overwrite").parquet(f"{self.root}/{entity}/batch={batch}")
+        self._record(entity, [batch], "Pending")
+
+    def reject(self, rows: DataFrame, entity: str, batch: str, reason: str) -> int:
+        """Keep rows (source_file, raw) that cannot be loaded and count them; a batch's replace its earlier ones."""
+        path = f"{self._rejects}/{entity}-{batch}-{reason.replace(' ', '_')}"
+        rows.select(F.lit(entity).alias("entity"), F.lit(batch).alias("batch"), "source_file", F.lit(reason).alias("reason"),
+                    "raw").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(REJECT_SCHEMA).parquet(path).count()
+
+    def rejected(self) -> DataFrame:
+        """All refused rows."""
+        path, fs = self._fs(self._rejects)
+        if not fs.exists(path):
+            return local_rows(self.spark, [], REJECT_SCHEMA)
+        return self.spark.read.schema(REJECT_SCHEMA).parquet(f"{self._rejects}/*")
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,16 +66,15 @@ class StagingArea:
         path, fs = self._fs(self._status)
         if not fs.exists(path):
             return local_rows(self.spark, [], "entity string, batch string, status string")
-        log = self.spark.read.schema(STATUS_SCHEMA).parquet(self._status)
+        log = self.spark.read.schema(STATUS_SCHEMA).parquet(f"{self._status}/*")
         if entity:
             log = log.where(F.col("entity") == entity)
         return log.groupBy("entity", "batch").agg(F.max_by("status", "seq").alias("status"))
 
     def pending_all(self) -> dict[str, list[str]]:
-        """Pending batches of every entity, from one look at the statuses."""
-        # one row per batch ever staged: folder metadata, not data
-        done = {(r.entity, r.batch) for r in self.statuses().where(F.col("status") != "Pending").collect()}
-        return {e: [b for b in self.batches(e) if (e, b) not in done] for e in STAGING_COLUMNS}
+        """Pending batches of every entity, from one look at the statuses; finished ones are not fetched."""
+        waiting = {(r.entity, r.batch) for r in self.statuses().where(F.col("status") == "Pending").collect()}
+        return {e: sorted(b for x, b in waiting if x == e) for e in STAGING_COLUMNS}
 
     def pending(self, entity: str) -> list[str]:
         return self.pending_all()[entity]
@@ -77,8 +93,12 @@ class StagingArea:
     def mark(self, entity: str, batches: list[str], ok: bool) -> None:
         if not batches:
             return
-        status, seq = "Processed" if ok else "Error", time.time_ns()
-        append_rows(self.spark, self._status, STATUS_SCHEMA, [(entity, b, status, seq) for b in batches])
+        self._record(entity, batches, "Processed" if ok else "Error")
+
+    def _record(self, entity: str, batches: list[str], status: str) -> None:
+        """Append statuses; each entity has a folder of its own, as entities are staged at the same time."""
+        seq = time.time_ns()
+        append_rows(self.spark, f"{self._status}/{entity}", STATUS_SCHEMA, [(entity, b, status, seq) for b in batches])
 
 
 def mark_processed(stg: DataFrame, ok: bool, load_ids: DataFrame | None = None) -> DataFrame:

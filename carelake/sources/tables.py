@@ -19,6 +19,11 @@ def append_rows(spark: SparkSession, path: str, schema: str, rows: list[tuple])
     local_rows(spark, rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
+def by_partition(df: DataFrame, column: str) -> DataFrame:
+    """Rows gathered by their table partition, for few files each; adaptive execution splits a hot one."""
+    return df.hint("rebalance", column)
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark

@@ -57,7 +57,7 @@ AUDITED_OBJECTS = [
     "rpt.vw_ClaimsSummary", "rpt.vw_LabResults", "rpt.vw_FinancialKPIs", "dw.FactClaims", "dw.FactLabResults",
     "dw.FactPrescriptions", "dw.FactFinancials", "dw.DimPatient", "dw.DimFacility", "stg.Claims", "stg.Labs"]
 STATEMENTS = {
-    "view": "SELECT * FROM rpt.vw_ClaimsSummary WHERE ClaimID = {};",
+    "view": "SELECT * FROM rpt.vw_ClaimsSummary WHERE ClaimID = {}; ;",
     "click": "SELECT 1; EXEC xp_cmdshell 'x{}'",
     "purchase": "DELETE FROM dw.FactClaims -- {} WHERE",
     "signup": "/* audit {} */ select PatientID from rpt.vw_LabResults",
@@ -65,29 +65,10 @@ STATEMENTS = {
 }
 
 
-# Tables whose rows are worth spreading, and the column they are spread by.
-SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
-SPREAD_LIMIT = 256 * 1024 * 1024
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as input of row-heavy work.
-
-    A small file with one row group is read by a single task, so it is hashed
-    over the cores first.  Larger inputs have enough splits and stay as read.
-    """
-    df = read(spark, sf_dir, name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    if size > SPREAD_LIMIT:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, SPREAD_BY[name])
-
-
 def pick(values: list[str], index: Column) -> Column:
     """``values[index]`` for an index that is in range."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -158,7 +139,7 @@ def patients(spark, sf_dir) -> DataFrame:
 
 def _lines(spark, sf_dir) -> DataFrame:
     """Line items with their order and customer."""
-    lines = spread(spark, sf_dir, "lineitem")
+    lines = read(spark, sf_dir, "lineitem")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -197,7 +178,7 @@ def labs(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
     value, low, high = _money("value"), part(3).cast("decimal(10,1)"), part(4).cast("decimal(10,1)")
     day = F.to_date("ts")
-    return spread(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         _id("L", e).alias("lab_id"), _id("C", "user_id").alias("patient_id"), _id("P", e % 10).alias("provider_id"),
         _id("F", e % 25).alias("facility_id"), day.alias("order_date"),
         F.date_add(day, (e % 4 + 1).cast("int")).alias("result_date"), part(0).alias("test_name"),
@@ -226,7 +207,7 @@ def prescriptions(spark, sf_dir) -> DataFrame:
 def financials(spark, sf_dir) -> DataFrame:
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     day = F.to_date("o_orderdate")
-    typed = spread(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn(
+    typed = read(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn(
         "transaction_type", choose("o_orderpriority", TRANSACTION_TYPES))
     return typed.select(
         _id("T", "o_orderkey").alias("transaction_id"), day.alias("transaction_date"), "transaction_type",

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from carelake.plans.etl import Etl
-from carelake.schemas import ENTITIES
+from carelake.schemas import ENTITIES, STAGING_COLUMNS
 from carelake.session import scratch_dir
 from carelake.sources import export, landing
 from carelake.sources import testdata as td
@@ -30,7 +30,9 @@ def test_csv_keeps_bad_lines(spark, tmp_path):
     df = landing.read_landing_csv(spark, "payers", "20240101", str(tmp_path)).cache()
     assert df.count() == 2 and df.where(F.col("_corrupt_record").isNotNull()).count() == 1
     staged = landing.stage(landing.read_landing_csv(spark, "payers", "20240101", str(tmp_path)), "payers")
-    assert staged.first().stg_source_file.endswith("payers_20240101.csv")
+    assert staged.first().stg_source_file.endswith("payers_20240101.csv") and staged.count() == 1
+    bad = landing.bad_lines(landing.read_landing_csv(spark, "payers", "20240101", str(tmp_path)), "payers").collect()
+    assert [(r.source_file.endswith("payers_20240101.csv"), r.raw) for r in bad] == [(True, "x,y")]
 
 
 def test_edi_files_hold_whole_interchanges_in_order(spark, sf, tmp_path):
@@ -77,3 +79,10 @@ def test_landing_stream_loads_each_file_once(spark, sf):
         "append").option("header", True).csv(f"{root}/landing/claims")
     third = run()
     assert third["FactClaims"] == 10 and sum(third.values()) == 10
+    # a new checkpoint is a new stream: its first batch replaces none of the old one's
+    row = ",".join(["P2", "Two", "Medicare", *[""] * 7, "2024-01-01 00:00:00"])
+    extra = spark.createDataFrame([(",".join(STAGING_COLUMNS["payers"]) + "\n" + row + "\nbroken,line",)], "value string")
+    extra.coalesce(1).write.mode("append").text(f"{root}/landing/payers")
+    again = landing_stream(spark, f"{root}/landing", f"{root}/checkpoint2", etl, "2024-06-02 00:00:00").collect()
+    assert {r.Entity: r.RowsInserted for r in again}["DimPayer"] == 1
+    assert [r.raw for r in etl.staging.rejected().where("entity = 'payers'").collect()] == ["broken,line"]

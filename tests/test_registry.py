@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as spark_entry
+from carelake.registry import catalog
 from tools.check import compare, connect
 
-ORACLES = spark_entry.oracle_sql()
+ORACLES = catalog.ORACLES
 PYTHON_TASKS = {"semantic_candidate", "best_match_per_request"}
 
 
@@ -14,9 +15,9 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_matches_sql(name, spark, sf, con):
-    df = spark_entry.queries()[name](spark, sf)
+    df = catalog.QUERIES[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert name in PYTHON_TASKS or "Python" not in plan and "Pandas" not in plan
@@ -27,7 +28,11 @@ def test_query_matches_sql(name, spark, sf, con):
 
 
 def test_only_sketches_go_unchecked():
-    assert set(spark_entry.queries()) - set(ORACLES) == {"column_profile_all_views"}
+    assert set(catalog.QUERIES) - set(ORACLES) == {"column_profile_all_views"}
+
+
+def test_entry_registers_the_library():
+    assert set(catalog.QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
