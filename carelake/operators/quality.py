@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions.predicates import current_only
-from carelake.schemas import SURROGATE_KEY
+from carelake.schemas import SURROGATE_KEY, local_rows
 
 # table -> columns that must not be missing
 NOT_NULL = {
@@ -53,11 +53,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def null_violations(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("violations"))
-             for c in columns]
-    return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select(
-        F.lit(table).alias("table_name"), F.lit("not_null").alias("rule"), "c.column_name", "c.violations")
+def value_violations(df: DataFrame, table: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Missing values and keys that their dimension lacks, from one pass over the table.
+
+    Foreign keys are counted per column and key before they meet the
+    dimensions, so a frequent key is one row there.
+    """
+    foreign = FOREIGN.get(table, {})
+    cell = lambda rule, c, key: F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column_name"), key.cast("bigint").alias("key"))
+    cells = [cell("foreign_key", c, F.col(c)) for c in foreign]
+    cells += [cell("not_null", c, F.when(F.col(c).isNull(), 0)) for c in NOT_NULL[table]]
+    on = ["rule", "column_name", "key"]
+    seen = df.select(F.inline(F.array(*cells))).where(F.col("key").isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    if foreign:
+        known = _union([tables[d].select(F.lit("foreign_key").alias("rule"), F.lit(c).alias("column_name"),
+                                         F.col(k).cast("bigint").alias("key")) for c, (d, k) in foreign.items()])
+        seen = seen.join(known, on, "left_anti")
+    lost = seen.groupBy("rule", "column_name").agg(F.sum("n").alias("n"))
+    rules = local_rows(df.sparkSession, [("not_null", c) for c in NOT_NULL[table]] + [("foreign_key", c) for c in foreign],
+                       "rule string, column_name string")
+    return rules.join(lost, ["rule", "column_name"], "left").select(
+        F.lit(table).alias("table_name"), "rule", "column_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
 
 
 def unique_violations(df: DataFrame, table: str, column: str, rule: str = "unique") -> DataFrame:
@@ -67,26 +83,15 @@ def unique_violations(df: DataFrame, table: str, column: str, rule: str = "uniqu
         F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), "violations")
 
 
-def foreign_violations(df: DataFrame, table: str, column: str, dim: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the dimension lacks.  Counted per key before the join,
-    so a frequent key is one row there."""
-    used = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    lost = used.join(dim.select(F.col(key).alias("_key")), used[column] == F.col("_key"), "left_anti")
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit("foreign_key").alias("rule"),
-        F.lit(column).alias("column_name"), "violations")
-
-
 def integrity_report(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
     """Violations per table, rule and column; zero rows mean all is well."""
     parts = []
     for table in names or list(SURROGATE_KEY):
         df = tables[table]
-        parts.append(null_violations(df, table, NOT_NULL[table]))
+        parts.append(value_violations(df, table, tables))
         parts += [unique_violations(df, table, c) for c in UNIQUE[table]]
         if table == "DimPatient":
             parts.append(unique_violations(current_only(df), table, "PatientID", "one_current_version"))
-        parts += [foreign_violations(df, table, c, tables[d], k) for c, (d, k) in FOREIGN.get(table, {}).items()]
     return _union(parts)
 
 

@@ -113,13 +113,13 @@ def _(spark, sf):
     return df.groupBy("icd10_primary", (F.col("DiagnosisKey") == 1).alias("is_unknown")).agg(n_rows("claims"))
 
 
-@entry("lookup_ignoring_case", """SELECT lower(c_mktsegment) AS payer_id, count(*) AS patients
-    FROM customer GROUP BY ALL""")
+@entry("lookup_ignoring_case", """SELECT lower(c_mktsegment) AS payer_id,
+    lower(c_mktsegment) IN (SELECT lower(id) FROM d_payer) AS known, count(*) AS patients FROM customer GROUP BY ALL""")
 def _(spark, sf):
     wh = warehouse_for(spark, sf)
     lower = td.staged(spark, sf, "patients").select(F.lower("primary_payer_id").alias("payer_id"))
     df = lookups.lookup_or_unknown(lower, wh["DimPayer"], "payer_id", "PayerID", "PayerKey", ci=True)
-    return df.where(F.col("PayerKey") != 1).groupBy("payer_id").agg(n_rows("patients"))
+    return df.groupBy("payer_id", (F.col("PayerKey") != 1).alias("known")).agg(n_rows("patients"))
 
 
 @entry("scalar_lookup", """SELECT coalesce(p.plan, 'none') AS plan, count(*) AS patients FROM d_patient d
@@ -173,10 +173,9 @@ def _(spark, sf):
 @entry("patient_card", """SELECT coalesce(split_part(p.name, ' ', 1), 'Unknown') AS first_name,
     coalesce(split_part(p.name, ' ', 2), 'Patient') AS last_name,
     coalesce(CAST(p.dob AS VARCHAR), 'N/A') AS date_of_birth, count(*) AS labs
-    FROM s_labs s LEFT JOIN d_patient p ON p.id = s.patient_id AND p.state <> 'CA' GROUP BY ALL""")
+    FROM s_labs s LEFT JOIN d_patient p ON p.id = s.patient_id GROUP BY ALL""")
 def _(spark, sf):
-    known = td.landing(spark, sf, "patients").where(F.col("state") != "CA")
-    df = lookups.patient_card(td.landing(spark, sf, "labs"), known)
+    df = lookups.patient_card(td.landing(spark, sf, "labs"), td.landing(spark, sf, "patients"))
     return df.groupBy("first_name", "last_name", "date_of_birth").agg(n_rows("labs"))
 
 
@@ -396,8 +395,8 @@ def _(spark, sf):
 
 
 @entry("top_n_by_measure", f"""SELECT "ICD10Code", {total('"BilledAmount"')} AS billed FROM v_claims
-    WHERE "ServiceYear" IN (1997, 1998) GROUP BY ALL ORDER BY billed DESC, "ICD10Code" LIMIT 5""")
+    GROUP BY ALL ORDER BY billed DESC, "ICD10Code" LIMIT 5""")
 def _(spark, sf):
-    df = pred.slicers(warehouse_for(spark, sf).view(CLAIMS), {"ServiceYear": [1997, 1998], "PayerType": []})
+    df = pred.slicers(warehouse_for(spark, sf).view(CLAIMS), {"PayerType": []})
     return df.groupBy("ICD10Code").agg(F.sum("BilledAmount").cast(TOTAL).alias("billed")).orderBy(
         F.col("billed").desc(), "ICD10Code").limit(5)
