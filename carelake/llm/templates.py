@@ -53,40 +53,61 @@ _LINE = "\x00"
 
 
 class Lexicon(dict):
-    """Word to a row of arrays: hash, number?, capital?, unit?, ends a sentence?; new words are learnt as they come."""
+    """Word to a place in two arrays, its hash and its marks; new words are learnt as they come."""
+
+    MARKS = NUMERIC, CAPITAL, IS_UNIT, ENDING, BREAK = 1, 2, 4, 8, 16
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, bool, bool, bool, bool]] = []
         self.slots = np.array([xxhash.xxh64_intdigest(x) for x in (b"", b"<number>", b"<name>", b"<unit>")], dtype=np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.size, self.hashes, self.marks = 0, np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.new: tuple[list[int], list[int]] = ([], [])
 
     def __missing__(self, word: str) -> int:
-        core = _CORE.sub("", word) or word
-        low = core.lower()
-        row = (xxhash.xxh64_intdigest(low.encode()), core[0].isdigit(), len(core) > 1 and core[0].isupper(), low in UNITS,
-               word == _LINE or bool(_ENDS.search(word)))
-        self.rows.append(row)
-        at = self[word] = len(self.rows) - 1
+        plain = word.isalnum()
+        core = word if plain else _CORE.sub("", word) or word
+        low, first = core.lower(), core[0]
+        marks = self.NUMERIC if first.isdigit() else self.CAPITAL if first.isupper() and len(core) > 1 else 0
+        if low in UNITS:
+            marks |= self.IS_UNIT
+        if not plain:
+            if word == _LINE:
+                marks |= self.ENDING | self.BREAK
+            elif _ENDS.search(word):
+                marks |= self.ENDING
+        self.new[0].append(xxhash.xxh64_intdigest(low.encode()))
+        self.new[1].append(marks)
+        at = self[word] = len(self)
         return at
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, the hash of each word's template, and its kind."""
+    def _learn(self) -> None:
+        count = len(self.new[0])
+        while self.size + count > len(self.hashes):
+            self.hashes, self.marks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.marks))
+        self.hashes[self.size:self.size + count], self.marks[self.size:self.size + count] = self.new
+        self.size, self.new = self.size + count, ([], [])
+
+    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, places of those that are no line break, the hash of each one's template, and its kind."""
         if len(self) > CACHE_ENTRIES:
-            self.clear()
-            self.rows.clear()
+            self._forget()
         words = text.replace(_LINE, " ").replace("\n", f" {_LINE} ").split()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        rows = [self.rows[i] for i in at.tolist()]
-        hashes = np.fromiter((r[0] for r in rows), np.uint64, len(rows))
-        number, capital, unit, ends = (np.fromiter((r[k] for r in rows), bool, len(rows)) for k in (1, 2, 3, 4))
-        first = np.ones(len(rows), dtype=bool)
-        first[1:] = ends[:-1]
-        after = np.zeros(len(rows), dtype=bool)
-        after[1:] = number[:-1]
-        kind = np.where(number, NUMBER, np.where(unit & after, UNIT, np.where(capital & ~first, NAME, PLAIN)))
-        shown = np.fromiter((w != _LINE for w in words), bool, len(words))
-        hashes = np.where(kind == PLAIN, hashes, self.slots[kind])
-        return [w for w in words if w != _LINE], hashes[shown], kind[shown]
+        if self.new[0]:
+            self._learn()
+        hashes, marks = self.hashes[at], self.marks[at]
+        first, after = np.ones(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
+        first[1:] = marks[:-1] & self.ENDING
+        after[1:] = marks[:-1] & self.NUMERIC
+        kind = np.where(marks & self.NUMERIC, NUMBER, np.where((marks & self.IS_UNIT).astype(bool) & after, UNIT,
+                                                              np.where((marks & self.CAPITAL).astype(bool) & ~first, NAME, PLAIN)))
+        shown = np.flatnonzero((marks & self.BREAK) == 0)
+        kind = kind[shown]
+        return words, shown, np.where(kind == PLAIN, hashes[shown], self.slots[kind]), kind
 
 
 def windows_of(lexicon: Lexicon, windows: Windows, text: str, width: int, least: int, short: bool):
@@ -94,15 +115,16 @@ def windows_of(lexicon: Lexicon, windows: Windows, text: str, width: int, least:
 
     ``short``: a text under ``width`` words is one window of its own length.
     """
-    words, hashes, kinds = lexicon.read(text)
-    if short and least <= len(words) < width:
-        width = len(words)
+    words, shown, hashes, kinds = lexicon.read(text)
+    if short and least <= len(shown) < width:
+        width = len(shown)
     found = windows.of(hashes, width)
     filled = np.cumsum(np.concatenate([[0], kinds != PLAIN]))
     at = np.flatnonzero(2 * (filled[width:] - filled[:-width]) <= width) if len(found) else np.zeros(0, np.int64)
 
     def slots(start: int) -> list[str]:
-        return [f"{kinds[i]}:{_CORE.sub('', words[i]) or words[i]}" for i in range(start, start + width) if kinds[i] != PLAIN]
+        values = [(kinds[i], words[shown[i]]) for i in range(start, start + width) if kinds[i] != PLAIN]
+        return [f"{kind}:{_CORE.sub('', word) or word}" for kind, word in values]
 
     # The length is part of the hash, so that windows of several lengths can share a table.
     return mixed(found[at] ^ np.uint64(width)), at, slots, width
