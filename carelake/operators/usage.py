@@ -56,7 +56,7 @@ def get_agent_usage(usage: DataFrame, agent=None, start_date=None, end_date=None
         F.sum("ToolCalls").alias("TotalToolCalls"), F.count(F.lit(1)).alias("CallCount"),
         first.alias("SessionStart"), last.alias("SessionEnd"),
         F.timestamp_diff("SECOND", second(first), second(last)).alias("DurationSeconds"),
-    ).orderBy(F.col("SessionStart").desc())
+    ).orderBy(F.col("SessionStart").desc(), "SessionID", "AgentName")
 
 
 def session_summary(usage: DataFrame, session: str | None = None) -> DataFrame:

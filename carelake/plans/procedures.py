@@ -98,7 +98,8 @@ def get_patient_timeline(claims: DataFrame, labs: DataFrame, prescriptions: Data
         patient_filter(claims, patient_id, "ServiceDate", start_date, end_date, "ServiceYear"),
         patient_filter(labs, patient_id, "ResultDate", start_date, end_date),
         patient_filter(prescriptions, patient_id, "FillDate", start_date, end_date))
-    return events.drop("PatientID").orderBy(F.col("EventDate").desc())
+    rest = [c for c in events.columns if c not in ("PatientID", "EventDate")]
+    return events.drop("PatientID").orderBy(F.col("EventDate").desc(), *rest)  # equal rows may swap, others not
 
 
 def claims_crosstab(claims: DataFrame, **filters) -> DataFrame:

@@ -133,14 +133,18 @@ def cost_split_by_drug(prescriptions: DataFrame, choices: dict | None = None, n:
 
 
 def date_hierarchy(claims: DataFrame, date_col: str = "ServiceDate") -> DataFrame:
-    """Claim counts drilled year, quarter, month, day; NULL marks a subtotal.
+    """Claim counts drilled year, quarter, month, day.
 
+    ``Level`` is the number of parts a line names: 0 for the grand total, 4 for
+    a day.  A NULL part at or above its level is a missing date.
     Counted per day first, so the subtotals multiply days and not claims.
     """
     daily = claims.groupBy(F.col(date_col).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     parts = daily.select(F.year("d").alias("Year"), F.concat(F.lit("Qtr "), F.quarter("d")).alias("Quarter"),
                          F.date_format("d", "MMMM").alias("Month"), F.dayofmonth("d").alias("Day"), "n")
-    return parts.rollup("Year", "Quarter", "Month", "Day").agg(F.sum("n").alias("TotalClaims"))
+    names = ["Year", "Quarter", "Month", "Day"]
+    level = sum((1 - F.grouping(c).cast("int") for c in names), F.lit(0)).cast("int")
+    return parts.rollup(*names).agg(level.alias("Level"), F.sum("n").alias("TotalClaims"))
 
 
 # --- year comparisons on already aggregated rows ---------------------------------

@@ -212,8 +212,9 @@ def _(spark, sf):
 
 @entry("date_hierarchy", """SELECT CAST(year("ServiceDate") AS INTEGER) AS "Year",
     'Qtr ' || quarter("ServiceDate") AS "Quarter", monthname("ServiceDate") AS "Month",
-    CAST(day("ServiceDate") AS INTEGER) AS "Day", count(*) AS "TotalClaims" FROM v_claims
-    GROUP BY ROLLUP (1, 2, 3, 4)""")
+    CAST(day("ServiceDate") AS INTEGER) AS "Day", CAST(4 - grouping(year("ServiceDate")) - grouping('Qtr ' || quarter("ServiceDate"))
+    - grouping(monthname("ServiceDate")) - grouping(day("ServiceDate")) AS INTEGER) AS "Level", count(*) AS "TotalClaims" FROM v_claims
+    GROUP BY ROLLUP (year("ServiceDate"), 'Qtr ' || quarter("ServiceDate"), monthname("ServiceDate"), day("ServiceDate"))""")
 def _(spark, sf):
     return r.date_hierarchy(warehouse_for(spark, sf).view(m.CLAIMS))
 

@@ -11,7 +11,7 @@ from carelake.operators.dimensions import semantic_date_table
 from carelake.plans import procedures as proc
 from carelake.plans import views
 from carelake.plans.warehouse import warehouse_for
-from carelake.registry.base import entry, n_rows
+from carelake.registry.base import add, entry, n_rows
 from carelake.registry.sql import ratio, total
 from carelake.sources import testdata as td
 
@@ -162,6 +162,27 @@ def _(spark, sf):
     return lookups.cross_filter(wh.view(LABS), chosen).groupBy("TestName").agg(n_rows("labs"))
 
 
+CROSSED = {  # what is kept, by which selection of the other table, counted by
+    "cross_filter_claims_by_labs": (CLAIMS, "v_claims", LABS, "v_labs", {"AbnormalFlag": "Critical"}, "ClaimStatus"),
+    "cross_filter_prescriptions_by_claims": (RX, "v_rx", CLAIMS, "v_claims", {"ClaimStatus": "Denied"}, "DrugName"),
+    "cross_filter_claims_by_prescriptions": (CLAIMS, "v_claims", RX, "v_rx", {"DrugName": "Metformin"}, "PayerType"),
+}
+
+
+def _crossed(kept: str, by: str, choice: dict, group: str):
+    def query(spark, sf):
+        wh = warehouse_for(spark, sf)
+        chosen = pred.slicers(wh.view(by), {c: [v] for c, v in choice.items()})
+        return lookups.cross_filter(wh.view(kept), chosen).groupBy(group).agg(n_rows("n"))
+    return query
+
+
+for _name, (_kept, _kept_sql, _by, _by_sql, _choice, _group) in CROSSED.items():
+    _where = " AND ".join(f""""{c}" = '{v}'""" for c, v in _choice.items())
+    add(_name, _crossed(_kept, _by, _choice, _group), f"""SELECT "{_group}", count(*) AS n FROM {_kept_sql}
+        WHERE "PatientID" IN (SELECT "PatientID" FROM {_by_sql} WHERE {_where}) GROUP BY ALL""")
+
+
 @entry("date_part_join", """SELECT CAST(year(ts) AS INTEGER) AS "Year", monthname(ts) AS "Month",
     CAST(day(ts) AS INTEGER) AS "Day", count(*) AS calls FROM events GROUP BY ALL""")
 def _(spark, sf):
