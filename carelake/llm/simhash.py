@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.llm import golay
-from carelake.llm.common import append_columns, dropped, of_documents, stored
+from carelake.llm.common import WordHashes, Windows, append_columns, dropped, of_documents, steps, stored, texts_of
 from carelake.llm.components import components
 
 SEED = 42  # Fixed value.
@@ -172,3 +172,63 @@ def near_duplicates(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", tex
     groups = firsts.join(reached, firsts["first"] == reached["node"], "left").select("print", F.coalesce("component", "first").alias("component_id"))
     dropped(found)
     return prints.join(groups, "print", "left").select("doc_id", "print", "component_id")
+
+
+#: A piece ends after a run of PIECE_RUN words whose hash is 0 modulo PIECE_EVERY; pieces under PIECE_LEAST words are no evidence.
+PIECE_RUN, PIECE_EVERY, PIECE_LEAST = 2, 10, 6
+#: Smallest shingle hashes kept of each document; documents with fewer shingles are compared exactly.
+SKETCH = 512
+
+
+def _evidence(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, sketch, pieces): the SKETCH smallest shingle hashes, and the fingerprints of content-defined pieces."""
+    def run(batches):
+        word_hashes, windows = WordHashes(), Windows()
+        for batch in steps(batches):
+            sketches, pieces = [], []
+            for text in texts_of(batch):
+                words = word_hashes.of(text.encode().lower().split())
+                shingles = windows.of(words, min(width, len(words))) if len(words) else words
+                sketches.append(np.unique(shingles)[:SKETCH].view(np.int64))
+                ends = np.flatnonzero(windows.of(words, PIECE_RUN) % np.uint64(PIECE_EVERY) == 0) + PIECE_RUN
+                cuts = np.unique(np.concatenate([[0], ends, [len(words)]]))
+                own = [fingerprint(shingles[a:b - width + 1]) for a, b in zip(cuts, cuts[1:]) if b - a >= max(PIECE_LEAST, width)]
+                pieces.append(np.unique(np.array(own, dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int64()))],
+                                             names=["doc_id", "sketch", "pieces"])
+
+    return docs.mapInArrow(run, "doc_id long, sketch array<bigint>, pieces array<bigint>")
+
+
+def _similar(a, b):
+    """Similarity of two shingle sets from their smallest hashes, unsigned order being kept by both."""
+    order = lambda x: F.array_sort(F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
+    union = F.slice(order(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(union, F.array_intersect(order(a), order(b)))) / F.size(union)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of each id: groups of documents whose sets of ``width``-word shingles are alike by ``similarity`` or more.
+
+    Whole-document fingerprints, at most 4 bits apart, find the closest copies;
+    copies at a similarity of 0.8 differ in 5 to 14 bits, which no key forgives.
+    So documents are also cut into content-defined pieces with a fingerprint
+    each: an edit changes its own piece only, and alike documents share others.
+    Documents are paired with the first document of each piece they hold, and
+    of each near fingerprint, so pairs grow with the pieces; every pair is
+    verified by its shingles' smallest hashes.
+    """
+    named = of_documents(docs, doc_id, text).where("doc_id IS NOT NULL")
+    found = stored(_evidence(named, width).groupBy("doc_id").agg(F.min("sketch").alias("sketch"), F.min("pieces").alias("pieces")), "evidence", "zstd")
+    pieces = stored(found.select("doc_id", F.explode("pieces").alias("piece")), "pieces", "zstd")
+    firsts = stored(pieces.groupBy("piece").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("piece", "first"), "first-pieces")
+    by_piece = pieces.join(firsts, "piece").where("doc_id != first").select("doc_id", "first")
+    by_print = near_duplicates(named, width).where("doc_id != component_id").select("doc_id", F.col("component_id").alias("first"))
+    pairs = stored(by_piece.unionByName(by_print).distinct(), "pairs")
+    half = stored(pairs.join(found.select("doc_id", F.col("sketch").alias("a")), "doc_id"), "pairs", "zstd")
+    alike = half.join(found.select(F.col("doc_id").alias("first"), F.col("sketch").alias("b")), "first").where(
+        (F.size("a") + F.size("b") == 0) | (_similar(F.col("a"), F.col("b")) >= similarity))
+    reached = components(alike.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    dropped(pieces, firsts, pairs, half)
+    ids = found.select("doc_id")
+    return ids.join(reached, ids["doc_id"] == reached["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

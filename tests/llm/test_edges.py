@@ -74,6 +74,19 @@ def test_simhash(spark, odd, none):
     assert {c for (d, p), c in got.items() if d is None} <= {None, 3, 4, 5}
 
 
+def test_similar_groups(spark, odd, none):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    edited = [base if i == 0 else [rng.choice(words) if j % 50 == i else w for j, w in enumerate(base)] for i in range(5)]
+    other = [[rng.choice(words) for _ in range(400)] for _ in range(3)]
+    docs = [(10 + i, " ".join(w)) for i, w in enumerate(edited)] + [(20 + i, " ".join(w)) for i, w in enumerate(other)] + [(30, ""), (31, None), (32, "a b"), (33, "A b")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()}
+    assert {got[i] for i in range(10, 15)} == {10} and all(got[i] == i for i in (20, 21, 22))
+    assert got[31] == 30 and got[33] == 32
+    assert {r["doc_id"] for r in simhash.similar_groups(odd).collect()} == {1, 2, 3, 4, 5} and simhash.similar_groups(none).count() == 0
+
+
 def test_golay_decodes_within_two_bits():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 23, 2000)
