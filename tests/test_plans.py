@@ -9,7 +9,7 @@ def plan(df) -> str:
 
 def test_date_filter_prunes_years_and_reaches_the_scan(spark, wh):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    text = plan(proc.get_claims_summary(wh.view("vw_ClaimsSummary"), "1997-03-01", "1998-10-31", "Medicare"))
+    text = plan(proc.get_claims_summary(wh.view("vw_ClaimsSummary"), "1997-03-01", "1998-10-31", "Medicare", top_n=100))
     assert "TakeOrderedAndProject" in text
     assert "PartitionFilters: [isnotnull(ServiceYear" in text and "ServiceYear#" in text
     assert "EqualTo(PayerType,Medicare)" in text and "GreaterThanOrEqual(ServiceDate" in text
