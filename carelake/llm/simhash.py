@@ -174,61 +174,148 @@ def near_duplicates(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", tex
     return prints.join(groups, "print", "left").select("doc_id", "print", "component_id")
 
 
-#: A piece ends after a run of PIECE_RUN words whose hash is 0 modulo PIECE_EVERY; pieces under PIECE_LEAST words are no evidence.
-PIECE_RUN, PIECE_EVERY, PIECE_LEAST = 2, 10, 6
-#: Smallest shingle hashes kept of each document; documents with fewer shingles are compared exactly.
-SKETCH = 512
-
-
-def _evidence(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, sketch, pieces): the SKETCH smallest shingle hashes, and the fingerprints of content-defined pieces."""
+def _shingle_sets(docs: DataFrame, width: int, made, schema: str) -> DataFrame:
+    """``made`` of the ids and the distinct shingle hashes (sorted) of each step's documents."""
     def run(batches):
         word_hashes, windows = WordHashes(), Windows()
         for batch in steps(batches):
-            sketches, pieces = [], []
+            sets = []
             for text in texts_of(batch):
                 words = word_hashes.of(text.encode().lower().split())
-                shingles = windows.of(words, min(width, len(words))) if len(words) else words
-                sketches.append(np.unique(shingles)[:SKETCH].view(np.int64))
-                ends = np.flatnonzero(windows.of(words, PIECE_RUN) % np.uint64(PIECE_EVERY) == 0) + PIECE_RUN
-                cuts = np.unique(np.concatenate([[0], ends, [len(words)]]))
-                own = [fingerprint(shingles[a:b - width + 1]) for a, b in zip(cuts, cuts[1:]) if b - a >= max(PIECE_LEAST, width)]
-                pieces.append(np.unique(np.array(own, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int64()))],
-                                             names=["doc_id", "sketch", "pieces"])
+                sets.append(np.unique(windows.of(words, min(width, len(words)))).view(np.int64) if len(words) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in made(batch.column("doc_id"), sets)],
+                                             names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, sketch array<bigint>, pieces array<bigint>")
+    return docs.mapInArrow(run, schema)
 
 
-def _similar(a, b):
-    """Similarity of two shingle sets from their smallest hashes, unsigned order being kept by both."""
-    order = lambda x: F.array_sort(F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
-    union = F.slice(order(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(union, F.array_intersect(order(a), order(b)))) / F.size(union)
+def _facts(ids, sets):
+    return ids, np.array([len(s) for s in sets], dtype=np.int32), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets])
+
+
+def _flat(ids, sets):
+    return np.repeat(np.asarray(ids), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.int64)
+
+
+def _whole(ids, sets):
+    return ids, pa.array(sets, pa.list_(pa.int64()))
+
+
+#: Room for rounding in bounds that only rule pairs out; the test of a pair itself is exact.
+_SLACK = 1e-6
+
+
+def _prefixes(single: DataFrame, facts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(shingle, doc_id, size, rest) of each document's rarest shingles that other documents hold too.
+
+    ``rest``: how many of its shingles are not rarer than this one.
+    """
+    flat = _shingle_sets(single, width, _flat, "doc_id long, shingle long")
+    often = stored(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often", "zstd")
+    shared = stored(flat.join(often, "shingle"), "shared", "zstd")
+    dropped(often)
+    known = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("known")).join(facts.select("doc_id", "size"), "doc_id")
+    wanted = F.col("size") - F.ceil(F.col("size") * similarity - _SLACK) + 1 - (F.col("size") - F.size("known"))
+    rarest = known.withColumn("wanted", wanted.cast("int")).where("wanted > 0")
+    cut = rarest.select("doc_id", "size", F.size("known").alias("known"), F.posexplode(F.slice("known", F.lit(1), F.col("wanted"))).alias("at", "x"))
+    held = stored(cut.select("x.shingle", "doc_id", "size", (F.col("known") - F.col("at")).alias("rest")), "held", "zstd")
+    dropped(shared)
+    return held
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of each id: groups of documents whose sets of ``width``-word shingles are alike by ``similarity`` or more.
 
-    Whole-document fingerprints, at most 4 bits apart, find the closest copies;
-    copies at a similarity of 0.8 differ in 5 to 14 bits, which no key forgives.
-    So documents are also cut into content-defined pieces with a fingerprint
-    each: an edit changes its own piece only, and alike documents share others.
-    Documents are paired with the first document of each piece they hold, and
-    of each near fingerprint, so pairs grow with the pieces; every pair is
-    verified by its shingles' smallest hashes.
+    No pair is missed: with shingles in one order, rarest first, two alike sets
+    share a shingle among the first ``1 - similarity`` of each (prefix filter), and
+    what follows the first shared one must suffice for the similarity.  Shingles
+    that one document alone holds come first, so a document pairs with others
+    only if nearly all it says is said elsewhere.  Fingerprints can't do this: copies at
+    a similarity of 0.8 differ in 5 to 14 bits.
+
+    A bucket is the documents with one such shingle.  In rounds, its first document is
+    compared with the others, and those it rejects go on with the next one, so that
+    a group of copies costs as many pairs as members.  Then all pairs of a bucket
+    that no path connects yet are compared, once each.
+
+    Equal sets are grouped by a 128-bit digest and stand for one document.  Rows that
+    repeat an id are one document, with the smallest text.
     """
     named = of_documents(docs, doc_id, text).where("doc_id IS NOT NULL")
-    found = stored(_evidence(named, width).groupBy("doc_id").agg(F.min("sketch").alias("sketch"), F.min("pieces").alias("pieces")), "evidence", "zstd")
-    pieces = stored(found.select("doc_id", F.explode("pieces").alias("piece")), "pieces", "zstd")
-    firsts = stored(pieces.groupBy("piece").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("piece", "first"), "first-pieces")
-    by_piece = pieces.join(firsts, "piece").where("doc_id != first").select("doc_id", "first")
-    by_print = near_duplicates(named, width).where("doc_id != component_id").select("doc_id", F.col("component_id").alias("first"))
-    pairs = stored(by_piece.unionByName(by_print).distinct(), "pairs")
-    half = stored(pairs.join(found.select("doc_id", F.col("sketch").alias("a")), "doc_id"), "pairs", "zstd")
-    alike = half.join(found.select(F.col("doc_id").alias("first"), F.col("sketch").alias("b")), "first").where(
-        (F.size("a") + F.size("b") == 0) | (_similar(F.col("a"), F.col("b")) >= similarity))
-    reached = components(alike.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    dropped(pieces, firsts, pairs, half)
-    ids = found.select("doc_id")
+    again = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        named = named.join(again, "doc_id", "left_anti").unionByName(
+            named.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    facts = stored(_shingle_sets(named, width, _facts, "doc_id long, size int, digest string"), "shingle-facts")
+    firsts = facts.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    equal = stored(facts.join(firsts, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b"), "equal")
+    single = named.join(equal.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    held = _prefixes(single, facts, width, similarity)
+    met = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    members = stored(held.join(met, "shingle", "left_semi"), "members", "zstd")
+    dropped(held)
+    sets = stored(_shingle_sets(single.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), width, _whole, "doc_id long, shingles array<bigint>"), "sets", "zstd")
+    edges = equal.union(_member_links(members, sets, similarity))
+    reached = components(edges)
+    dropped(members, sets)
+    ids = facts.select("doc_id")
     return ids.join(reached, ids["doc_id"] == reached["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _possible(similarity: float):
+    """Whether sizes, and what follows a shared shingle on both sides, allow the similarity; for the first shared one this holds of all alike pairs."""
+    x, y = F.col("x.size"), F.col("y.size")
+    return ((F.least(x, y) >= F.greatest(x, y) * similarity - _SLACK)
+            & (F.least("x.rest", "y.rest") >= (x + y) * (similarity / (1 + similarity)) - _SLACK))
+
+
+#: Smallest shingle hashes that a pair is judged by; documents with fewer shingles are compared exactly.
+SKETCH = 512
+
+
+def _similar(a, b):
+    """Similarity of two shingle sets from their smallest hashes, unsigned order being kept by both."""
+    order = lambda x: F.array_sort(F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
+    union = F.slice(order(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(union, F.array_intersect(order(a), order(b)))) / F.size(union)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike, by their smallest hashes."""
+    half = stored(pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a"), "half-pairs", "zstd")
+    alike = half.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b").where(
+        _similar(F.col("s"), F.col("t")) >= similarity).select("a", "b")
+    out = stored(alike, "alike")
+    dropped(half)
+    return out
+
+
+def _member_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what is connected by alike pairs of one bucket's members."""
+    rest, links_, tried = members.withColumn("label", F.col("doc_id")), None, None
+    while True:
+        centres = stored(rest.groupBy("shingle").agg(F.min(F.struct("doc_id", "size", "rest", "label")).alias("y")).select("shingle", "y.*"), "centres")
+        pairs = rest.alias("x").join(centres.alias("y"), "shingle").where((F.col("x.label") != F.col("y.label")) & _possible(similarity))
+        new = pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = stored(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = new if tried is None else tried.union(new)
+        alike = _verified(new, sets, similarity)
+        found = not alike.isEmpty()
+        if found or links_ is None:
+            links_ = alike if links_ is None else links_.union(alike)
+            labels = components(links_)
+        label = lambda df: df.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "label", F.coalesce("component", "doc_id")).drop("component")
+        if not found:
+            break
+        past = label(centres.select("shingle", "doc_id")).select("shingle", F.col("label").alias("past"))
+        rest = stored(label(rest).join(past, "shingle").where("label != past").drop("past"), "rest")
+    whole = stored(label(members), "labelled", "zstd")
+    mixed_ = whole.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+    open_ = stored(whole.join(mixed_, "shingle", "left_semi"), "open", "zstd")
+    cross = open_.alias("x").join(open_.alias("y"), "shingle").where(
+        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & _possible(similarity))
+    left = stored(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    alike = _verified(left, sets, similarity)
+    dropped(whole, open_, left)
+    return links_.union(alike)
