@@ -203,6 +203,8 @@ def _whole(ids, sets):
 
 #: Room for rounding in bounds that only rule pairs out; the test of a pair itself is exact.
 _SLACK = 1e-6
+#: Rounds of first documents end when no more pairs than this are open for each row of the buckets.
+PAIRS_A_ROW = 4
 
 
 def _prefixes(single: DataFrame, facts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -269,22 +271,12 @@ def _possible(similarity: float):
             & (F.least("x.rest", "y.rest") >= (x + y) * (similarity / (1 + similarity)) - _SLACK))
 
 
-#: Smallest shingle hashes that a pair is judged by; documents with fewer shingles are compared exactly.
-SKETCH = 512
-
-
-def _similar(a, b):
-    """Similarity of two shingle sets from their smallest hashes, unsigned order being kept by both."""
-    order = lambda x: F.array_sort(F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)))))
-    union = F.slice(order(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(union, F.array_intersect(order(a), order(b)))) / F.size(union)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are alike, by their smallest hashes."""
+    """The pairs (a, b) whose whole sets are alike."""
     half = stored(pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a"), "half-pairs", "zstd")
+    both = F.size(F.array_intersect("s", "t"))
     alike = half.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b").where(
-        _similar(F.col("s"), F.col("t")) >= similarity).select("a", "b")
+        both / (F.size("s") + F.size("t") - both) >= similarity).select("a", "b")
     out = stored(alike, "alike")
     dropped(half)
     return out
@@ -306,11 +298,14 @@ def _member_links(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
             labels = components(links_)
         label = lambda df: df.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "label", F.coalesce("component", "doc_id")).drop("component")
-        if not found:
+        whole = stored(label(members), "labelled", "zstd")
+        sizes = whole.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        open_pairs, rows_ = sizes.agg(F.coalesce(F.sum(F.expr("(n * n - q) div 2")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not found or open_pairs <= PAIRS_A_ROW * rows_:
             break
         past = label(centres.select("shingle", "doc_id")).select("shingle", F.col("label").alias("past"))
         rest = stored(label(rest).join(past, "shingle").where("label != past").drop("past"), "rest")
-    whole = stored(label(members), "labelled", "zstd")
+        dropped(whole)
     mixed_ = whole.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
     open_ = stored(whole.join(mixed_, "shingle", "left_semi"), "open", "zstd")
     cross = open_.alias("x").join(open_.alias("y"), "shingle").where(

@@ -118,6 +118,20 @@ def test_similar_groups_behind_an_earlier_holder(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()} == want
 
 
+def test_similar_groups_of_long_texts_at_the_bound(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(9000)]
+    docs = []
+    for k in range(0, 120, 2):
+        base = [rng.choice(words) for _ in range(1500)]
+        n = 33 + k % 4  # five shingles each: 0.80 lies between 33 and 34
+        places = set(range(7, 7 + 40 * n, 40))
+        docs += [(k, " ".join(base)), (k + 1, " ".join("new" + w if i in places else w for i, w in enumerate(base)))]
+    want = groups_by_all_pairs(docs)
+    assert 60 < len(set(want.values())) < 120
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()} == want
+
+
 def test_golay_decodes_within_two_bits():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 23, 2000)
