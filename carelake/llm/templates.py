@@ -6,15 +6,16 @@ outer punctuation.  Windows of ``width`` template words of documents and benchma
 items are hash-joined; each window carries its slots' values.  An item leaks into
 a document in one of two ways:
 
-* ``verbatim``: enough of its windows are there with equal slots;
+* ``verbatim``: enough of its windows are there with equal slots, or enough of its
+  windows of plain words (without case, of any kind, also where most are slots);
 * ``reparameterised``: along one alignment of item and document enough windows are
   there and their slots are consistent, which means that each value of the item
   stands for one value of the document and the other way round.
 
 Enough is ``coverage`` of the item's windows, or a run's worth of ``run`` words.
-Items with fewer words than a window count as one window of their own length, if
-they have ``least`` words or more; windows that are mostly slots say too little
-and are left out on both sides.
+Items with fewer words than a window count as one window of their own length.  As
+templates, texts under ``least`` words and windows that are mostly slots say too
+little and are left out on both sides; as plain words, none are.
 
 Documents send on only windows whose hash is in the benchmark. Up to
 ``most_hashes`` hashes (8 bytes each) those are known to each task from a
@@ -91,8 +92,8 @@ class Lexicon(dict):
         self.hashes[self.size:self.size + count], self.marks[self.size:self.size + count] = self.new
         self.size, self.new = self.size + count, ([], [])
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, places of those that are no line break, the hash of each one's template, and its kind."""
+    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, places of those that are no line break, the hash of each one's template, its kind, and the hash of the plain word."""
         if len(self) > CACHE_ENTRIES:
             self._forget()
         words = text.replace(_LINE, " ").replace("\n", f" {_LINE} ").split()
@@ -107,18 +108,22 @@ class Lexicon(dict):
                                                               np.where((marks & self.CAPITAL).astype(bool) & ~first, NAME, PLAIN)))
         shown = np.flatnonzero((marks & self.BREAK) == 0)
         kind = kind[shown]
-        return words, shown, np.where(kind == PLAIN, hashes[shown], self.slots[kind]), kind
+        return words, shown, np.where(kind == PLAIN, hashes[shown], self.slots[kind]), kind, hashes[shown]
 
 
-def windows_of(lexicon: Lexicon, windows: Windows, text: str, width: int, least: int, short: bool):
-    """Hashes of the windows that say enough, their starts, and a function to a window's slots.
+#: Part of the hash of plain windows, so that they never meet windows of templates.
+_PLAIN_MARK = np.uint64(1 << 32)
 
-    ``short``: a text under ``width`` words is one window of its own length.
+
+def windows_of(windows: Windows, read: tuple, width: int, least: int, short: bool):
+    """Template windows that say enough: hashes, starts, and a function to a window's slots; then the width, and hashes of all plain windows.
+
+    ``read``: a text read by the lexicon.  ``short``: a text under ``width`` words is one window of its own length; the plain one may have under ``least``.
     """
-    words, shown, hashes, kinds = lexicon.read(text)
-    if short and least <= len(shown) < width:
+    words, shown, hashes, kinds, plain = read
+    if short and 0 < len(shown) < width:
         width = len(shown)
-    found = windows.of(hashes, width)
+    found = windows.of(hashes, width) if width >= least else hashes[:0]
     filled = np.cumsum(np.concatenate([[0], kinds != PLAIN]))
     at = np.flatnonzero(2 * (filled[width:] - filled[:-width]) <= width) if len(found) else np.zeros(0, np.int64)
 
@@ -127,7 +132,11 @@ def windows_of(lexicon: Lexicon, windows: Windows, text: str, width: int, least:
         return [f"{kind}:{_CORE.sub('', word) or word}" for kind, word in values]
 
     # The length is part of the hash, so that windows of several lengths can share a table.
-    return mixed(found[at] ^ np.uint64(width)), at, slots, width
+    return mixed(found[at] ^ np.uint64(width)), at, slots, width, mixed(windows.of(plain, width) ^ np.uint64(width) ^ _PLAIN_MARK)
+
+
+def _no_slots(start: int) -> list[str]:
+    return []
 
 
 def _first_of(hashes: np.ndarray, at: np.ndarray, slots) -> list[tuple[int, int, list[str]]]:
@@ -142,19 +151,20 @@ def _first_of(hashes: np.ndarray, at: np.ndarray, slots) -> list[tuple[int, int,
 
 
 def item_windows(items: DataFrame, width: int, least: int) -> DataFrame:
-    """(item_id, hash, item_at, item_slots, length) of benchmark items."""
+    """(item_id, hash, item_at, item_slots, length, plain) of benchmark items; ``plain``: a window of words as they are, without slots."""
     def run(batches):
         lexicon, windows = Lexicon(), Windows()
         for batch in steps(batches):
             rows = []
             for item, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                hashes, at, slots, length = windows_of(lexicon, windows, text, width, least, True)
-                rows += [(item, h, start, values, length) for h, start, values in _first_of(hashes, at, slots)]
+                hashes, at, slots, length, plain = windows_of(windows, lexicon.read(text), width, least, True)
+                rows += [(item, h, start, values, length, False) for h, start, values in _first_of(hashes, at, slots)]
+                rows += [(item, h, start, values, length, True) for h, start, values in _first_of(plain, np.arange(len(plain)), _no_slots)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))],
-                names=["item_id", "hash", "item_at", "item_slots", "length"])
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_()))],
+                names=["item_id", "hash", "item_at", "item_slots", "length", "plain"])
 
-    return items.mapInArrow(run, "item_id long, hash long, item_at int, item_slots array<string>, length int")
+    return items.mapInArrow(run, "item_id long, hash long, item_at int, item_slots array<string>, length int, plain boolean")
 
 
 def document_windows(docs: DataFrame, width: int, lengths: list[int], least: int, known=None) -> DataFrame:
@@ -164,14 +174,16 @@ def document_windows(docs: DataFrame, width: int, lengths: list[int], least: int
         for batch in steps(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+                read = lexicon.read(text)
                 for length in lengths:
-                    hashes, at, slots, _ = windows_of(lexicon, windows, text, length, least, False)
-                    if known is not None and len(hashes):
-                        values = known.value
-                        place = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-                        there = values[place] == hashes
-                        hashes, at = hashes[there], at[there]
-                    rows += [(doc, *r) for r in _first_of(hashes, at, slots)]
+                    hashes, at, slots, _, plain = windows_of(windows, read, length, least, False)
+                    for found, starts, values_of in ((hashes, at, slots), (plain, np.arange(len(plain)), _no_slots)):
+                        if known is not None and len(found):
+                            values = known.value
+                            place = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                            there = values[place] == found
+                            found, starts = found[there], starts[there]
+                        rows += [(doc, *r) for r in _first_of(found, starts, values_of)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))],
                 names=["doc_id", "hash", "at", "slots"])
@@ -191,11 +203,12 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, cov
         known = docs.sparkSession.sparkContext.broadcast(hashes) if len(hashes) else None
     named = of_documents(docs, doc_id, text).where("doc_id IS NOT NULL")
     found = stored(document_windows(named, width, lengths, least, known), "document-windows")
-    sizes = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("length").alias("length"))
+    template = F.when(~F.col("plain"), 1)
+    sizes = wanted.groupBy("item_id").agg(F.count(template).alias("n_templates"), F.count(F.when(F.col("plain"), 1)).alias("n_plain"), F.max("length").alias("length"))
     met = found.join(wanted.drop("length"), "hash").select(
-        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("slots") == F.col("item_slots")).cast("long").alias("same"),
+        "doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("slots") == F.col("item_slots")).cast("long").alias("same"),
         F.arrays_zip("item_slots", "slots").alias("pairs"))
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(
+    aligned = met.where(~F.col("plain")).groupBy("doc_id", "item_id", "shift").agg(
         F.count(F.lit(1)).alias("n"), F.sum("same").alias("same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     consistent = (values("item_slots") == F.size("pairs")) & (values("slots") == F.size("pairs"))
@@ -203,10 +216,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, cov
     best = aligned.groupBy("doc_id", "item_id").agg(
         F.sum("same").alias("n_same"), F.coalesce(F.max(F.when(consistent, F.col("n"))), F.lit(0)).alias("n_consistent"),
         F.max(F.when(consistent, F.struct(F.col("n"), changed.alias("changed")))).alias("chosen"))
-    judged = best.join(sizes, "item_id")
-    enough = lambda n: (n >= coverage * F.col("n_windows")) | (n + F.col("length") - 1 >= run)
-    verbatim = enough(F.col("n_same")) & (F.col("n_same") > 0)
-    return (judged.where(verbatim | enough(F.col("n_consistent")) & (F.col("n_consistent") > 0))
-            .select("doc_id", "item_id", "n_windows", "n_same", "n_consistent",
+    as_is = met.where("plain").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_words"))
+    judged = best.join(as_is, ["doc_id", "item_id"], "full").na.fill(0, ["n_same", "n_consistent", "n_words"]).join(sizes, "item_id")
+    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= coverage * F.col(of)) | (F.col(n) + F.col("length") - 1 >= run))
+    verbatim = enough("n_same", "n_templates") | enough("n_words", "n_plain")
+    return (judged.where(verbatim | enough("n_consistent", "n_templates"))
+            .select("doc_id", "item_id", F.greatest("n_templates", "n_plain").alias("n_windows"), F.greatest("n_same", "n_words").alias("n_same"), "n_consistent",
                     F.when(verbatim, F.lit(0)).otherwise(F.col("chosen.changed")).cast("long").alias("changed_slots"),
                     F.when(verbatim, "verbatim").otherwise("reparameterised").alias("kind")))

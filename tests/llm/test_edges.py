@@ -232,6 +232,16 @@ def test_templates(spark, odd, none):
     assert templates.leaks(rows(spark, (1, "They say: name the tallest known tree, please"), (2, "tallest known tree")), short).count() == 1
 
 
+def test_verbatim_leaks_of_slots_and_short_items(spark):
+    items = [(1, "Anna Bell Carl Dunn Eva Ford Gus Hill Ida Jones Karl Lund"), (2, "12 7 19 4 88 3 51 6 20 14"),
+             (3, "WHICH OF THESE RIVERS RUNS THROUGH THE CITY OF VIENNA TODAY"), (4, "Name the tallest tree"), (5, "Bolzano theorem"), (6, "Never given anywhere at all by anyone here")]
+    texts = [(i, f"and then we read: so {t} is what it says") for i, t in items[:5]] + [(9, "tallest the name theorem 12 7 4 19 Carl Bell")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = {(r["doc_id"], r["item_id"], r["kind"]) for r in templates.leaks(rows(spark, *texts), df, most_hashes=most).collect()}
+        assert got == {(i, i, "verbatim") for i in range(1, 6)}
+
+
 def test_pivot_search(spark):
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(300 + i, [0.5] * 6) for i in range(200)]
