@@ -9,8 +9,9 @@ a document in one of two ways:
 * ``verbatim``: enough of its windows are there with equal slots, or enough of its
   windows of plain words (without case, of any kind, also where most are slots);
 * ``reparameterised``: along one alignment of item and document enough windows are
-  there and their slots are consistent, which means that each value of the item
-  stands for one value of the document and the other way round.
+  there that agree on one value of the document for each value of the item: the
+  one it stands for most often.  Windows with another value don't count.  No two
+  values of the item may stand for the same one of the document.
 
 Enough is ``coverage`` of the item's windows, or a run's worth of ``run`` words.
 Items with fewer words than a window count as one window of their own length.  As
@@ -30,6 +31,7 @@ document; repeated items each count.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +193,27 @@ def document_windows(docs: DataFrame, width: int, lengths: list[int], least: int
     return docs.mapInArrow(run, "doc_id long, hash long, at int, slots array<string>")
 
 
+def agreeing(aligned: DataFrame) -> DataFrame:
+    """(doc_id, item_id, same, n, changed): how many windows of an alignment agree with what each item value mostly stands for, and how many values differ."""
+    def run(batches):
+        for batch in batches:
+            counts, changes = [], []
+            for windows in batch.column("windows").to_pylist():
+                seen = [[(p["item_slots"], p["slots"]) for p in w] for w in windows]
+                chosen: dict[str, str] = {}
+                for (value, other), _ in sorted(Counter(p for w in seen for p in w).items(), key=lambda x: (-x[1], x[0])):
+                    chosen.setdefault(value, other)
+                kept = [w for w in seen if all(chosen[value] == other for value, other in w)]
+                used = {p for w in kept for p in w}
+                counts.append(len(kept) if len({other for _, other in used}) == len(used) else 0)
+                changes.append(len({p for p in used if p[0] != p[1]}))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("doc_id", "item_id", "same")], pa.array(counts, pa.int64()), pa.array(changes, pa.int64())],
+                names=["doc_id", "item_id", "same", "n", "changed"])
+
+    return aligned.mapInArrow(run, "doc_id long, item_id long, same long, n long, changed long")
+
+
 def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, coverage: float = 0.5, run: int = 13,
           most_hashes: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that leaks: doc_id, item_id, n_windows, n_same, n_consistent, changed_slots, kind."""
@@ -208,14 +231,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, cov
     met = found.join(wanted.drop("length"), "hash").select(
         "doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("slots") == F.col("item_slots")).cast("long").alias("same"),
         F.arrays_zip("item_slots", "slots").alias("pairs"))
-    aligned = met.where(~F.col("plain")).groupBy("doc_id", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("same").alias("same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("item_slots") == F.size("pairs")) & (values("slots") == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"])).cast("long")
-    best = aligned.groupBy("doc_id", "item_id").agg(
-        F.sum("same").alias("n_same"), F.coalesce(F.max(F.when(consistent, F.col("n"))), F.lit(0)).alias("n_consistent"),
-        F.max(F.when(consistent, F.struct(F.col("n"), changed.alias("changed")))).alias("chosen"))
+    aligned = met.where(~F.col("plain")).groupBy("doc_id", "item_id", "shift").agg(F.sum("same").alias("same"), F.collect_list("pairs").alias("windows"))
+    best = agreeing(aligned).groupBy("doc_id", "item_id").agg(
+        F.sum("same").alias("n_same"), F.max("n").alias("n_consistent"), F.max(F.struct("n", "changed")).alias("chosen"))
     as_is = met.where("plain").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_words"))
     judged = best.join(as_is, ["doc_id", "item_id"], "full").na.fill(0, ["n_same", "n_consistent", "n_words"]).join(sizes, "item_id")
     enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= coverage * F.col(of)) | (F.col(n) + F.col("length") - 1 >= run))

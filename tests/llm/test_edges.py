@@ -242,6 +242,16 @@ def test_verbatim_leaks_of_slots_and_short_items(spark):
         assert got == {(i, i, "verbatim") for i in range(1, 6)}
 
 
+def test_reparameterised_leaks_with_one_value_for_two_things(spark):
+    item = ("A farmer sells {} baskets of ripe apples every morning and {} baskets of sweet pears every evening while a careful helper "
+            "carries {} crates of fresh plums down to the market near the old river bridge before counting {} coins into a small wooden box")
+    items = spark.createDataFrame([(1, item.format(12, 5, 3, 3))], "item_id long, text string")
+    texts = [(3, item.format(7, 9, 5, 6)), (4, item.format(7, 9, 4, 4)), (5, "A farmer sells 8 baskets of ripe apples")]
+    got = {r["doc_id"]: (r["kind"], r["n_consistent"], r["n_windows"]) for r in templates.leaks(rows(spark, *texts), items, coverage=0.6, run=1000).collect()}
+    assert set(got) == {3, 4} and got[4][1] == got[4][2] and 0 < got[3][1] < got[3][2]
+    assert {k for k, _, _ in got.values()} == {"reparameterised"}
+
+
 def test_pivot_search(spark):
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(300 + i, [0.5] * 6) for i in range(200)]
