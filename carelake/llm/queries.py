@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, compression, pivots, ppm, secrets, simhash, sql, substrings, templates, urltree, warc
+from carelake.llm import bpe, compression, divergence, pivots, ppm, secrets, simhash, sql, substrings, templates, urltree, warc
 from carelake.llm.common import fold, of_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ LM_FOLDS = 10
 @query("op10_ppm_scores")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(table(spark, sf_dir, "documents"), ppm.not_in_fold(LM_FOLDS))
+
+
+@query("op13_source_divergence", sql.DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)

@@ -151,3 +151,40 @@ def url_filter(rules, tree) -> str:
     return f"""WITH {", ".join(steps)}
 SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN p >= {tree.threshold} THEN 'block' ELSE 'allow' END) AS verdict, template, p AS purity
 FROM marked m LEFT JOIN {last} t ON t.host = m.host AND {" AND ".join(f"t.{c} = m.{c}" for c in cols)}"""
+
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), totals AS (
+    SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang
+), grp AS (
+    SELECT DISTINCT lang, source FROM d
+), c AS (
+    SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sized AS (
+    SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM grp LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), dense AS (
+    SELECT lang, source, term, coalesce(c.n, 0) AS n,
+           1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (s.n + 2 * totals.v) AS p,
+           1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 2)) // (totals.n + 2 * totals.v) AS q
+    FROM sized s JOIN totals USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+    SELECT g.lang, g.source, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM grp g JOIN grp o ON g.lang = o.lang AND g.source <> o.source
+    LEFT JOIN pair p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+), parts AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
