@@ -188,3 +188,42 @@ WITH d AS (
 )
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+#: crc32 of UTF-8 text, byte by byte over the table of the reversed polynomial.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])))"""
+
+RESAMPLING = r"""
+WITH RECURSIVE bits AS (
+    SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
+    UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS MATERIALIZED (
+    SELECT list(v ORDER BY i) AS steps FROM bits WHERE k = 8
+), d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), w AS MATERIALIZED (
+    SELECT row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM (SELECT row, text FROM d UNION ALL SELECT -1, coalesce(text, '') FROM benchmark)
+), hashed AS MATERIALIZED (
+    SELECT word, """ + _CRC + r""" % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc
+), f AS MATERIALIZED (
+    SELECT row, bucket FROM w JOIN hashed USING (word)
+), counts AS (
+    SELECT bucket, count(*) FILTER (row >= 0) AS s, count(*) FILTER (row < 0) AS t FROM f GROUP BY bucket
+), totals AS (
+    SELECT sum(s) AS s, sum(t) AS t FROM counts
+), gain AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST(c.t + 1 AS DOUBLE) * CAST(totals.s + 10000 AS DOUBLE)
+           / (CAST(c.s + 1 AS DOUBLE) * CAST(totals.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts c, totals
+), weighed AS (
+    SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE row >= 0 GROUP BY row
+), scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM d LEFT JOIN weighed USING (row)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS nth, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= 10 * n // 100 THEN nth END AS rank FROM ranked
+"""
