@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, compression, divergence, pivots, ppm, resampling, secrets, simhash, sql, substrings, templates, urltree, warc
+from carelake.llm import bpe, compression, divergence, ngrams, pivots, ppm, resampling, secrets, simhash, sql, substrings, templates, urltree, warc
 from carelake.llm.common import fold, of_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024)
 
 
+RULES_THRESHOLD = 0.3
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngrams.judge(docs, ngrams.fit(docs, table(spark, sf_dir, "labels")), RULES_THRESHOLD)
+
+
 @query("op13_source_divergence", sql.DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)
