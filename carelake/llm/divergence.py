@@ -8,9 +8,11 @@ and with its language (part ``term``); all arithmetic is on integers.
 
 How the work is spread: documents are packed into blocks of ``block_bytes``.  A
 block keeps (document, chunk, count) as numbers and sends each of its distinct
-chunks once; the terms of its chunks come back to it, so documents never meet in one
-task by chunk, term or source, and a hot chunk is one row per block.  A very long
-text is a block of its own and is split piece by piece.  Pairs of sources exist only
+chunks once, to the bucket of its hash; there it is split, and its terms come back to
+the block, so documents never meet in one task by chunk, term or source, and a hot
+chunk is one entry per block.  The block's sums go to the buckets of their terms.
+There are as many buckets as hold about ``bucket_entries`` chunks each.  A very
+long text is a block of its own and is split piece by piece.  Pairs of sources exist only
 as sums: with count 0 in a source a term adds a constant, so terms of one source are
 taken by their histogram of values, and only terms that two sources share are
 multiplied out, as numpy arrays inside a task.
@@ -24,6 +26,7 @@ Other columns are not read.
 from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import dropped, steps, stored, texts_of
 
-#: Letters: ASCII letters (lower-cased) and all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of ASCII letters (lower-cased) and bytes beyond ASCII; all other bytes part them.
+_LETTERS = bytes.maketrans(ascii_uppercase.encode() + bytes(c for c in range(128) if not chr(c).isalpha()),
+                           ascii_lowercase.encode() + b" " * sum(not chr(c).isalpha() for c in range(128)))
 #: Parts of one in which shares are counted.
 UNIT = 1_000_000_000
 #: Bytes of a long text split at once.
@@ -43,6 +47,10 @@ PIECE = 4 << 20
 #: Pairs of sources multiplied out at once.
 PAIRS = 1 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
+#: Lists of chunks, terms and numbers travel as one value each.
+REQUEST = [("bucket", "long"), ("block", "long"), ("at", "binary"), ("chunks", "binary")]
+REPLY = [("to", "long"), ("at", "binary"), ("terms", "binary"), ("lang", "string"), ("gid", "long")]
+SUMS = [("bucket", "long"), ("lang", "string"), ("gids", "binary"), ("terms", "binary"), ("docs", "binary"), ("n", "binary")]
 
 
 class Numbers(dict):
@@ -87,11 +95,10 @@ class Block:
         joined = lambda parts: np.concatenate(parts).tobytes() if parts else b""
         whole = lambda values: np.array(values, dtype=np.int32).tobytes()
         groups = list(self.groups)
-        one = [number, [g[0] for g in groups], [g[1] for g in groups]]
-        chunks = pa.array([list(self.chunks)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-        arrays = [pa.array([one[0]], pa.int64()), pa.array([one[1]], pa.list_(pa.string())), pa.array([one[2]], pa.list_(pa.string())), chunks]
-        arrays += [pa.array([b], pa.binary()) for b in (whole(self.group_of), whole(self.lengths), joined(self.held), joined(self.counts))]
-        return pa.RecordBatch.from_arrays(arrays, names=["block", "langs", "sources", "chunks", "group_of", "lengths", "held", "counts"])
+        named = [pa.array([[g[k] for g in groups]], pa.list_(pa.string())) for k in (0, 1)]
+        blobs = (b" ".join(self.chunks), whole(self.group_of), whole(self.lengths), joined(self.held), joined(self.counts))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *named, pa.array([len(self.chunks)], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)],
+                                          names=["block", "langs", "sources", "n_chunks", "chunks", "group_of", "lengths", "held", "counts"])
 
 
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -108,42 +115,117 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
             yield block.batch(task << 32 | number)
 
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return read.mapInArrow(run, "block long, langs array<string>, sources array<string>, chunks array<string>, "
+    return read.mapInArrow(run, "block long, langs array<string>, sources array<string>, n_chunks long, chunks binary, "
                                 "group_of binary, lengths binary, held binary, counts binary")
 
 
-def term_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(gid, term, docs, occurrences) of one block from the terms of its chunks."""
-    is_group = pc.is_valid(right.column("gid"))
-    named, split = right.filter(is_group), right.filter(pc.invert(is_group))
-    gids = np.zeros(named.num_rows, dtype=np.int64)
-    gids[named.column("at").to_numpy()] = named.column("gid").to_numpy()
-    lists = split.column("terms").combine_chunks()
-    encoded = lists.flatten().dictionary_encode()
-    names, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
-    out = []
+def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, at, chunks): the chunks of a block, parted by hash, and their places in it."""
+    def run(batches):
+        for batch in batches:
+            for block, chunks in zip(batch.column("block").to_pylist(), batch.column("chunks").to_pylist()):
+                rows = [(bucket, block, at.astype(np.int32).tobytes(), b" ".join(held)) for bucket, at, held in _by_hash(chunks.split(b" ") if chunks else [], buckets)]
+                yield _batch(rows, REQUEST)
+
+    return blocks.select("block", "chunks").mapInArrow(run, _ddl(REQUEST))
+
+
+def _by_hash(keys: list[bytes], buckets: int):
+    """(bucket, places, keys) for each bucket that has a key."""
+    number = np.fromiter(map(crc32, keys), np.int64, len(keys)) % buckets
+    order = np.argsort(number, kind="stable")
+    first = _firsts(number[order])
+    for a, b in zip(first, np.append(first[1:], len(order))):
+        at = order[a:b]
+        yield int(number[at[0]]), at, [keys[i] for i in at.tolist()]
+
+
+def split_once(table: pa.Table) -> pa.Table:
+    """Replies (to, at, terms) to the requests of one bucket; each distinct chunk is split into its terms once."""
+    terms: dict[bytes, bytes] = {}
+    rows = []
+    for block, at, chunks in zip(*(table.column(c).to_pylist() for c in ("block", "at", "chunks"))):
+        out = []
+        for chunk in chunks.split(b" "):
+            found = terms.get(chunk)
+            if found is None:
+                found = terms[chunk] = b" ".join(chunk.translate(_LETTERS).split())
+            out.append(found)
+        rows.append((block, at, b"\n".join(out), None, None))
+    return pa.Table.from_batches([_batch(rows, REPLY)])
+
+
+def term_sums(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, lang, gids, terms, docs, n) of one block from the terms of its chunks; term lists are parted by hash."""
+    langs, gids, replies = {}, {}, []
+    for at, terms, lang, gid in zip(*(right.column(c).to_pylist() for c in ("at", "terms", "lang", "gid"))):
+        at = np.frombuffer(at, dtype=np.int32)
+        if gid is None:
+            replies.append((at, terms.split(b"\n")))
+        else:
+            langs[int(at[0])], gids[int(at[0])] = lang, gid
+    rows = []
     for row in left.to_pylist():
         group_of, lengths, held, counts = (np.frombuffer(row[c], dtype=np.int32) for c in ("group_of", "lengths", "held", "counts"))
-        size = int(held.max()) + 1 if len(held) else 0
+        number, codes = Numbers(), []
+        size = sum(len(at) for at, _ in replies)
         start, many = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        at = split.column("at").to_numpy()
-        many[at] = pc.list_value_length(lists).to_numpy()
-        start[at] = np.cumsum(many[at]) - many[at]
+        for at, answers in replies:
+            for i, answer in zip(at.tolist(), answers):
+                found = answer.split(b" ") if answer else ()
+                start[i], many[i] = len(codes), len(found)
+                codes.extend(map(number.__getitem__, found))
+        codes, names, width = np.array(codes, dtype=np.int64), list(number), max(1, len(number))
         n = many[held]
         entry = np.repeat(np.arange(len(held)), n)
         term = codes[start[held][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)]
-        doc = np.repeat(np.arange(len(lengths)), lengths)[entry]
-        keys, docs_of = _summed(doc * max(1, len(names)) + term, counts[entry].astype(np.int64))
-        doc, term = np.divmod(keys, max(1, len(names)))
-        by_group = group_of[doc].astype(np.int64) * max(1, len(names)) + term
+        # Terms of a document once each, then documents and occurrences per group.
+        keys, times = _summed(np.repeat(np.arange(len(lengths)), lengths)[entry] * width + term, counts[entry].astype(np.int64))
+        doc, term = np.divmod(keys, width)
+        by_group = group_of[doc].astype(np.int64) * width + term
         order = np.argsort(by_group, kind="stable")
         first = _firsts(by_group[order])
-        group, term = np.divmod(by_group[order][first], max(1, len(names)))
-        occurrences = np.add.reduceat(docs_of[order], first) if len(first) else docs_of
-        out.append(pa.table({"gid": pa.array(gids[group], pa.int64()), "term": names.take(pa.array(term)).cast(pa.string()),
-                             "docs": pa.array(np.diff(np.append(first, len(order))), pa.int64()),
-                             "n": pa.array(occurrences, pa.int64())}))
-    return pa.concat_tables(out)
+        group, term = np.divmod(by_group[order][first], width)
+        docs, times = np.diff(np.append(first, len(order))), np.add.reduceat(times[order], first) if len(first) else times
+        lang_of = np.array([langs[g] for g in range(len(langs))], dtype=object)[group]
+        gid_of = np.array([gids[g] for g in range(len(gids))], dtype=np.int64)[group]
+        for lang in sorted(set(lang_of)):
+            own = np.flatnonzero(lang_of == lang)
+            for bucket, at, found in _by_hash([names[i] for i in term[own].tolist()], buckets):
+                at = own[at]
+                rows.append((bucket, lang, gid_of[at].tobytes(), b"\n".join(found), docs[at].astype(np.int64).tobytes(), times[at].tobytes()))
+    return pa.Table.from_batches([_batch(rows, SUMS)])
+
+
+def frequent_terms(key, table: pa.Table, least_docs: int) -> pa.Table:
+    """The terms of one language and bucket that are in ``least_docs`` documents or more, with their occurrences per group."""
+    number, codes = Numbers(), []
+    for terms in table.column("terms").to_pylist():
+        found = terms.split(b"\n")
+        codes.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+    gids, docs, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64) for c in ("gids", "docs", "n"))
+    known, gid = np.unique(gids, return_inverse=True)
+    code = np.concatenate(codes)
+    total = np.zeros(len(number), np.int64)
+    np.add.at(total, code, docs)
+    kept = total[code] >= least_docs
+    keys, times = _summed(code[kept] * len(known) + gid[kept], times[kept])
+    code, gid = np.divmod(keys, len(known))
+    first = _firsts(code)
+    names = list(number)
+    present = pa.StructArray.from_arrays([pa.array(known[gid]), pa.array(times)], names=["gid", "n"])
+    whole = np.add.reduceat(times, first) if len(first) else times
+    return pa.table({"lang": pa.array([key[1].as_py()] * len(first), pa.string()), "term": pa.array([names[c].decode() for c in code[first].tolist()], pa.string()),
+                     "whole": pa.array(whole, pa.int64()), "present": pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), present)})
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, str]]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _ddl(fields: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields)
 
 
 def _firsts(ordered: np.ndarray) -> np.ndarray:
@@ -193,33 +275,30 @@ def shared_terms(batches):
             at = to
 
 
-def term_counts(docs: DataFrame, block_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, gid) of every group, and (gid, term, docs, n): documents and occurrences of each term of a group."""
+def kept_terms(docs: DataFrame, least_docs: int = 10, block_bytes: int = 24 << 20, bucket_entries: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, gid) of every group, and (lang, term, whole, present) of each term in ``least_docs`` documents of a
+    language: its occurrences, also per group."""
     blocks = stored(packed(docs, block_bytes), "chunk-blocks", "zstd")
-    local = blocks.select("block", F.posexplode(F.arrays_zip("langs", "sources")).alias("at", "g")).select("block", "at", "g.langs", "g.sources")
-    groups = stored(local.select(F.col("langs").alias("lang"), F.col("sources").alias("source")).distinct()
-                    .withColumn("gid", F.monotonically_increasing_id()), "groups")
-    chunks = blocks.select("block", F.posexplode("chunks").alias("at", "chunk"))
-    lower = F.translate("chunk", ascii_uppercase, ascii_lowercase)
-    split = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms")).where(F.size("terms") > 0)
-    replies = chunks.join(split, "chunk").select(F.col("block").alias("to"), "at", "terms", F.lit(None).cast("long").alias("gid"))
-    own = local.join(groups, (local.langs == groups.lang) & (local.sources == groups.source)).select(
-        F.col("block").alias("to"), "at", F.lit(None).cast("array<string>").alias("terms"), "gid")
-    sums = (blocks.select("block", "group_of", "lengths", "held", "counts").groupBy("block")
-            .cogroup(replies.unionByName(own).groupBy("to")).applyInArrow(term_sums, "gid long, term string, docs long, n long"))
-    counts = stored(sums.groupBy("gid", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "term-counts", "zstd")
+    entries = blocks.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-entries // bucket_entries))
+    local = blocks.select("block", F.posexplode(F.arrays_zip("langs", "sources")).alias("at", "g")).select(
+        "block", "at", F.col("g.langs").alias("lang"), F.col("g.sources").alias("source"))
+    groups = stored(local.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    own = local.join(groups, ["lang", "source"]).select(
+        F.col("block").alias("to"), F.reverse(F.unhex(F.lpad(F.hex("at"), 8, "0"))).alias("at"), F.lit(None).cast("binary").alias("terms"), "lang", "gid")
+    replies = requests(blocks, buckets).groupBy("bucket").applyInArrow(split_once, _ddl(REPLY))
+    sums = (blocks.select("block", "group_of", "lengths", "held", "counts").groupBy("block").cogroup(replies.unionByName(own).groupBy("to"))
+            .applyInArrow(lambda left, right: term_sums(left, right, buckets), _ddl(SUMS)))
+    kept = sums.groupBy("bucket", "lang").applyInArrow(
+        lambda key, table: frequent_terms(key, table, least_docs), "lang string, term string, whole long, present array<struct<gid: long, n: long>>")
+    kept = stored(kept, "kept-terms", "zstd")
     dropped(blocks)
-    return groups, counts
+    return groups, kept
 
 
-def audit(docs: DataFrame, least_docs: int = 10, top_terms: int = 10, block_bytes: int = 24 << 20) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 10, top_terms: int = 10, block_bytes: int = 24 << 20, bucket_entries: int = 500_000) -> DataFrame:
     """lang, source, part, item, value, rank; see the module."""
-    groups, counts = term_counts(docs, block_bytes)
-    kept = (counts.join(groups.select("gid", "lang"), "gid").groupBy("lang", "term")
-            .agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.collect_list(F.struct("gid", "n")).alias("present"))
-            .where(F.col("docs") >= least_docs).select("lang", "term", "whole", "present"))
-    kept = stored(kept, "kept-terms", "zstd")
-    dropped(counts)
+    groups, kept = kept_terms(docs, least_docs, block_bytes, bucket_entries)
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("whole").alias("lang_n"))
     held = kept.select("lang", "term", "whole", F.explode("present").alias("x")).select("lang", "term", "whole", "x.gid", "x.n")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

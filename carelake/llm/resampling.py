@@ -164,7 +164,7 @@ def _in_segments(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words: int = 20, longest: int = 1, buckets: int = 10_000,
-             seed: int = 2024, segments: int = 16_384, samples: int = 1 << 18, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+             seed: int = 2024, segments: int = 4096, samples: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_features, weight, score, rank (null where not drawn).
 
     Of the N documents of ``least_words`` words or more, floor(percent * N / 100) are drawn.
