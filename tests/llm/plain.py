@@ -122,3 +122,61 @@ def ppm_scores(docs, scored, order, n=10):
 
 def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def rule_counts(text):
+    w = text.encode().split()
+    lines, again, seen = text.split("\n"), 0, set()
+    for line in lines:
+        if line.encode().split():
+            again += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    repeated = {i + k for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for k in range(3)}
+    return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), again, len(repeated)
+
+
+def draws(docs, target, percent=10, least=20, buckets=10_000, seed=2024):
+    """docs: (doc_id, text); rows (doc_id, n_features, weight, score, rank), ranked rows first."""
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+    hashed = lambda t: [zlib.crc32(w) % buckets for w in words(t)]
+    s, t = Counter(b for _, x in docs for b in hashed(x)), Counter(b for x in target for b in hashed(x))
+    ns, nt = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (ns + buckets) / ((s[b] + 1) * (nt + buckets))))
+    rows = []
+    for d, x in docs:
+        h = int(hashlib.sha256(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, hashed(x)))
+        rows.append((d, len(words(x)), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    drawn = percent * len(able) // 100
+    return [(*r, k + 1 if k < drawn else None) for k, r in enumerate(able)] + [(*r, None) for r in rows if r[1] < least]
+
+
+def divergences(docs, least=10, top=10):
+    """docs: (lang, source, text); the rows of the audit."""
+    found = defaultdict(lambda: defaultdict(Counter))
+    documents = defaultdict(Counter)
+    for lang, source, text in docs:
+        terms = [x.decode() for x in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())]
+        found[lang][source].update(terms)
+        documents[lang].update(set(terms))
+    out = set()
+    for lang, sources in found.items():
+        kept = sorted(t for t, n in documents[lang].items() if n >= least)
+        v = len(kept)
+
+        def shares(counts):
+            n = sum(counts[t] for t in kept)
+            return {t: 1 + 1_000_000_000 * (counts[t] + 2) // (n + 2 * v) for t in kept}
+
+        p = {s: shares(c) for s, c in sources.items()}
+        q = shares(sum(sources.values(), Counter()))
+        gap = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(o, sum(gap(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, gap(p[s][t], q[t])) for t in kept if sources[s][t] and p[s][t] > q[t]]
+            ranked = lambda rows: enumerate(sorted(rows, key=lambda r: (-r[1], r[0].encode())), 1)
+            out |= {(lang, s, "pair", o, x, k) for k, (o, x) in ranked(pairs)}
+            out |= {(lang, s, "term", t, x, k) for k, (t, x) in ranked(terms) if k <= top}
+    return out
