@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.functions.predicates import _instant, current_only, pending_only
 from carelake.functions.scalars import (blank_to_null, date_key, deviation_from_mid, total_cost, typed_cast,
                                         write_off)
 from carelake.operators.dimensions import LATEST
+from carelake.operators.id_index import IdIndex
 from carelake.operators.keys import max_key, one_pass_keys
 from carelake.operators.lookups import anti_existing, lookup_or_unknown, resolve_duplicates
 from carelake.schemas import SURROGATE_KEY, conform
@@ -105,11 +106,14 @@ def _known_dates(df: DataFrame, dim_date: DataFrame, columns: list[str]) -> Data
 
 
 def new_fact_rows(name: str, stg: DataFrame, fact: DataFrame, dims: dict[str, DataFrame], as_of,
-                  on_duplicate: str = "keep_latest", ci: bool = False) -> DataFrame:
-    """The rows a load appends, without surrogate key."""
+                  on_duplicate: str = "keep_latest", ci: bool = False, index: IdIndex | None = None) -> DataFrame:
+    """The rows a load appends, without surrogate key.
+
+    With an ``index`` of the fact table that is up to date, the table itself is not read.
+    """
     staging_id, natural_id, part_key, columns = SPECS[name]
     batch = resolve_duplicates(pending_only(stg), staging_id, on_duplicate, LATEST)
-    fresh = anti_existing(batch, fact, staging_id, natural_id)
+    fresh = index.unseen(batch, staging_id) if index else anti_existing(batch, fact, staging_id, natural_id)
     # typed and trimmed first: the lookups below move no staging text but the ids
     cast = fresh.select(
         F.col(staging_id).alias(natural_id), *[F.col(c) for c in LOOKUPS[name]],
@@ -126,11 +130,16 @@ def new_fact_rows(name: str, stg: DataFrame, fact: DataFrame, dims: dict[str, Da
 
 
 def load_fact(name: str, fact: DataFrame, stg: DataFrame, dims: dict[str, DataFrame], as_of,
-              on_duplicate: str = "keep_latest", ci: bool = False) -> DataFrame:
+              on_duplicate: str = "keep_latest", ci: bool = False, index: IdIndex | None = None) -> DataFrame:
     """Rows to append to ``fact``: typed, keyed and not loaded before."""
-    rows = new_fact_rows(name, stg, fact, dims, as_of, on_duplicate, ci)
+    rows = new_fact_rows(name, stg, fact, dims, as_of, on_duplicate, ci, index)
     key = SURROGATE_KEY[name]
-    return conform(one_pass_keys(rows, key, start=max_key(fact, key)), name)
+    return conform(one_pass_keys(rows, key, start=index.top if index else max_key(fact, key)), name)
+
+
+def fact_index(spark: SparkSession, root: str, name: str, **options) -> IdIndex:
+    """The index of a fact table's natural ids under ``root``."""
+    return IdIndex(spark, f"{root.rstrip('/')}/{name}", SPECS[name][1], SURROGATE_KEY[name], **options)
 
 
 def load_fact_claims(fact, stg, dims, as_of, **options) -> DataFrame:

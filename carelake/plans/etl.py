@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.predicates import _instant, recent_runs
 from carelake.operators import dimensions as dims
-from carelake.operators.facts import load_fact
+from carelake.operators.facts import fact_index, load_fact
 from carelake.operators.keys import max_key
 from carelake.schemas import SURROGATE_KEY, TABLES, empty_table
 from carelake.sources.landing import without_id
@@ -80,8 +80,9 @@ def _utc_now() -> dt.datetime:
 
 class Etl:
     def __init__(self, spark: SparkSession, root: str, calendar: tuple[str, str] = dims.DEFAULT_CALENDAR,
-                 on_duplicate: str = "keep_latest", clock: Callable[[], dt.datetime] = _utc_now):
-        self.spark, self.calendar, self.on_duplicate, self.clock = spark, calendar, on_duplicate, clock
+                 on_duplicate: str = "keep_latest", clock: Callable[[], dt.datetime] = _utc_now, id_buckets: int = 64):
+        """``id_buckets``: about one per million facts expected; see ``id_index``."""
+        self.spark, self.calendar, self.on_duplicate, self.clock, self.id_buckets = spark, calendar, on_duplicate, clock, id_buckets
         self.store, self.staging, self.log = TableStore(spark, root), StagingArea(spark, root), EtlLog(spark, root)
 
     def table(self, name: str) -> DataFrame:
@@ -116,7 +117,9 @@ class Etl:
 
     def _load_fact(self, name: str, stg: DataFrame, as_of) -> tuple[int, int]:
         sides = {t: self.table(t) for t in (*STATIC, "DimPayer", "DimFacility", "DimProvider", "DimPatient")}
-        rows = load_fact(name, self.table(name), stg, sides, as_of, on_duplicate=self.on_duplicate)
+        fact, index = self.table(name), fact_index(self.spark, f"{self.store.root}/dw/_ids", name, buckets=self.id_buckets)
+        index.catch_up(fact)
+        rows = load_fact(name, fact, stg, sides, as_of, on_duplicate=self.on_duplicate, index=index)
         seen = Observation()
         gathered = by_partition(rows, "PartitionYear")  # below the count: an empty shuffle is cut from the plan
         self.store.write_table(gathered.observe(seen, F.count(F.lit(1)).alias("ins")), "dw", name,

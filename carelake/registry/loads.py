@@ -320,6 +320,24 @@ def _(spark, sf):
     return fresh.agg(n_rows("inserted"))
 
 
+@entry("reload_by_id_index", """SELECT count(*) FILTER (s_nationkey = 3) AS inserted, count(*) FILTER (s_nationkey <> 3) AS known FROM f_claims
+    JOIN supplier ON 'P' || s_suppkey = provider_id""")
+def _(spark, sf):
+    wh = warehouse_for(spark, sf)
+    gone = wh["DimFacility"].where(F.col("FacilityID") == "F3").select("FacilityKey")
+    loaded = wh["FactClaims"].join(F.broadcast(gone), "FacilityKey", "left_anti")
+    index = facts.fact_index(spark, scratch_dir(spark, "ids"), "FactClaims", buckets=16)
+    # two generations: the older half of the keys first
+    middle = loaded.agg(F.percentile_approx("ClaimKey", 0.5)).first()[0]
+    index.catch_up(loaded.where(F.col("ClaimKey") <= middle))
+    index.catch_up(loaded)
+    staged = td.staged(spark, sf, "claims")
+    names = {d for d, _, _ in facts.LOOKUPS["FactClaims"].values()} | {"DimDate"}
+    fresh = facts.new_fact_rows("FactClaims", staged, loaded, wh.tables(*names), SECOND_LOAD, index=index).agg(n_rows("inserted"))
+    known = index.known(staged.select(F.col("claim_id").alias("id"))).agg(F.count_distinct("id").alias("known"))
+    return fresh.withColumn("one", F.lit(1)).join(known.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 @entry("row_count_check", """SELECT 'DimPatient' AS table_name, count(*) + 1 AS row_count FROM d_patient
     UNION ALL SELECT 'DimProvider', count(*) + 1 FROM d_provider UNION ALL SELECT 'FactClaims', count(*) FROM f_claims
     UNION ALL SELECT 'FactLabResults', count(*) FROM s_labs UNION ALL SELECT 'FactPrescriptions', count(*) FROM f_rx
