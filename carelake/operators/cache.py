@@ -12,6 +12,7 @@ from carelake.functions.predicates import _instant, unexpired
 from carelake.functions.scalars import request_key
 from carelake.operators.keys import max_key, one_pass_keys
 from carelake.operators.lookups import keep_latest
+from carelake.operators.similarity import ClusteredCache
 from carelake.schemas import conform
 
 # After a load these agents' answers are out of date.
@@ -105,16 +106,18 @@ def best_match_per_request(scored: DataFrame) -> DataFrame:
 
 
 def semantic_candidate(requests: DataFrame, cache: DataFrame, as_of, floor: float = ref.SIMILARITY_FLOOR,
-                       enabled: bool = True, block_rows: int = 4096) -> DataFrame:
+                       enabled: bool = True, block_rows: int = 4096, pruned: bool = True) -> DataFrame:
     """Most similar unexpired answer of the same agent, if at least ``floor``.
 
-    ``requests`` has request_id, AgentName and a unit-length embedding.  The
+    ``requests`` has request_id (unique), AgentName and a unit-length embedding.  The
     result is a candidate only; it does not say the answers are equivalent.
+    ``pruned`` compares only blocks that may hold a match, with the same result.
     """
     live = unexpired(cache, as_of).where(F.col("Embedding").isNotNull())
     if not enabled:
         live = live.where(F.lit(False))
     vectors = live.select("AgentName", "CacheID", "Embedding")
-    best = best_match_per_request(score_blocks(requests.select("request_id", "AgentName", "embedding"), vectors,
-                                               floor, block_rows))
+    asked = requests.select("request_id", "AgentName", "embedding")
+    scores = ClusteredCache(vectors, block_rows).lookup(asked, floor) if pruned else score_blocks(asked, vectors, floor, block_rows)
+    best = best_match_per_request(scores)
     return best.join(live.select("CacheID", "AgentName", F.col("Query").alias("MatchedQuery"), "Response"), "CacheID")

@@ -544,8 +544,9 @@ def _(spark, sf):
     FROM ({SCORES}) GROUP BY request_id""")
 def _(spark, sf):
     from carelake.functions.predicates import unexpired
-    live = unexpired(td.answer_cache(spark, sf), td.CACHE_AS_OF)
-    scored = cache.score_blocks(td.cache_requests(spark, sf), live, floor=-1.0)
+    from carelake.operators.similarity import ClusteredCache
+    live = unexpired(td.answer_cache(spark, sf), td.CACHE_AS_OF).select("AgentName", "CacheID", "Embedding")
+    scored = ClusteredCache(live).lookup(td.cache_requests(spark, sf).select("request_id", "AgentName", "embedding"), floor=-1.0)
     return cache.best_match_per_request(scored).select("request_id", "CacheID", F.round("Score", 6).alias("score"))
 
 
