@@ -21,7 +21,7 @@ from carelake.sources import testdata as td
 from carelake.sources.staging import mark_processed
 from carelake.sources.tables import TableStore
 from carelake.streaming.landing import landing_stream
-from carelake.streaming.usage import current_budgets, usage_budget_stream
+from carelake.streaming.usage import crossings, current_budgets, usage_budget_stream
 
 RUN_DATE = "20240601"
 SECOND_LOAD = "2024-06-02 00:00:00"
@@ -710,3 +710,14 @@ def _(spark, sf):
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf}/events.parquet*")
     usage_budget_stream(td.usage_rows(events), _small_budgets(spark), f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return current_budgets(spark, f"{root}/state")
+
+
+@entry("budget_crossing_stream", """SELECT "AgentName", "SessionID", min("LogID") AS "LogID" FROM (
+    SELECT "AgentName", "SessionID", "LogID", sum("InputTokens" + "OutputTokens") OVER (
+        PARTITION BY "AgentName", "SessionID" ORDER BY "LogID") AS used, CAST(budget AS BIGINT) // 100 AS token_budget
+    FROM usage JOIN budgets ON agent = "AgentName") WHERE used > token_budget GROUP BY ALL""")
+def _(spark, sf):
+    root = scratch_dir(spark, "crossing-stream")
+    events = spark.readStream.schema(td.read(spark, sf, "events").schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf}/events.parquet*")
+    usage_budget_stream(td.usage_rows(events), _small_budgets(spark), f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    return crossings(spark, f"{root}/state")
