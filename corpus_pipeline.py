@@ -33,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, alike by 0.8 or more in five-word shingles, the document with the smallest id stays."""
-    groups = simhash.similar_groups(docs)
+    """Of each group whose fingerprints (four-word shingles) link at 4 or fewer bits, the document with the smallest id stays."""
+    groups = simhash.near_duplicates(docs, width=4)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     again = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
