@@ -62,15 +62,6 @@ def near_groups(docs, most=4):
     return {d: (prints[d], root(d)) for d in ids}
 
 
-def shingles(text, width=5):
-    w = text.encode().lower().split()
-    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))}
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
 def learns(doc_id, n=10):
     return zlib.crc32(str(doc_id).encode()) % n != 0
 

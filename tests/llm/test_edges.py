@@ -74,64 +74,6 @@ def test_simhash(spark, odd, none):
     assert {c for (d, p), c in got.items() if d is None} <= {None, 3, 4, 5}
 
 
-def test_similar_groups(spark, odd, none):
-    rng = random.Random(9)
-    words = [f"word{i}" for i in range(3000)]
-    base = [rng.choice(words) for _ in range(400)]
-    edited = [base if i == 0 else [rng.choice(words) if j % 50 == i else w for j, w in enumerate(base)] for i in range(5)]
-    other = [[rng.choice(words) for _ in range(400)] for _ in range(3)]
-    docs = [(10 + i, " ".join(w)) for i, w in enumerate(edited)] + [(20 + i, " ".join(w)) for i, w in enumerate(other)] + [(30, ""), (31, None), (32, "a b"), (33, "A b")]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()}
-    assert {got[i] for i in range(10, 15)} == {10} and all(got[i] == i for i in (20, 21, 22))
-    assert got[31] == 30 and got[33] == 32
-    assert {r["doc_id"] for r in simhash.similar_groups(odd).collect()} == {1, 2, 3, 4, 5} and simhash.similar_groups(none).count() == 0
-
-
-def groups_by_all_pairs(docs, least=0.8):
-    grams = {d: plain.shingles(t) for d, t in docs}
-    label = {d: d for d in grams}
-    for a in sorted(grams):
-        for b in sorted(grams):
-            if a < b and label[a] != label[b] and plain.jaccard(grams[a], grams[b]) >= least:
-                low, high = sorted((label[a], label[b]))
-                label = {d: low if x == high else x for d, x in label.items()}
-    return label
-
-
-def test_similar_groups_behind_an_earlier_holder(spark):
-    rng = random.Random(4)
-    words = [f"word{i}" for i in range(5000)]
-    some = lambda n: [rng.choice(words) for _ in range(n)]
-    changed = lambda w, places: [rng.choice(words) if i in places else x for i, x in enumerate(w)]
-    docs = []
-    for k in range(0, 120, 12):
-        base = some(300)
-        docs.append((k, base + some(900)))  # the first holder of all that follows, unlike it
-        docs += [(k + i, changed(base, {40 * i, 40 * i + 150, 40 * i + 20})) for i in range(1, 4)]
-        chain = some(200)
-        for i in range(4, 9):
-            docs.append((k + i, chain))
-            chain = changed(chain, {25 * i - 90, 25 * i - 70, 25 * i - 50})
-    docs = [(d, " ".join(w)) for d, w in docs]
-    want = groups_by_all_pairs(docs)
-    assert len(set(want.values())) < len(docs) - 30
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()} == want
-
-
-def test_similar_groups_of_long_texts_at_the_bound(spark):
-    rng = random.Random(6)
-    words = [f"word{i}" for i in range(9000)]
-    docs = []
-    for k in range(0, 120, 2):
-        base = [rng.choice(words) for _ in range(1500)]
-        n = 33 + k % 4  # five shingles each: 0.80 lies between 33 and 34
-        places = set(range(7, 7 + 40 * n, 40))
-        docs += [(k, " ".join(base)), (k + 1, " ".join("new" + w if i in places else w for i, w in enumerate(base)))]
-    want = groups_by_all_pairs(docs)
-    assert 60 < len(set(want.values())) < 120
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows(spark, *docs)).collect()} == want
-
-
 def test_golay_decodes_within_two_bits():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 23, 2000)
