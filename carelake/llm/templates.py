@@ -25,7 +25,8 @@ join, with the same result.  A hot passage is many rows of one hash, which AQE
 splits in the join, and ends in groups of one document and item.
 
 Null or empty texts and null ids leak nothing; rows with the same id count as one
-document; repeated items each count.  Other columns are not read.
+document or item, equal rows once.  A very long text is read whole, in one task.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -141,6 +142,11 @@ def _no_slots(start: int) -> list[str]:
     return []
 
 
+def _every(hashes: np.ndarray, at: np.ndarray, slots) -> list[tuple[int, int, list[str]]]:
+    """(hash, start, slots) at every start."""
+    return [(h, start, slots(start)) for h, start in zip(hashes.view(np.int64).tolist(), at.tolist())]
+
+
 def _first_of(hashes: np.ndarray, at: np.ndarray, slots) -> list[tuple[int, int, list[str]]]:
     """(hash, start, slots), each pair of hash and slots once, where it is first."""
     seen, out = set(), []
@@ -185,7 +191,7 @@ def document_windows(docs: DataFrame, width: int, lengths: list[int], least: int
                             place = np.minimum(np.searchsorted(values, found), len(values) - 1)
                             there = values[place] == found
                             found, starts = found[there], starts[there]
-                        rows += [(doc, *r) for r in _first_of(found, starts, values_of)]
+                        rows += [(doc, *r) for r in _every(found, starts, values_of)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())))],
                 names=["doc_id", "hash", "at", "slots"])
@@ -193,31 +199,51 @@ def document_windows(docs: DataFrame, width: int, lengths: list[int], least: int
     return docs.mapInArrow(run, "doc_id long, hash long, at int, slots array<string>")
 
 
+def _longest_run(starts: list[int]) -> int:
+    """Most consecutive numbers among ``starts``."""
+    at = np.unique(np.array(starts, dtype=np.int64))
+    ends = np.flatnonzero(np.append(np.diff(at) != 1, True))
+    return int(np.diff(np.concatenate([[-1], ends])).max()) if len(at) else 0
+
+
 def agreeing(aligned: DataFrame) -> DataFrame:
-    """(doc_id, item_id, same, n, changed): how many windows of an alignment agree with what each item value mostly stands for, and how many values differ."""
+    """(doc_id, item_id, n, run, changed): how many windows of an alignment agree with what each item value mostly stands for (ties:
+    the smallest), how many of them follow each other at most, and how many values differ."""
     def run(batches):
         for batch in batches:
-            counts, changes = [], []
+            counts, runs, changes = [], [], []
             for windows in batch.column("windows").to_pylist():
-                seen = [[(p["item_slots"], p["slots"]) for p in w] for w in windows]
+                seen = [(w["item_at"], [(p["item_slots"], p["slots"]) for p in w["pairs"]]) for w in windows]
                 chosen: dict[str, str] = {}
-                for (value, other), _ in sorted(Counter(p for w in seen for p in w).items(), key=lambda x: (-x[1], x[0])):
+                for (value, other), _ in sorted(Counter(p for _, w in seen for p in w).items(), key=lambda x: (-x[1], x[0])):
                     chosen.setdefault(value, other)
-                kept = [w for w in seen if all(chosen[value] == other for value, other in w)]
-                used = {p for w in kept for p in w}
-                counts.append(len(kept) if len({other for _, other in used}) == len(used) else 0)
-                changes.append(len({p for p in used if p[0] != p[1]}))
+                kept = [(at, w) for at, w in seen if all(chosen[value] == other for value, other in w)]
+                counts.append(len(kept))
+                runs.append(_longest_run([at for at, _ in kept]))
+                changes.append(len({p for _, w in kept for p in w if p[0] != p[1]}))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "item_id", "same")], pa.array(counts, pa.int64()), pa.array(changes, pa.int64())],
-                names=["doc_id", "item_id", "same", "n", "changed"])
+                [*[batch.column(c) for c in ("doc_id", "item_id")], *(pa.array(x, pa.int64()) for x in (counts, runs, changes))],
+                names=["doc_id", "item_id", "n", "run", "changed"])
+
+    return aligned.mapInArrow(run, "doc_id long, item_id long, n long, run long, changed long")
+
 
-    return aligned.mapInArrow(run, "doc_id long, item_id long, same long, n long, changed long")
+def _runs(met: DataFrame, n: str, run: str) -> DataFrame:
+    """(doc_id, item_id, n, run): how many windows of the item occur, and how many of them follow each other in both texts at most."""
+    step = F.aggregate(
+        F.array_sort(F.collect_set("item_at")), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("length"), F.lit(0).alias("best")),
+        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"] + 1, a["length"] + 1).otherwise(1).alias("length"),
+                              F.greatest(a["best"], F.when(x == a["last"] + 1, a["length"] + 1).otherwise(1)).alias("best")), lambda a: a["best"])
+    longest = met.groupBy("doc_id", "item_id", "shift").agg(step.alias("best")).groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias(run))
+    held = met.select("doc_id", "item_id", "item_at").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias(n))
+    return held.join(longest, ["doc_id", "item_id"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, coverage: float = 0.5, run: int = 13,
           most_hashes: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that leaks: doc_id, item_id, n_windows, n_same, n_consistent, changed_slots, kind."""
-    wanted = stored(item_windows(of_documents(items, item_id, text).where("doc_id IS NOT NULL"), width, least), "item-windows")
+    # Rows that repeat an id count as one text.
+    wanted = stored(item_windows(of_documents(items, item_id, text).where("doc_id IS NOT NULL"), width, least).distinct(), "item-windows")
     lengths = sorted(r["length"] for r in wanted.select("length").distinct().collect())  # at most ``width`` rows
     distinct = wanted.select("hash").distinct()
     known = None
@@ -225,20 +251,23 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 8, least: int = 4, cov
         hashes = np.sort(np.array([r["hash"] for r in distinct.collect()], dtype=np.int64).view(np.uint64))
         known = docs.sparkSession.sparkContext.broadcast(hashes) if len(hashes) else None
     named = of_documents(docs, doc_id, text).where("doc_id IS NOT NULL")
-    found = stored(document_windows(named, width, lengths, least, known), "document-windows")
+    found = stored(document_windows(named, width, lengths, least, known).distinct(), "document-windows")
     template = F.when(~F.col("plain"), 1)
     sizes = wanted.groupBy("item_id").agg(F.count(template).alias("n_templates"), F.count(F.when(F.col("plain"), 1)).alias("n_plain"), F.max("length").alias("length"))
     met = found.join(wanted.drop("length"), "hash").select(
-        "doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("slots") == F.col("item_slots")).cast("long").alias("same"),
+        "doc_id", "item_id", "plain", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), (F.col("slots") == F.col("item_slots")).alias("same"),
         F.arrays_zip("item_slots", "slots").alias("pairs"))
-    aligned = met.where(~F.col("plain")).groupBy("doc_id", "item_id", "shift").agg(F.sum("same").alias("same"), F.collect_list("pairs").alias("windows"))
+    met = stored(met, "met-windows")
+    aligned = met.where(~F.col("plain")).groupBy("doc_id", "item_id", "shift").agg(F.collect_list(F.struct("item_at", "pairs")).alias("windows"))
     best = agreeing(aligned).groupBy("doc_id", "item_id").agg(
-        F.sum("same").alias("n_same"), F.max("n").alias("n_consistent"), F.max(F.struct("n", "changed")).alias("chosen"))
-    as_is = met.where("plain").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_words"))
-    judged = best.join(as_is, ["doc_id", "item_id"], "full").na.fill(0, ["n_same", "n_consistent", "n_words"]).join(sizes, "item_id")
-    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= coverage * F.col(of)) | (F.col(n) + F.col("length") - 1 >= run))
-    verbatim = enough("n_same", "n_templates") | enough("n_words", "n_plain")
-    return (judged.where(verbatim | enough("n_consistent", "n_templates"))
+        F.max("n").alias("n_consistent"), F.max("run").alias("run_consistent"), F.max(F.struct("n", "changed")).alias("chosen"))
+    keys = ["doc_id", "item_id"]
+    counted = [f"{c}_{x}" for x in ("same", "words", "consistent") for c in ("n", "run")]
+    judged = (best.join(_runs(met.where(~F.col("plain") & F.col("same")), "n_same", "run_same"), keys, "full")
+              .join(_runs(met.where("plain"), "n_words", "run_words"), keys, "full").na.fill(0, counted).join(sizes, "item_id"))
+    enough = lambda x, of: (F.col(f"n_{x}") > 0) & ((F.col(f"n_{x}") >= coverage * F.col(of)) | (F.col(f"run_{x}") + F.col("length") - 1 >= run))
+    verbatim = enough("same", "n_templates") | enough("words", "n_plain")
+    return (judged.where(verbatim | enough("consistent", "n_templates"))
             .select("doc_id", "item_id", F.greatest("n_templates", "n_plain").alias("n_windows"), F.greatest("n_same", "n_words").alias("n_same"), "n_consistent",
                     F.when(verbatim, F.lit(0)).otherwise(F.col("chosen.changed")).cast("long").alias("changed_slots"),
                     F.when(verbatim, "verbatim").otherwise("reparameterised").alias("kind")))
