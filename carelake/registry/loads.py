@@ -320,8 +320,8 @@ def _(spark, sf):
     return fresh.agg(n_rows("inserted"))
 
 
-@entry("reload_by_id_index", """SELECT count(*) FILTER (s_nationkey = 3) AS inserted, count(*) FILTER (s_nationkey <> 3) AS known FROM f_claims
-    JOIN supplier ON 'P' || s_suppkey = provider_id""")
+@entry("reload_by_id_index", """SELECT CASE WHEN s_nationkey = 3 THEN 'inserted' ELSE 'known' END AS claims, count(*) AS n FROM f_claims
+    JOIN supplier ON 'P' || s_suppkey = provider_id GROUP BY ALL""")
 def _(spark, sf):
     wh = warehouse_for(spark, sf)
     gone = wh["DimFacility"].where(F.col("FacilityID") == "F3").select("FacilityKey")
@@ -333,9 +333,9 @@ def _(spark, sf):
     index.catch_up(loaded)
     staged = td.staged(spark, sf, "claims")
     names = {d for d, _, _ in facts.LOOKUPS["FactClaims"].values()} | {"DimDate"}
-    fresh = facts.new_fact_rows("FactClaims", staged, loaded, wh.tables(*names), SECOND_LOAD, index=index).agg(n_rows("inserted"))
-    known = index.known(staged.select(F.col("claim_id").alias("id"))).agg(F.count_distinct("id").alias("known"))
-    return fresh.withColumn("one", F.lit(1)).join(known.withColumn("one", F.lit(1)), "one").drop("one")
+    fresh = facts.new_fact_rows("FactClaims", staged, loaded, wh.tables(*names), SECOND_LOAD, index=index)
+    known = index.known(staged.select(F.col("claim_id").alias("id"))).distinct()
+    return fresh.select(F.lit("inserted").alias("claims")).unionByName(known.select(F.lit("known").alias("claims"))).groupBy("claims").agg(n_rows("n"))
 
 
 @entry("row_count_check", """SELECT 'DimPatient' AS table_name, count(*) + 1 AS row_count FROM d_patient
