@@ -93,7 +93,7 @@ def provider_leaderboard(performance: DataFrame, choices: dict | None = None) ->
     return slicers(performance, choices or {}).select(*columns).orderBy(F.col("TotalBilled").desc())
 
 
-def top_providers_by_billed(performance: DataFrame, choices: dict | None = None, n: int = 10) -> DataFrame:
+def top_providers_by_billed(performance: DataFrame, choices: dict | None = None, n: int | None = None) -> DataFrame:
     df = slicers(performance, choices or {}).groupBy("ProviderName").agg(
         F.sum("TotalBilled").cast(TOTAL).alias("TotalBilled"))
     return _ordered(df, ["-TotalBilled", "ProviderName"], n)
@@ -117,12 +117,12 @@ def amount_by_type(financials: DataFrame, choices: dict | None = None) -> DataFr
     return _ordered(df, ["-Amount", "TransactionType"], None)
 
 
-def top_departments(financials: DataFrame, choices: dict | None = None, n: int = 10) -> DataFrame:
+def top_departments(financials: DataFrame, choices: dict | None = None, n: int | None = None) -> DataFrame:
     df = slicers(financials, choices or {}).groupBy("Department").agg(F.sum("Amount").cast(TOTAL).alias("Amount"))
     return _ordered(df, ["-Amount", "Department"], n)
 
 
-def cost_split_by_drug(prescriptions: DataFrame, choices: dict | None = None, n: int = 10) -> DataFrame:
+def cost_split_by_drug(prescriptions: DataFrame, choices: dict | None = None, n: int | None = None) -> DataFrame:
     df = evaluate(prescriptions, {"Total Patient Cost": "PatientCost", "Total Payer Cost": "PayerCost",
                                   "Total Rx Cost": "TotalRxCost"}, ["DrugName"], choices)
     top = _ordered(df, ["-TotalRxCost", "DrugName"], n)

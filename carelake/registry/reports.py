@@ -174,7 +174,7 @@ def _(spark, sf):
 @entry("top_providers_by_billed", f"""SELECT "ProviderName", {_total('TotalBilled')} AS "TotalBilled"
     FROM v_performance GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(spark, sf):
-    return r.top_providers_by_billed(warehouse_for(spark, sf).view(m.PROVIDERS))
+    return r.top_providers_by_billed(warehouse_for(spark, sf).view(m.PROVIDERS), n=10)
 
 
 @entry("claims_by_specialty", """SELECT "Specialty", CAST(sum("TotalClaims") AS BIGINT) AS "TotalClaims"
@@ -198,7 +198,7 @@ def _(spark, sf):
 @entry("top_departments", f"""SELECT "Department", {_total('Amount')} AS "Amount" FROM v_fin GROUP BY ALL
     ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(spark, sf):
-    return r.top_departments(warehouse_for(spark, sf).view(m.FINANCE))
+    return r.top_departments(warehouse_for(spark, sf).view(m.FINANCE), n=10)
 
 
 @entry("cost_split_by_drug", f"""WITH t AS (SELECT "DrugName", {_total('CostToPatient')} AS "PatientCost",
@@ -207,7 +207,7 @@ def _(spark, sf):
     SELECT *, {_pct('"PatientCost"', '("PatientCost" + "PayerCost")')} AS "PatientSharePct",
     {_pct('"PayerCost"', '("PatientCost" + "PayerCost")')} AS "PayerSharePct" FROM t""")
 def _(spark, sf):
-    return r.cost_split_by_drug(warehouse_for(spark, sf).view(m.RX))
+    return r.cost_split_by_drug(warehouse_for(spark, sf).view(m.RX), n=10)
 
 
 @entry("date_hierarchy", """SELECT CAST(year("ServiceDate") AS INTEGER) AS "Year",
