@@ -13,6 +13,7 @@ from carelake.plans.views import VIEW_TABLES, VIEW_YEAR, VIEWS
 from carelake.schemas import FACTS, empty_table
 from carelake.session import scratch_dir
 from carelake.sources import testdata
+from carelake.sources.layout import VIEW_LAYOUT, ClusteredTable, cluster
 from carelake.sources.tables import TableStore, by_partition
 
 STAGING_OF = {"FactClaims": "claims", "FactLabResults": "labs", "FactPrescriptions": "prescriptions",
@@ -34,6 +35,7 @@ class Warehouse:
         self.spark, self.staging, self.calendar, self.as_of = spark, staging, calendar, as_of
         self.store = TableStore(spark, root)
         self._ready: dict[str, DataFrame] = {}
+        self._clustered: dict[str, ClusteredTable] = {}
         self._lock = threading.RLock()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -55,6 +57,17 @@ class Warehouse:
                 self._ready[name] = self.store.write_table(df, "rpt", name, partition_by=VIEW_YEAR[name])
             return self._ready[name]
 
+    def patient_rows(self, name: str, patient_id: str | None = None, start=None, end=None) -> DataFrame:
+        """Rows of a view for one patient or span of days, from the files that may hold them.
+
+        The first call lays the stored view out by patient and day, as maintenance would after a load.
+        """
+        with self._lock:
+            if name not in self._clustered:
+                self._clustered[name] = cluster(self.store, "rpt", name, self.view(name), VIEW_LAYOUT[name])
+                self._ready[name] = self._clustered[name].table
+        return self._clustered[name].rows(patient_id, start, end)
+
     def _stored(self, name: str) -> DataFrame:
         part = "PartitionYear" if name in FACTS else None
         rows = self._build(name)

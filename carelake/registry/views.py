@@ -274,8 +274,9 @@ def _(spark, sf):
 @entry("get_abnormal_labs_filtered", ABNORMAL.format(
     """AND "AbnormalFlag" = 'Low' AND "ResultDate" BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def _(spark, sf):
-    return proc.get_abnormal_labs(warehouse_for(spark, sf).view(LABS), start_date="2024-01-05",
-                                  end_date="2024-01-20", flag="Low", top_n=200)
+    span = ("2024-01-05", "2024-01-20")
+    labs = warehouse_for(spark, sf).patient_rows(LABS, None, *span)
+    return proc.get_abnormal_labs(labs, None, *span, flag="Low", top_n=200)
 
 
 TIMELINE = """SELECT "PatientID", 'Claim' AS "EventType", CAST("ServiceDate" AS VARCHAR) AS "EventDate",
@@ -291,8 +292,8 @@ TIMELINE = """SELECT "PatientID", 'Claim' AS "EventType", CAST("ServiceDate" AS
 @entry("get_patient_timeline", f"""SELECT * EXCLUDE ("PatientID") FROM ({TIMELINE}) WHERE "PatientID" = 'C8'
     AND "EventDate" >= '1996-01-01' AND "EventDate" <= '2024-01-31'""")
 def _(spark, sf):
-    wh = warehouse_for(spark, sf)
-    return proc.get_patient_timeline(wh.view(CLAIMS), wh.view(LABS), wh.view(RX), "C8", "1996-01-01", "2024-01-31")
+    wh, asked = warehouse_for(spark, sf), ("C8", "1996-01-01", "2024-01-31")
+    return proc.get_patient_timeline(*[wh.patient_rows(v, *asked) for v in (CLAIMS, LABS, RX)], *asked)
 
 
 @entry("timeline_events", f"""SELECT "EventType", "Status", substr("EventDate", 1, 4) AS year, count(*) AS events,

@@ -66,14 +66,15 @@ class TableStore:
         return reader.parquet(self.path(layer, name))
 
     def write_table(self, df: DataFrame, layer: str, name: str,
-                    partition_by: str | None = None, append: bool = False) -> DataFrame:
-        """Write and read back.  ``append`` adds to the newest version."""
+                    partition_by: str | None = None, append: bool = False,
+                    options: dict[str, str] | None = None) -> DataFrame:
+        """Write and read back.  ``append`` adds to the newest version; ``options`` are the Parquet writer's."""
         versions = self._versions(layer, name)
         if append and versions:
             path, mode = self.path(layer, name), "append"
         else:
             path, mode = f"{self._folder(layer, name)}/v={(versions[-1] if versions else 0) + 1:06d}", "overwrite"
-        writer = df.write.mode(mode)
+        writer = df.write.mode(mode).options(**(options or {}))
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
