@@ -600,6 +600,27 @@ def _(spark, sf):
     return search.keyword_search(td.read(spark, sf, "documents"), ["text", "source"], QUERY_TEXT, "doc_id", 10)
 
 
+@entry("keyword_search_many", """WITH kw_terms AS (SELECT DISTINCT doc_id, col, term, term = text AS whole FROM (
+        SELECT doc_id, col, text, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS term FROM (
+            SELECT doc_id, 1 AS col, lower(text) AS text FROM documents
+            UNION ALL SELECT doc_id, 2, lower(source) FROM documents))),
+    kw_asked AS (SELECT item_id, word, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM benchmark) GROUP BY ALL),
+    held AS (SELECT w.word, t.term FROM (SELECT DISTINCT word FROM kw_asked) w, (SELECT DISTINCT term FROM kw_terms) t
+        WHERE contains(t.term, w.word)),
+    points AS (SELECT word, doc_id, col, max(CASE WHEN h.term <> h.word THEN 2 WHEN whole THEN 10 ELSE 5 END) AS points
+        FROM held h JOIN kw_terms t ON t.term = h.term GROUP BY ALL),
+    scored AS (SELECT item_id, doc_id, CAST(sum(times * points) AS BIGINT) AS score FROM kw_asked JOIN points USING (word)
+        GROUP BY ALL)
+    SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (
+        PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""")
+def _(spark, sf):
+    from carelake.operators.inverted_index import KeywordIndex
+    asked = td.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    best = KeywordIndex(td.read(spark, sf, "documents"), "doc_id", ["text", "source"]).search(asked, 10)
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 PROFILED = {"ClaimID": "string", "ClaimStatus": "string", "DenialReason": "string", "BilledAmount": "decimal(10,2)",
             "ServiceDate": "date", "PatientAgeAtService": "int", "PayerType": "string"}
 
