@@ -1,4 +1,4 @@
-"""Keyword search over text tables and column profiles."""
+"""Keyword search over text tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake import reference_data as ref
-
 # Points per word, by how the word occurs in the text.
 WHOLE_TEXT, WHOLE_WORD, PART_OF_WORD = 10, 5, 2
 
@@ -43,30 +41,6 @@ def keyword_search(df: DataFrame, text_cols: list[str], query: str, id_col: str,
     return scored.orderBy(F.col("score").desc(), id_col).limit(top_n)
 
 
-def column_profile(tables: dict[str, DataFrame], descriptions: dict[str, str] = ref.COLUMN_DESCRIPTIONS,
-                   distinct: str | None = "approx") -> DataFrame:
-    """One row per column: type, description, nulls, distinct values, range.
-
-    Each table is read once.  ``distinct`` is ``approx`` (a sketch), ``exact``
-    (which multiplies the rows by the number of columns) or None.
-    """
-    count = {"approx": F.approx_count_distinct, "exact": F.count_distinct,
-             None: lambda c: F.lit(None).cast("bigint")}[distinct]
-    out = None
-    for name, df in tables.items():
-        fields = [f for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-        cells = [F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(descriptions.get(f.name, "")).alias("description"),
-            F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(f.name).isNull()).alias("null_count"),
-            count(f.name).alias("distinct_count"), F.min(f.name).cast("string").alias("min_value"),
-            F.max(f.name).cast("string").alias("max_value")) for f in fields]
-        rows = df.agg(F.array(*cells).alias("cells")).select(
-            F.lit(name).alias("table_name"), F.explode("cells").alias("c")).select("table_name", "c.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def list_tables(tables: dict[str, DataFrame]) -> list[tuple[str, int]]:
     """Names and column counts, for browsing."""
     return sorted((name, len(df.columns)) for name, df in tables.items())
