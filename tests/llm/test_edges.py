@@ -305,6 +305,22 @@ def test_lm(spark, odd, none):
         assert mine == pytest.approx(plain.ppm_scores(docs, docs, order))
 
 
+def test_lm_in_rounds_and_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice("abcdé \n") for _ in range(rng.randrange(80)))) for i in range(60)]
+    monkeypatch.setattr(ppm, "FAN", 4)
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", 700)
+    mine = {r["doc_id"]: r["score"] for r in ppm.scores(rows(spark, *docs), ppm.not_in_fold(10), 3, block_bytes=300).collect()}
+    assert mine == pytest.approx(plain.ppm_scores(docs, docs, 3))
+
+
+def test_lm_lists():
+    keys = np.array([0, 3, 1 << 40, (1 << 64) - 1], np.uint64)
+    back = ppm.from_list(ppm.to_list(keys, np.array([1, 0, 300, 1 << 33])), 1)
+    assert back[0].tolist() == keys.tolist() and back[1].tolist() == [1, 0, 300, 1 << 33]
+    assert [len(x) for x in ppm.from_list(ppm.to_list(keys[:0], keys[:0]), 1)] == [0, 0]
+
+
 def test_pipeline(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _x map<string,string>"
     prose = "The that of reon thation and inoning to thble. " * 8
