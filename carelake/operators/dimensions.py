@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from carelake import reference_data as ref
 from carelake.functions.predicates import _instant, pending_only
 from carelake.functions.scalars import blank_to_null, date_parts, full_name, typed_cast
-from carelake.operators.keys import max_key, surrogate_keys
+from carelake.operators.keys import surrogate_keys
 from carelake.operators.lookups import lookup_or_unknown, resolve_duplicates
 from carelake.schemas import SURROGATE_KEY, TABLES, conform, local_rows, table_schema
+from carelake.session import scratch_dir
 
 DEFAULT_CALENDAR = ("2019-01-01", "2030-12-31")
 LATEST = ["stg_load_date"]
@@ -70,8 +73,65 @@ def reference_dims(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: conform(local_rows(spark, r, raw.get(n, TABLES[n])), n) for n, r in rows.items()}
 
 
+# --- merging a batch ---------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Merge:
+    """What a batch does to a dimension: rows that stand, rows it closed, new rows; ``n_updated`` counts overwritten or closed ones."""
+
+    standing: DataFrame
+    closed: DataFrame
+    inserted: DataFrame
+    n_inserted: int
+    n_updated: int
+
+    def whole(self) -> DataFrame:
+        return self.standing.unionByName(self.closed).unionByName(self.inserted)
+
+
+def _row(name: str, values: dict[str, Column], state: str) -> Column:
+    """A row of a warehouse table, columns without a value null, and what becomes of it."""
+    return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table_schema(name)],
+                    F.lit(state).alias("_state"))
+
+
+def _merge(target: DataFrame, source: DataFrame, name: str, natural_id: str, match: Column, outcome: Column) -> Merge:
+    """One full outer join of ``old`` and ``new`` rows; ``outcome`` is the array of rows a pair becomes.
+
+    The outcome is written once, apart by state, and counted on the way with the highest key,
+    so target and batch are read once.  New rows get dense keys above it in the order of their id.
+    """
+    spark, key = target.sparkSession, SURROGATE_KEY[name]
+    old, new = (df.select(F.struct(*df.columns).alias(n)) for df, n in ((target, "old"), (source, "new")))
+    rows = old.join(new, match, "full").select(F.explode(outcome).alias("r")).select("r.*")
+    path, seen = scratch_dir(spark, "merged"), Observation()
+    state = F.col("_state")
+    (rows.observe(seen, F.max(key).alias("top"), F.count_if(state == "new").alias("inserted"),
+                  F.count_if(state.isin("updated", "closed")).alias("updated"))
+         .write.partitionBy("_state").parquet(path))
+    merged = spark.read.schema(rows.schema).parquet(path)
+    fresh = merged.where(state == "new").drop("_state", key)
+    counts = seen.get
+    return Merge(conform(merged.where(state.isin("kept", "updated")), name), conform(merged.where(state == "closed"), name),
+                 conform(surrogate_keys(fresh, key, natural_id, start=counts["top"] or 0), name),
+                 counts["inserted"], counts["updated"])
+
+
+def _fields(df: DataFrame, side: str) -> dict[str, Column]:
+    return {c: F.col(f"{side}.{c}") for c in df.columns}
+
+
 # --- type 1 ------------------------------------------------------------------------
 
+def scd1_merge(target: DataFrame, source: DataFrame, name: str, natural_id: str, update_cols: list[str], as_of) -> Merge:
+    now = {"DWUpdatedAt": _instant(as_of)}
+    old, new = _fields(target, "old"), _fields(source, "new")
+    outcome = (F.when(F.col("old").isNull(), F.array(_row(name, {**new, **now}, "new")))
+               .when(F.col("new").isNull(), F.array(_row(name, old, "kept")))
+               .otherwise(F.array(_row(name, {**old, **{c: new[c] for c in update_cols}, **now}, "updated"))))
+    return _merge(target, source, name, natural_id, old[natural_id] == new[natural_id], outcome)
+
+
 def scd1_upsert(target: DataFrame, source: DataFrame, name: str, natural_id: str,
                 update_cols: list[str], as_of) -> DataFrame:
     """Overwrite matched rows, insert the others.
@@ -79,18 +139,7 @@ def scd1_upsert(target: DataFrame, source: DataFrame, name: str, natural_id: str
     ``source`` has warehouse column names and a unique natural id.  Matched
     rows keep their surrogate key and ``CreatedAt``.
     """
-    key, now = SURROGATE_KEY[name], _instant(as_of)
-    incoming = source.select(F.col(natural_id).alias("_id"), F.lit(True).alias("_hit"),
-                             *[F.col(c).alias(f"_new_{c}") for c in update_cols])
-    joined = target.join(incoming, target[natural_id] == incoming["_id"], "left")
-    hit = F.col("_hit").isNotNull()
-    picked = {c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in update_cols}
-    picked["DWUpdatedAt"] = F.when(hit, now).otherwise(F.col("DWUpdatedAt"))
-    kept = conform(joined.select(*[picked.get(c, F.col(c)).alias(c) for c in target.columns]), name)
-
-    fresh = source.join(target.select(natural_id), natural_id, "left_anti").withColumn("DWUpdatedAt", now)
-    inserted = surrogate_keys(fresh, key, natural_id, start=max_key(target, key))
-    return kept.unionByName(conform(inserted, name))
+    return scd1_merge(target, source, name, natural_id, update_cols, as_of).whole()
 
 
 def payer_source(stg: DataFrame) -> DataFrame:
@@ -134,21 +183,33 @@ UPDATED = {
 }
 
 
-def load_dim_payer(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> DataFrame:
+def merge_dim_payer(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> Merge:
     batch = resolve_duplicates(pending_only(stg), "payer_id", on_duplicate, LATEST)
-    return scd1_upsert(target, payer_source(batch), "DimPayer", "PayerID", UPDATED["DimPayer"], as_of)
+    return scd1_merge(target, payer_source(batch), "DimPayer", "PayerID", UPDATED["DimPayer"], as_of)
 
 
-def load_dim_facility(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> DataFrame:
+def load_dim_payer(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> DataFrame:
+    return merge_dim_payer(target, stg, as_of, on_duplicate).whole()
+
+
+def merge_dim_facility(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> Merge:
     batch = resolve_duplicates(pending_only(stg), "facility_id", on_duplicate, LATEST)
-    return scd1_upsert(target, facility_source(batch), "DimFacility", "FacilityID", UPDATED["DimFacility"], as_of)
+    return scd1_merge(target, facility_source(batch), "DimFacility", "FacilityID", UPDATED["DimFacility"], as_of)
+
+
+def load_dim_facility(target: DataFrame, stg: DataFrame, as_of, on_duplicate: str = "keep_latest") -> DataFrame:
+    return merge_dim_facility(target, stg, as_of, on_duplicate).whole()
+
+
+def merge_dim_provider(target: DataFrame, stg: DataFrame, dim_facility: DataFrame, as_of,
+                       on_duplicate: str = "keep_latest") -> Merge:
+    batch = resolve_duplicates(pending_only(stg), "provider_id", on_duplicate, LATEST)
+    return scd1_merge(target, provider_source(batch, dim_facility), "DimProvider", "ProviderID", UPDATED["DimProvider"], as_of)
 
 
 def load_dim_provider(target: DataFrame, stg: DataFrame, dim_facility: DataFrame, as_of,
                       on_duplicate: str = "keep_latest") -> DataFrame:
-    batch = resolve_duplicates(pending_only(stg), "provider_id", on_duplicate, LATEST)
-    return scd1_upsert(target, provider_source(batch, dim_facility), "DimProvider", "ProviderID",
-                       UPDATED["DimProvider"], as_of)
+    return merge_dim_provider(target, stg, dim_facility, as_of, on_duplicate).whole()
 
 
 # --- type 2 ------------------------------------------------------------------------
@@ -172,40 +233,43 @@ def patient_source(stg: DataFrame, dim_payer: DataFrame, dim_provider: DataFrame
 
 def _differs(name: str) -> Column:
     """Stored and incoming value differ, a missing value counting as blank."""
-    old, new = F.col(name).cast("string"), F.col(f"_new_{name}").cast("string")
+    old, new = F.col(f"old.{name}").cast("string"), F.col(f"new.{name}").cast("string")
     return F.coalesce(old, F.lit("")) != F.coalesce(new, F.lit(""))
 
 
+def scd2_merge(dim: DataFrame, source: DataFrame, as_of, tracked: list[str] = TRACKED) -> Merge:
+    """``dim`` may be all versions or the current ones alone; closed versions pass through untouched."""
+    now = _instant(as_of)
+    today = F.to_date(now)
+    old, new = _fields(dim, "old"), _fields(source.withColumn("IsCurrent", F.lit(True)), "new")
+    changed = F.lit(False)
+    for c in tracked:
+        changed = changed | _differs(c)
+    closed = {**old, "ExpirationDate": F.date_sub(today, 1), "IsCurrent": F.lit(False), "DWUpdatedAt": now}
+    version = _row("DimPatient", {**new, "EffectiveDate": today, "DWUpdatedAt": now}, "new")
+    outcome = (F.when(F.col("old").isNull(), F.array(version))
+               .when(F.col("new").isNotNull() & changed, F.array(_row("DimPatient", closed, "closed"), version))
+               .otherwise(F.array(_row("DimPatient", old, "kept"))))
+    # Equal in both columns, so closed versions of a patient don't meet the batch.
+    match = (old["PatientID"] == new["PatientID"]) & (old["IsCurrent"] == new["IsCurrent"])
+    return _merge(dim, source.withColumn("IsCurrent", F.lit(True)), "DimPatient", "PatientID", match, outcome)
+
+
 def scd2_apply(dim: DataFrame, source: DataFrame, as_of, tracked: list[str] = TRACKED) -> DataFrame:
     """Expire current rows whose tracked columns changed, add new versions.
 
     ``source`` has warehouse column names and a unique ``PatientID``.
     Untracked columns of an unchanged patient stay as they are.
     """
-    now = _instant(as_of)
-    today = F.to_date(now)
-    incoming = source.select(F.col("PatientID").alias("_id"), *[F.col(c).alias(f"_new_{c}") for c in tracked])
-    changed = F.lit(False)
-    for c in tracked:
-        changed = changed | _differs(c)
-    joined = dim.join(incoming, F.col("IsCurrent") & (dim["PatientID"] == incoming["_id"]), "left")
-    marked = joined.withColumn("_expired", F.col("IsCurrent") & F.col("_id").isNotNull() & changed)
-    replaced = {
-        "ExpirationDate": F.when(F.col("_expired"), F.date_sub(today, 1)).otherwise(F.col("ExpirationDate")),
-        "IsCurrent": F.col("IsCurrent") & ~F.col("_expired"),
-        "DWUpdatedAt": F.when(F.col("_expired"), now).otherwise(F.col("DWUpdatedAt")),
-    }
-    history = conform(marked.select(*[replaced.get(c, F.col(c)).alias(c) for c in dim.columns]), "DimPatient")
+    return scd2_merge(dim, source, as_of, tracked).whole()
 
-    standing = history.where("IsCurrent").select("PatientID")
-    fresh = (source.join(standing, "PatientID", "left_anti")
-             .withColumn("EffectiveDate", today).withColumn("ExpirationDate", F.lit(None).cast("date"))
-             .withColumn("IsCurrent", F.lit(True)).withColumn("DWUpdatedAt", now))
-    inserted = surrogate_keys(fresh, "PatientKey", "PatientID", start=max_key(dim, "PatientKey"))
-    return history.unionByName(conform(inserted, "DimPatient"))
+
+def merge_dim_patient(dim: DataFrame, stg: DataFrame, dim_payer: DataFrame, dim_provider: DataFrame, as_of,
+                      on_duplicate: str = "keep_latest") -> Merge:
+    batch = resolve_duplicates(pending_only(stg), "patient_id", on_duplicate, LATEST)
+    return scd2_merge(dim, patient_source(batch, dim_payer, dim_provider), as_of)
 
 
 def load_dim_patient(dim: DataFrame, stg: DataFrame, dim_payer: DataFrame, dim_provider: DataFrame, as_of,
                      on_duplicate: str = "keep_latest") -> DataFrame:
-    batch = resolve_duplicates(pending_only(stg), "patient_id", on_duplicate, LATEST)
-    return scd2_apply(dim, patient_source(batch, dim_payer, dim_provider), as_of)
+    return merge_dim_patient(dim, stg, dim_payer, dim_provider, as_of, on_duplicate).whole()

@@ -7,23 +7,33 @@ from pyspark.sql import functions as F
 
 from carelake.session import scratch_dir
 
+#: Files whose row counts are summed in one group.
+GROUP_FILES = 1024
+
 
 def _position(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Add ``_pos`` = 0-based rank over the whole frame.
 
     The rows are range-sorted into files of the shared folder.  A row's rank
-    is the rows in all earlier files (one small row per file) plus its index
-    inside its own file, which the Parquet reader reports.  Writing first
-    fixes the ranges, so a lost executor cannot change a number.
+    is the rows in all earlier files plus its index inside its own file, which
+    the Parquet reader reports.  Rows of earlier files are prefix sums in two
+    levels: within groups of GROUP_FILES files, and over one array with a number
+    per group.  Writing first fixes the ranges, so a lost executor cannot change
+    a number; inside ``scratch_scope`` the folder is removed at its end.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "ranked")
     df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path)
-    per_file = rows.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("int")
-    running = F.sum("_n").over(Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, 0))
-    offsets = per_file.select("_file", (running - F.col("_n")).alias("_before"))
+    per_file = (rows.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_part", F.regexp_extract("_file", r"part-(\d+)", 1).cast("int"))
+                .withColumn("_group", F.floor(F.col("_part") / GROUP_FILES)))
+    within = Window.partitionBy("_group").orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, 0)
+    totals = per_file.groupBy("_group").agg(F.sum("_n").alias("_rows")).agg(F.collect_list(F.struct("_group", "_rows")).alias("_groups"))
+    earlier = F.aggregate(F.filter("_groups", lambda g: g["_group"] < F.col("_g._group")), F.lit(0).cast("bigint"), lambda n, g: n + g["_rows"])
+    groups = totals.select("_groups", F.explode("_groups").alias("_g")).select("_g._group", earlier.alias("_earlier"))
+    offsets = (per_file.withColumn("_before", F.sum("_n").over(within) - F.col("_n")).join(groups, "_group")
+               .select("_file", (F.col("_before") + F.col("_earlier")).alias("_before")))
     numbered = rows.select("*", F.col("_metadata.file_name").alias("_file"),
                            F.col("_metadata.row_index").alias("_idx"))
     # one row per written file, i.e. at most the number of write tasks

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.predicates import _instant, recent_runs
+from carelake.functions.predicates import recent_runs
 from carelake.operators import dimensions as dims
 from carelake.operators.facts import fact_index, load_fact
 from carelake.operators.keys import max_key
-from carelake.schemas import SURROGATE_KEY, TABLES, empty_table
+from carelake.schemas import TABLES, empty_table
+from carelake.session import scratch_scope
 from carelake.sources.landing import without_id
 from carelake.sources.staging import StagingArea
 from carelake.sources.tables import TableStore, append_rows, by_partition
@@ -98,22 +99,21 @@ class Etl:
         return empty_table(self.spark, name)
 
     def _load_dim(self, name: str, stg: DataFrame, as_of) -> tuple[int, int]:
-        old = self.table(name)
-        key, top = SURROGATE_KEY[name], max_key(old, SURROGATE_KEY[name])
         how = self.on_duplicate
+        if name == "DimPatient":
+            old = self.store.read_current("dw", name) if self.store.exists("dw", name) else self.table(name)
+            merge = dims.merge_dim_patient(old, stg, self.table("DimPayer"), self.table("DimProvider"), as_of, how)
+            self.store.write_current(merge.standing.unionByName(merge.inserted), merge.closed, "dw", name)
+            return merge.n_inserted, merge.n_updated
+        old = self.table(name)
         if name == "DimPayer":
-            new = dims.load_dim_payer(old, stg, as_of, how)
+            merge = dims.merge_dim_payer(old, stg, as_of, how)
         elif name == "DimFacility":
-            new = dims.load_dim_facility(old, stg, as_of, how)
-        elif name == "DimProvider":
-            new = dims.load_dim_provider(old, stg, self.table("DimFacility"), as_of, how)
+            merge = dims.merge_dim_facility(old, stg, as_of, how)
         else:
-            new = dims.load_dim_patient(old, stg, self.table("DimPayer"), self.table("DimProvider"), as_of, how)
-        seen = Observation()
-        touched = (F.col(key) <= top) & (F.col("DWUpdatedAt") == _instant(as_of))
-        counted = new.observe(seen, F.count_if(F.col(key) > top).alias("ins"), F.count_if(touched).alias("upd"))
-        self.store.write_table(counted, "dw", name)
-        return seen.get["ins"], seen.get["upd"]
+            merge = dims.merge_dim_provider(old, stg, self.table("DimFacility"), as_of, how)
+        self.store.write_table(merge.whole(), "dw", name)
+        return merge.n_inserted, merge.n_updated
 
     def _load_fact(self, name: str, stg: DataFrame, as_of) -> tuple[int, int]:
         sides = {t: self.table(t) for t in (*STATIC, "DimPayer", "DimFacility", "DimProvider", "DimPatient")}
@@ -138,7 +138,8 @@ class Etl:
             stg = self.staging.read_pending(entity, batches)
             refused = self.staging.reject(without_id(stg, entity), entity, f"run-{log_id:06d}", "no id")
             is_fact = name.startswith("Fact")
-            inserted, updated = (self._load_fact if is_fact else self._load_dim)(name, stg, as_of)
+            with scratch_scope(self.spark):
+                inserted, updated = (self._load_fact if is_fact else self._load_dim)(name, stg, as_of)
             skipped = stg.count() - inserted if is_fact else refused
             self.staging.mark(entity, batches, ok=True)
         except Exception as exc:

@@ -2,12 +2,16 @@
 
 A rewritten table gets a new version folder and readers use the newest
 finished one, so a table may be rewritten from its own content and a failed
-write leaves the last good version in place.  Facts are appended to.
+write leaves the last good version in place.  Facts are appended to.  A table with
+history keeps rows that a load has closed in a folder of that load, which no later
+load rewrites; a version sees the closed rows of its own and earlier loads.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelake.schemas import TABLES, local_rows, table_schema
 
@@ -57,18 +61,43 @@ class TableStore:
             raise FileNotFoundError(self._folder(layer, name))
         return f"{self._folder(layer, name)}/v={versions[-1]:06d}"
 
-    def read_table(self, layer: str, name: str) -> DataFrame:
-        """Newest version.  Warehouse tables are read with their declared
-        schema; a partition column would otherwise get a guessed type."""
+    def _closed(self, layer: str, name: str) -> str | None:
+        """The folder of closed rows, if the table has one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(layer, name)}/closed")
+        return str(path) if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path) else None
+
+    def read_current(self, layer: str, name: str) -> DataFrame:
+        """Newest version without the rows that loads have closed.  Warehouse tables are read
+        with their declared schema; a partition column would otherwise get a guessed type."""
         reader = self.spark.read
         if layer == "dw" and name in TABLES:
             reader = reader.schema(table_schema(name))
         return reader.parquet(self.path(layer, name))
 
+    def read_table(self, layer: str, name: str) -> DataFrame:
+        """Newest version, closed rows included."""
+        rows, closed = self.read_current(layer, name), self._closed(layer, name)
+        if closed is None:
+            return rows
+        history = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("load", T.IntegerType())])).parquet(closed)
+        return rows.unionByName(history.where(F.col("load") <= self._versions(layer, name)[-1]).drop("load"))
+
+    def write_current(self, current: DataFrame, closed: DataFrame, layer: str, name: str) -> None:
+        """A new version of the rows that stand; ``closed`` ones are added to the history.
+
+        The closed rows are written first under the number of the coming version, so they show only
+        with it, and a load that failed in between overwrites them when it is run again.
+        """
+        number = ([0] + self._versions(layer, name))[-1] + 1
+        closed.write.mode("overwrite").parquet(f"{self._folder(layer, name)}/closed/load={number}")
+        current.write.mode("overwrite").parquet(f"{self._folder(layer, name)}/v={number:06d}")
+
     def write_table(self, df: DataFrame, layer: str, name: str,
                     partition_by: str | None = None, append: bool = False,
                     options: dict[str, str] | None = None) -> DataFrame:
         """Write and read back.  ``append`` adds to the newest version; ``options`` are the Parquet writer's."""
+        if self._closed(layer, name):
+            raise ValueError(f"{name} keeps closed rows apart: use write_current")
         versions = self._versions(layer, name)
         if append and versions:
             path, mode = self.path(layer, name), "append"

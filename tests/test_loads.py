@@ -198,15 +198,15 @@ def test_failed_step_stops_run_and_marks_batch(spark, sf, monkeypatch):
     etl = Etl(spark, scratch_dir(spark, "etl-fail"), td.CALENDAR)
     for entity in ENTITIES:
         etl.staging.add(td.staged(spark, sf, entity), entity, "1")
-    real = dims.load_dim_provider
-    monkeypatch.setattr(dims, "load_dim_provider", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("broken file")))
+    real = dims.merge_dim_provider
+    monkeypatch.setattr(dims, "merge_dim_provider", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("broken file")))
     with pytest.raises(RuntimeError):
         etl.run_all(DAY1)
     log = {r.Entity: (r.Status, r.ErrorMessage) for r in etl.log.read().collect()}
     assert log == {"DimPayer": ("Success", None), "DimFacility": ("Success", None), "DimProvider": ("Error", "broken file")}
     assert {r.stg_status for r in etl.staging.read("providers").select("stg_status").distinct().collect()} == {"Error"}
     assert etl.staging.pending("claims") == ["1"] and etl.staging.pending("payers") == []
-    monkeypatch.setattr(dims, "load_dim_provider", real)
+    monkeypatch.setattr(dims, "merge_dim_provider", real)
     etl.staging.add(td.staged(spark, sf, "providers"), "providers", "2")
     summary = {r.Entity: r.RowsInserted for r in etl.run_all(DAY2).collect()}
     assert list(summary) == list(STEPS) and summary["DimPayer"] == 0 and summary["FactClaims"] > 5000
