@@ -35,7 +35,7 @@ def test_target_and_batch_are_read_once(spark, small):  # noqa: F811
     merge = dims.scd2_merge(target, source, DAY2)
     rows = merge.whole().collect()
     assert (read.value, sent.value) == (3, 2) and (merge.n_inserted, merge.n_updated) == (2, 1)
-    assert sorted((r["PatientID"], r["IsCurrent"]) for r in rows if r["PatientKey"] > 1) == [("P1", False), ("P1", True), ("P2", True), ("P3", True)]
+    assert sorted((r["PatientID"], r["IsCurrent"]) for r in rows if r["PatientKey"] > 1) == [("A", False), ("A", True), ("P2", True), ("P3", True)]
     assert sorted(r["PatientKey"] for r in rows) == [1, 2, 3, 4, 5]
 
 
