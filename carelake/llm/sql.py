@@ -62,14 +62,18 @@ def _identifier(*parts: str) -> str:
 
 
 def _unescaped(text: str) -> str:
-    for name, value in warc.REFERENCES:
-        text = f"replace({text}, {_text(name)}, {_text(value)})"
-    return text
+    names = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in warc.NAMES.items()) + "}"
+    ref = f"regexp_extract(x, {_text(warc.REFERENCE)}, 1)"
+    number = f"CASE WHEN r[2] IN ('x', 'X') THEN TRY_CAST('0x' || r[3:] AS INTEGER) ELSE TRY_CAST(r[2:] AS INTEGER) END"
+    char = f"(SELECT CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n = 160 THEN ' ' ELSE chr(n) END FROM (SELECT {number} AS n))"
+    value = f"CASE WHEN r[1] = '#' THEN {char} WHEN r <> '' THEN {names}[r] END"
+    piece = f"(SELECT coalesce({value} || x[len(r) + 2:], '&' || x) FROM (SELECT {ref} AS r))"
+    return f"(string_split({text}, '&')[1] || coalesce((SELECT string_agg({piece}, '' ORDER BY i) FROM (SELECT unnest(string_split({text}, '&')[2:]) AS x, generate_subscripts(string_split({text}, '&')[2:], 1) AS i)), ''))"
 
 
 def _plain(html: str) -> str:
     swap = lambda text, pattern, new: f"regexp_replace({text}, {_text(pattern)}, {new}, 'g')"
-    shown = swap(swap(swap(html, warc.HIDDEN, "' '"), warc.BREAKS, "chr(10)"), "<[^>]*>", "''")
+    shown = swap(swap(swap(html, warc.HIDDEN, "' '"), warc.BREAKS, "chr(10)"), warc.TAGS, "''")
     tidy = swap(swap(_unescaped(shown), r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)")
     return swap(tidy, r"^[ \n]+|[ \n]+$", "''")
 
@@ -101,56 +105,52 @@ FROM record
 
 
 def url_filter(rules, tree) -> str:
-    """The template tree level by level."""
-    cols = [f"s{i}" for i in range(tree.depth)]
-    all_cols = ", ".join(cols)
+    """The template tree, a recursion step per level."""
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     name = verdict = "NULL"
     for r in sorted(rules, key=lambda r: len(r.name)):
         fits = f"(host = {_text(r.host)} OR ends_with(host, {_text('.' + r.host)})) AND starts_with(path, {_text(r.path)})"
         name = f"CASE WHEN {fits} THEN {_text(r.name)} ELSE {name} END"
         verdict = f"CASE WHEN {fits} THEN {_text(r.verdict)} ELSE {verdict} END"
-    part = lambda i: f"regexp_replace(coalesce(parts[{i + 1}], ''), '[0-9]+', '#', 'g')"
-    shown = [part(i) for i in range(tree.depth)]
-    shown[-1] += f" || CASE WHEN len(parts) > {tree.depth} THEN '/**' ELSE '' END"
     sums = "CAST(sum(labelled) AS BIGINT) AS l, CAST(sum(blocked) AS BIGINT) AS b"
     smooth = lambda parent: f"(b + CAST({tree.smoothing} AS DOUBLE) * {parent}) / (l + CAST({tree.smoothing} AS DOUBLE))"
-    steps = [f"""read AS (
+    over = lambda what, group: f"CAST(sum({what}) OVER (PARTITION BY {group}) AS BIGINT)"
+    return f"""WITH RECURSIVE read AS (
     SELECT page_id, translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
-), split AS (
-    SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM read
 ), marked AS (
-    SELECT page_id, host, path, {name} AS rule, {verdict} AS ruled, {", ".join(f"{s} AS {c}" for s, c in zip(shown, cols))} FROM split
+    SELECT *, {name} AS rule, {verdict} AS ruled,
+           list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS parts FROM read
 ), shapes AS (
-    SELECT host, {all_cols}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM marked GROUP BY host, {all_cols}
+    SELECT host, parts, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked
+    FROM (SELECT DISTINCT host, path, ruled, parts FROM marked) GROUP BY host, parts
 ), total AS (
     SELECT {smooth(f"CAST({tree.prior} AS DOUBLE)")} AS p FROM (SELECT {sums} FROM shapes)
 ), hosts AS (
-    SELECT host, {smooth("(SELECT p FROM total)")} AS p FROM (SELECT host, {sums} FROM shapes GROUP BY host)
-), level0 AS (
-    SELECT shapes.*, p, '' AS template FROM shapes JOIN hosts USING (host)
-)"""]
-    for i, c in enumerate(cols):
-        steps.append(f"""nodes{i} AS (
-    SELECT host, template, count(*) AS kids, sum(n) AS pages FROM (SELECT host, template, {c}, sum(n) AS n FROM level{i} GROUP BY host, template, {c}) GROUP BY host, template
-), wild{i} AS (
-    SELECT level{i}.*, CASE WHEN kids >= {tree.most_children} AND kids * 2 > pages AND {c} <> '' THEN '*' ELSE {c} END AS branch FROM level{i} JOIN nodes{i} USING (host, template)
-), named{i} AS (
-    SELECT *, CASE WHEN branch = '' THEN '' WHEN abs(b - l * q) <= CAST({tree.z} AS DOUBLE) * sqrt(l * q * (1 - q)) THEN '~' ELSE branch END AS name
-    FROM (SELECT host, template, branch, {sums}, min(p) AS q FROM wild{i} GROUP BY host, template, branch)
-), pooled{i} AS (
-    SELECT host, template, name, {smooth("q")} AS p FROM (
-        SELECT host, template, name, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, min(q) AS q FROM named{i} GROUP BY host, template, name)
-), level{i + 1} AS (
-    SELECT w.host, {", ".join(f"w.{x}" for x in cols)}, w.n, w.labelled, w.blocked, pooled{i}.p,
-           CASE WHEN named{i}.name = '' THEN w.template ELSE w.template || '/' || named{i}.name END AS template
-    FROM wild{i} w JOIN named{i} USING (host, template, branch) JOIN pooled{i} ON pooled{i}.host = w.host AND pooled{i}.template = w.template AND pooled{i}.name = named{i}.name
-)""")
-    last = f"level{tree.depth}"
-    return f"""WITH {", ".join(steps)}
-SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN p >= {tree.threshold} THEN 'block' ELSE 'allow' END) AS verdict, template, p AS purity
-FROM marked m LEFT JOIN {last} t ON t.host = m.host AND {" AND ".join(f"t.{c} = m.{c}" for c in cols)}"""
+    SELECT host, {smooth("(SELECT p FROM total)")} AS p, l > 0 AND shapes > 1 AS open FROM (SELECT host, {sums}, count(*) AS shapes FROM shapes GROUP BY host)
+), tree AS (
+    SELECT shapes.*, p, open, '' AS template, 0 AS level FROM shapes JOIN hosts USING (host)
+    UNION ALL
+    SELECT host, parts, n, labelled, blocked, {smooth("q")}, l > 0 AND shapes > 1 AND name <> '',
+           CASE WHEN name = '' THEN template ELSE template || '/' || name END, level + 1
+    FROM (
+        SELECT *, {over("labelled", "host, template, name")} AS l, {over("blocked", "host, template, name")} AS b,
+               count(*) OVER (PARTITION BY host, template, name) AS shapes
+        FROM (
+            SELECT host, parts, n, labelled, blocked, q, template, level,
+                   CASE WHEN segment = '' OR (l >= {tree.least_labels} AND abs(b - l * q) > CAST({tree.z} AS DOUBLE) * sqrt(l * q * (1 - q))) THEN segment
+                        WHEN varies THEN '*' ELSE '~' END AS name
+            FROM (
+                SELECT *, {over("n", "host, template")} * {over("n", "host, template")} >= {tree.most_children} * {over("n * alike", "host, template")} AS varies
+                FROM (
+                    SELECT *, {over("n", "host, template, segment")} AS alike, {over("labelled", "host, template, segment")} AS l,
+                           {over("blocked", "host, template, segment")} AS b
+                    FROM (SELECT host, parts, n, labelled, blocked, p AS q, template, level, coalesce(parts[level + 1], '') AS segment FROM tree WHERE open)))))
+)
+SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN p >= {tree.threshold} THEN 'block' ELSE 'allow' END) AS verdict,
+       template || CASE WHEN len(t.parts) > level THEN '/**' ELSE '' END AS template, p AS purity
+FROM marked m LEFT JOIN tree t ON NOT t.open AND t.host = m.host AND t.parts = m.parts"""
+
 
 DIVERGENCE = r"""
 WITH d AS (

@@ -8,23 +8,32 @@ functions on one row; nothing is shuffled.
 
 A null payload counts as empty, a null target or date is left out of the header;
 equal rows give equal records (identifiers come from content); other columns are
-not read.
+not read.  Elements, comments, tags and titles that a page leaves open reach to its
+end, so a page of any length is read in linear time; ``<`` before a space or digit is
+text.  Line ends in header values become spaces.
 """
 
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements without text of their own, elements that end a line, and character references.
-HIDDEN = r"(?is)<script\b.*?</script[ \t\r\n]*>|<style\b.*?</style[ \t\r\n]*>|<template\b.*?</template[ \t\r\n]*>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-LINK = r"""(?i)<a\b[^>]*?\bhref[ \t\r\n]*=[ \t\r\n]*["']([^"'>]*)["']"""
+#: Elements without text of their own, elements that end a line, title and links.  What has no end ends
+#: with the page (a link's tag at the next ``<``), so each expression passes over a text once.
+_END = r"(?:>|\z)"
+HIDDEN = "(?is)" + "|".join([rf"<{x}\b.*?(?:</{x}[ \t\r\n]*>|\z)" for x in ("script", "style", "template")] + [r"<!--.*?(?:-->|\z)"])
+BREAKS = (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*"
+          + _END)
+TAGS = "</?[A-Za-z!?][^>]*" + _END
+TITLE = r"(?is)<title\b[^>]*(?:>(.*?)(?:</title|\z)|\z)"
+LINK = r"""(?i)<a\b[^<>]*?\bhref[ \t\r\n]*=[ \t\r\n]*["']([^"'<>]*)["']"""
+#: A character reference after its ``&``: a decimal or hexadecimal number or a name, to the semicolon.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The names of HTML 4 and ``apos``; a no-break space counts as a space.
+NAMES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
 
 
 def identifier(*parts: Column) -> Column:
@@ -39,14 +48,25 @@ def digest(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    for name, value in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """Character references by number and name replaced, once and from left to right; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+
+    def read(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, REFERENCE, 1)
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).cast("int")
+        number = F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), 0xFFFD).when(number == 0xA0, 0x20).otherwise(number)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        value = F.when(ref.startswith("#"), char).when(ref != "", F.element_at(names, ref))
+        return F.coalesce(F.concat(value, F.substr(piece, F.length(ref) + 2)), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(
+        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), ""))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """Visible text, one line per block element, single spaces."""
-    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAKS, "\n"), "<[^>]*>", "")
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAKS, "\n"), TAGS, "")
     tidy = F.regexp_replace(F.regexp_replace(unescaped(shown), "[ \t\r\f]+", " "), " ?\n[ \n]*", "\n")
     return F.regexp_replace(tidy, "^[ \n]+|[ \n]+$", "")
 
@@ -91,9 +111,10 @@ def derive(source: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame
 
 def header(records: DataFrame) -> Column:
     """The WARC header of derived records, source fields last under names of their own."""
-    line = lambda name, value: F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")))
+    one_line = lambda value: F.regexp_replace(value, "[\r\n]+", " ")
+    line = lambda name, value: F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), one_line(value.cast("string")), F.lit("\r\n")))
     kept = F.array_join(F.transform(F.map_entries("source_headers"), lambda e: F.concat(
-        F.lit("X-Source-"), e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
+        F.lit("X-Source-"), one_line(e["key"]), F.lit(": "), one_line(e["value"]), F.lit("\r\n"))), "")
     named = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
              ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Digest", "source_digest"),
              ("Content-Type", "content_type"), ("Content-Length", "content_length"))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns; parts of the methods."""
 
 import random
+import time
 from array import array
 
 import numpy as np
@@ -275,6 +276,47 @@ def test_urls(spark):
     assert judged[25] == "block" and judged[125] == "allow"
 
 
+def _templates(spark, urls, rules):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r["page_id"]: (r["verdict"], r["template"]) for r in urltree.judge(df, rules).collect()}
+
+
+def test_url_branches_six_levels_down(spark):
+    urls = [f"http://h.com/a/b/c/d/{x}/{n}-{i}" for x in ("good", "bad") for n, many in (("seen", 15), ("new", 5)) for i in range(many)]
+    rules = tuple(urltree.Rule(v, "h.com", f"/a/b/c/d/{x}/seen") for v, x in (("allow", "good"), ("block", "bad")))
+    got = _templates(spark, urls, rules)
+    assert [got[i][0] for i in range(40)] == ["allow"] * 20 + ["block"] * 20
+    assert got[39][1].startswith("/~/~/~/~/bad")
+
+
+def test_url_templates_do_not_depend_on_the_number_of_pages(spark):
+    users = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    urls = [f"http://h.com/user/{u}/{p}" for u in users for p in ("home", "mail")]
+    rules = (urltree.Rule("block", "h.com", "/user/a"), urltree.Rule("allow", "h.com", "/user/b"))
+    once = _templates(spark, urls, rules)
+    tenfold = _templates(spark, urls * 10, rules)
+    assert all(tenfold[i] == once[i % len(urls)] for i in range(10 * len(urls)))
+    assert once[2 * 59][1].startswith("/~/*")
+    more = _templates(spark, [f"{u}/{k}{x}" for u in urls for k in "ab" for x in "cdefg"], rules)
+    assert more[10 * 2 * 59][1].startswith("/~/*")
+
+
+def test_warc_is_linear_on_pages_without_ends(spark):
+    parts = ("<!--", "<script ", "<style>", "<a ", "<a href='", "<title>", "<div ", "<", "&", "&#", "</script ", "<a href ")
+    pages = spark.createDataFrame([(i, "u", p * (2_000_000 // len(p))) for i, p in enumerate(parts)], "page_id long, url string, html string")
+    began = time.time()
+    assert warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z")).count() == 2 * len(parts)
+    warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z")).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 5 * len(parts)
+
+
+def test_warc_references_and_line_ends(spark):
+    page = [(1, "http://a\r\nX-Injected: 1", "caf&eacute; &#8217;&#x1F600;&hellip; &amp;lt; &nosuch; &#0; 1 < 2 & 3 &amp <!-- open")]
+    made = warc.derive(warc.responses(spark.createDataFrame(page, "page_id long, url string, html string"), "d"))
+    assert made.where("record_type = 'conversion'").first()["block"] == "café ’😀… &lt; &nosuch; \ufffd 1 < 2 & 3 &amp"
+    assert all("\r\nX-Injected" not in r["h"] for r in made.select(warc.header(made).alias("h")).collect())
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title> A &amp; B </title><script>x="</p>"</script></head><body><p>One<br>two</p><a href="/l">link</a>&lt;end&gt;</body></html>'
     pages = spark.createDataFrame([(1, "http://a/b", html, "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "u", "", "x"), (3, "http://c", "<p>" + LONG + "</p>", "x")],
