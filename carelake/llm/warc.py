@@ -16,6 +16,7 @@ text.  Line ends in header values become spaces.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +52,23 @@ def unescaped(text: Column) -> Column:
     """Character references by number and name replaced, once and from left to right; unknown ones stay."""
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
 
-    def read(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, REFERENCE, 1)
+    def value(ref: Column) -> Column:
         number = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).cast("int")
-        number = F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), 0xFFFD).when(number == 0xA0, 0x20).otherwise(number)
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        value = F.when(ref.startswith("#"), char).when(ref != "", F.element_at(names, ref))
-        return F.coalesce(F.concat(value, F.substr(piece, F.length(ref) + 2)), F.concat(F.lit("&"), piece))
-
-    pieces = F.split(text, "&")
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), ""))).otherwise(text)
+        return F.when(ref.startswith("#"), once(number, char)).when(ref != "", F.element_at(names, ref))
+
+    def char(number: Column) -> Column:
+        known = F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), 0xFFFD).when(number == 0xA0, 0x20).otherwise(number)
+        return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+    read = lambda piece: once(F.regexp_extract(piece, REFERENCE, 1), lambda ref: F.coalesce(
+        F.concat(value(ref), F.substr(piece, F.length(ref) + 2)), F.concat(F.lit("&"), piece)))
+    joined = lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), read), ""))
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&"), joined)).otherwise(t))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def plain_text(html: Column) -> Column:
