@@ -14,9 +14,10 @@ groups of about ``group_rows``; each pair is one matrix product.  Only pivots an
 the ring table (pivots x rings rows) are held by driver and tasks.
 
 Components become floor(scale * x).  Vectors that are null or hold null or
-non-finite components, and rows with a null id, take no part; rows with the same
-id count as one vector (the smallest); vectors of fewer components count as padded
-with zeros.  Other columns are not read.
+non-finite components, and rows with a null id, take no part.  Each row is a vector
+of its own: rows that share an id are all candidates, also of each other, and each a
+query where the id is one.  Equal scores go to the smaller id.  Vectors of fewer
+components count as padded with zeros.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +35,12 @@ EXACT = 2.0 ** 53
 
 
 def clean(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): whole-number vectors, one per id."""
+    """(row, vec_id, v): whole-number vectors, with a number for each row."""
     x = F.col(embedding)
     usable = x.isNotNull() & F.forall(x, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
     whole = F.transform(x, lambda a: F.floor(a.cast("double") * F.lit(float(scale))).cast("long"))
     return (vectors.where(F.coalesce(usable, F.lit(False)) & F.col(vec_id).isNotNull())
-            .select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v")))
 
 
 def matrix(column, dim: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: i
     if top["dim"] is None:
         return spark.createDataFrame([], schema)
     dim, longest = max(1, top["dim"]), top["longest"]
-    chosen = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    chosen = known.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow()
     pool = lifted(matrix(pa.chunked_array(chosen.column("v")).combine_chunks(), dim), longest)
     centres = _spread_out(pool, pivots)
 
@@ -131,10 +131,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: i
         for b in batches:
             d = distances(lifted(matrix(b.column("v"), dim), longest), centres)
             near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])],
-                                             names=["vec_id", "v", "pivot", "distance"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])],
+                                             names=["row", "vec_id", "v", "pivot", "distance"])
 
-    placed = stored(known.mapInArrow(keyed, "vec_id long, v array<bigint>, pivot int, distance double"), "placed")
+    placed = stored(known.mapInArrow(keyed, "row long, vec_id long, v array<bigint>, pivot int, distance double"), "placed")
     cuts = placed.groupBy("pivot").agg(F.percentile_approx("distance", [i / rings for i in range(1, rings)]).alias("cuts"))
     ringed = placed.join(F.broadcast(cuts), "pivot").withColumn(  # one row per pivot
         "ring", F.size(F.filter("cuts", lambda c: c < F.col("distance"))).cast("int")).drop("cuts")
@@ -142,13 +142,13 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: i
         F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")).collect()
     shape = Rings(centres, sorted(table, key=lambda r: (r["pivot"], r["ring"])), longest)
     sizes = spark.createDataFrame([(r["pivot"], r["ring"], r["blocks"]) for r in table], "pivot int, ring int, blocks long")  # pivots x rings rows
-    block = _ring_id(F.col("pivot"), F.col("ring"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    block = _ring_id(F.col("pivot"), F.col("ring"), F.pmod(F.xxhash64("row"), F.col("blocks")))
     blocks = stored(ringed.join(F.broadcast(sizes), ["pivot", "ring"]).groupBy(block.alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("members")).select("block", "members.vec_id", "members.v"), "index")
+        F.collect_list(F.struct("row", "vec_id", "v")).alias("members")).select("block", "members.row", "members.vec_id", "members.v"), "index")
     dropped(placed)
 
     state = stored(known.where(is_query(F.col("vec_id"))).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(None).cast("long").alias("floor"),
+        F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(None).cast("long").alias("floor"),
         F.array().cast("array<struct<score:bigint,vec_id:bigint>>").alias("found")), "queries")
     begin = 0
     for end in (*steps, len(shape.pivot)):
@@ -185,36 +185,36 @@ def _round(state: DataFrame, blocks: DataFrame, shape: Rings, begin: int, end: i
             part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             block = shape.pivot[ring] << 48 | shape.ring[ring] << 32 | part
             for i in range(0, len(row), 1 << 14):
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(row[i:i + (1 << 14)])), b.column("q").take(pa.array(row[i:i + (1 << 14)])),
-                                                  pa.array(block[i:i + (1 << 14)])], names=["query_id", "q", "block"])
+                yield pa.RecordBatch.from_arrays([b.column("query").take(pa.array(row[i:i + (1 << 14)])), b.column("q").take(pa.array(row[i:i + (1 << 14)])),
+                                                  pa.array(block[i:i + (1 << 14)])], names=["query", "q", "block"])
 
     def compare(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                queries, ids = (np.asarray(one.column(c).flatten()) for c in ("query_id", "vec_id"))
+                queries, rows, ids = (np.asarray(one.column(c).flatten()) for c in ("query", "row", "vec_id"))
                 scores = products(matrix(one.column("q").flatten(), dim), matrix(one.column("v").flatten(), dim))
                 out = []
-                for q, row in zip(queries, scores):
-                    others = np.flatnonzero(ids != q)
-                    at = others[best(row[others], ids[others], k)]
-                    out.append((np.full(len(at), q), ids[at], row[at]))
+                for q, own in zip(queries, scores):
+                    others = np.flatnonzero(rows != q)
+                    at = others[best(own[others], ids[others], k)]
+                    out.append((np.full(len(at), q), ids[at], own[at]))
                 q, v, s = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query", "vec_id", "score"])
 
     # About group_rows queries meet a block at once, however many there are.
     count = state.count()
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // group_rows))))
-    asked = state.select("query_id", "q", "floor").mapInArrow(expand, "query_id long, q array<bigint>, block long")
-    groups = stored(asked.groupBy("block", chunk.alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("x")).select("block", "x.query_id", "x.q"), "asked")
-    hits = groups.join(blocks, "block").select("query_id", "q", "vec_id", "v").mapInArrow(compare, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-count // group_rows))))
+    asked = state.select("query", "q", "floor").mapInArrow(expand, "query long, q array<bigint>, block long")
+    groups = stored(asked.groupBy("block", chunk.alias("chunk")).agg(F.collect_list(F.struct("query", "q")).alias("x")).select("block", "x.query", "x.q"), "asked")
+    hits = groups.join(blocks, "block").select("query", "q", "row", "vec_id", "v").mapInArrow(compare, "query long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-           .groupBy("query_id").agg(F.collect_list(F.struct("score", "vec_id")).alias("new")))
+           .groupBy("query").agg(F.collect_list(F.struct("score", "vec_id")).alias("new")))
     merged = F.slice(F.array_sort(F.concat("found", F.coalesce("new", F.array().cast("array<struct<score:bigint,vec_id:bigint>>"))),
                                   lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1))
                                   .when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)), 1, k)
-    joined = state.drop("floor").join(top, "query_id", "left").select("query_id", "q", merged.alias("found"))
+    joined = state.drop("floor").join(top, "query", "left").select("query", "query_id", "q", merged.alias("found"))
     out = stored(joined.withColumn("floor", F.when(F.size("found") >= k, F.element_at("found", k)["score"])), "queries")
     dropped(groups, state)
     return out

@@ -3,6 +3,7 @@
 import random
 import time
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -238,16 +239,16 @@ def test_reparameterised_copies_against_a_plain_search(spark):
 def test_pivot_search(spark):
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(300 + i, [0.5] * 6) for i in range(200)]
-    odd = [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (7, data[7][1]), (1004, [0.25, 0.5]), (1050, [])]
+    odd = [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (7, data[7][1]), (1004, [0.25, 0.5]), (1050, []), (100, data[3][1]), (50, data[50][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in data + odd], "vec_id long, embedding array<float>, score string")
     got = pivots.search(df, lambda i: i % 50 == 0, k=5, pivots=8, rings=4, sample=64, block_rows=40, group_rows=4, steps=(1, 2))
-    clean = {i: np.floor(256 * np.array([*v, *[0.0] * (6 - len(v))], dtype=np.float32).astype(float)).astype(int) for i, v in data + [odd[6], odd[7]]}
-    want = set()
-    for q in clean:
+    clean = [(i, np.floor(256 * np.array([*v, *[0.0] * (6 - len(v))], dtype=np.float32).astype(float)).astype(int)) for i, v in data + odd[5:]]
+    want = Counter()
+    for own, (q, x) in enumerate(clean):
         if q % 50 == 0:
-            best = sorted((-int(clean[q] @ clean[c]), c) for c in clean if c != q)[:5]
-            want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in got.collect()} == want
+            best = sorted((-int(x @ y), c) for row, (c, y) in enumerate(clean) if row != own)[:5]
+            want.update((q, r + 1, c, -s) for r, (s, c) in enumerate(best))
+    assert Counter(tuple(r) for r in got.collect()) == want
     assert pivots.search(df.limit(0), lambda i: i % 50 == 0).count() == 0
     few = pivots.search(df.where("vec_id IN (0, 3)"), lambda i: i % 50 == 0)
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few.collect()] == [(0, 1, 3)]
