@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split by the vocabulary's pattern; each match is merged by itself.  A
-segment tree over the match's byte positions holds, at each live position, the
+segment tree with a leaf per byte position holds, at each live position, the
 rank of the pair that starts there; its root is the leftmost minimum.  A merge
 changes three leaves (the merged pair, its left neighbour, the consumed
 neighbour), each with a logarithmic walk to the root.
@@ -42,45 +42,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     bits = max(1, (n - 1).bit_length())
-    size, mask = 1 << bits, (1 << bits) - 1
-    end = list(range(1, n + 1))  # of the part that starts at a live position: also the next live position
-    before = list(range(-1, n - 1))
-    get = ranks.get
-
-    def leaf(i: int) -> int:
-        j = end[i]
-        rank = get(piece[i:end[j]]) if j < n else None
-        return _NONE if rank is None else rank << bits | i
-
-    tree = [_NONE] * (2 * size)
-    for i in range(n):
-        tree[size + i] = leaf(i)
-    for k in range(size - 1, 0, -1):
+    mask = (1 << bits) - 1
+    end = list(range(1, n + 2))  # of the part that starts at a live position: also the next live position
+    before = list(range(-1, n))
+    get, none = ranks.get, _NONE
+    tree = [none] * (2 * n)
+    for i in range(n - 1):
+        rank = get(piece[i:i + 2])
+        if rank is not None:
+            tree[n + i] = rank << bits | i
+    for k in range(n - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            if other < value:
-                value = other
-            k >>= 1
-            if tree[k] == value:
-                return
-            tree[k] = value
-
-    while tree[1] != _NONE:
-        i = tree[1] & mask
+    while (least := tree[1]) != none:
+        i = least & mask
         j = end[i]
-        end[i] = end[j]
-        put(j, _NONE)
-        if end[i] < n:
-            before[end[i]] = i
-        put(i, leaf(i))
-        if before[i] >= 0:
-            put(before[i], leaf(before[i]))
+        end[i] = stop = end[j]
+        before[stop] = i
+        left = before[i]
+        tree[n + j] = none
+        rank = get(piece[i:end[stop]]) if stop < n else None
+        tree[n + i] = none if rank is None else rank << bits | i
+        if left >= 0:
+            rank = get(piece[left:stop])
+            tree[n + left] = none if rank is None else rank << bits | left
+            changed = (n + j, n + i, n + left)
+        else:
+            changed = (n + j, n + i)
+        for k in changed:  # a walk ends where a node keeps its value; those above it hold for it
+            value = tree[k]
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:end[i]]])
@@ -93,7 +91,7 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern, self.split = ranks, pattern, regex.compile(pattern).findall
 
     def __missing__(self, match: str) -> bytes:
         raw = match.encode()
@@ -108,6 +106,17 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
+_encoder: Encoder | None = None
+
+
+def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder: its tasks one after another share what it keeps, within the same bound."""
+    global _encoder
+    if _encoder is None or _encoder.ranks is not ranks or _encoder.pattern != pattern:
+        _encoder = Encoder(ranks, pattern)
+    return _encoder
+
+
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.tokens = {i: t for t, i in ranks.items()}
@@ -129,7 +138,7 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, columns: tu
     decodes = any("decoded" in c for c in columns)
 
     def make():
-        encoder, decoder = Encoder(shared.value, pattern), Decoder(shared.value)
+        encoder, decoder = encoder_of(shared.value, pattern), Decoder(shared.value)
 
         def run(texts):
             packed = [encoder.encode(t) for t in texts]

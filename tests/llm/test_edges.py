@@ -377,3 +377,12 @@ def test_pipeline(spark, sf):
             if name == "near_duplicates" and ids:
                 assert sorted(i for i in ids if i is not None) == [1, 4, 6]
                 assert ids.count(None) == 1
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    from carelake.llm import bpe
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"cab": 258}
+    first = bpe.encoder_of(ranks, r"\S+")
+    assert first.encode("abcab xabx") == b"".join(i.to_bytes(4, "little") for i in (257, 256, 120, 256, 120))
+    assert bpe.encoder_of(ranks, r"\S+") is first and set(first) == {"abcab", "xabx"}
+    assert bpe.encoder_of(dict(ranks), r"\S+") is not first and bpe.encoder_of(ranks, r"\w+").pattern == r"\w+"
