@@ -52,3 +52,43 @@ def test_idle_sessions_are_forgotten_and_outputs_compacted(spark):
     assert stream.used()["s"][0] == 101 and stream.crossed() == {"s": 1}
     stream.send((6, "s", 7, 15), (7, "t", 5, 15))
     assert stream.used() == {"s": (7, 93, False), "t": (15, 85, False), "u": (2, 98, False)} and stream.crossed() == {}
+
+
+def test_calls_are_remembered_in_one_message():
+    """The state is read and written as a whole, however many calls a session has."""
+    import datetime as dt
+    import types
+
+    import pandas as pd
+
+    from carelake.streaming.usage import SessionBudget
+
+    class State:
+        def __init__(self, value):
+            self.value, self.messages = value, 0
+
+        def get(self):
+            self.messages += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def update(self, value):
+            self.messages, self.value = self.messages + 1, value
+
+        def appendList(self, rows):
+            self.messages, self.value = self.messages + 1, self.value + rows
+
+        def put(self, rows):
+            self.messages, self.value = self.messages + 1, list(rows)
+
+    budget = SessionBudget(dt.timedelta(days=7))
+    budget.total, budget.seen = State(None), State([])
+    budget.handle = types.SimpleNamespace(listTimers=lambda: iter([]), deleteTimer=lambda t: None, registerTimer=lambda t: None)
+
+    def batch(ids, watermark):
+        rows = pd.DataFrame({"LogID": ids, "tokens": 1, "token_budget": 150, "at": [i * 10 for i in ids]})
+        return next(budget.handleInputRows(("A", "S"), iter([rows]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)))
+
+    batch(list(range(100)), 0)
+    assert budget.total.value == (100, None) and len(budget.seen.value) == 100 and budget.seen.messages == 2
+    out = batch(list(range(50, 200)), 1000)  # 50 come again, those before the watermark are forgotten
+    assert out["used"][0] == 200 and out["crossed_by"][0] == 150 and sorted(i for i, _ in budget.seen.value) == list(range(100, 200))
