@@ -76,7 +76,7 @@ class DuplicateKeys(ValueError):
     """A load batch holds the same natural key more than once."""
 
 
-def _in_doubt(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+def repeated_hashes(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(_doubt): hashes that more than one row's key has, stored, and their number."""
     path = scratch_dir(df.sparkSession, "in-doubt")
     repeated = df.groupBy(F.xxhash64(key).alias("_doubt")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_doubt")
@@ -97,7 +97,7 @@ def resolve_duplicates(df: DataFrame, key: str, on_duplicate: str, order_by: lis
     """
     df = df.where(F.col(key).isNotNull())
     if on_duplicate == "keep_latest":
-        doubts, n = _in_doubt(df, key)
+        doubts, n = repeated_hashes(df, key)
         if not n:
             return df
         hashed = df.withColumn("_hash", F.xxhash64(key))

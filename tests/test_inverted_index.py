@@ -74,3 +74,32 @@ def test_empty(spark, docs, asked):
     empty = KeywordIndex(docs.limit(0), "id", ["text"], buckets=4)
     assert empty.search(asked, 3).count() == 0 and empty.search(asked).count() == 0
     assert KeywordIndex(docs, "id", ["text"], buckets=4).search(asked.limit(0), 3).count() == 0
+
+
+def test_frequent_words_do_not_become_rows(index, asked, monkeypatch):
+    """A search for the best few looks postings up for rare words only; other words are scored document by document."""
+    made, word_points = [], KeywordIndex._word_points
+    monkeypatch.setattr(KeywordIndex, "_word_points", lambda self, *a: made.append(word_points(self, *a)) or made[-1])
+    index.search(asked, 3).count()
+    assert sum(df.count() for df in made) < 300 and index.search(asked).count() > 3000
+    made.clear()
+    index.search(asked, 3, pruned=False).count()
+    assert not made
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    docs = spark.createDataFrame([("b", "cab", "x"), ("b", "ab cd", "ab"), ("b", "ab", None), ("a", "ab ab", ""), ("c", "cab", ""),
+                                  (None, "ab", "ab")], "id string, text string, source string")
+    asked = spark.createDataFrame([("q", "ab"), ("r", "cab ab ab")], "query_id string, query string")
+    index = KeywordIndex(docs, "id", ["text", "source"], buckets=4)
+    expected = {"q": [("b", 20), ("a", 5), ("c", 2)], "r": [("b", 50), ("c", 14), ("a", 10)]}
+    for found in (index.search(asked), index.search(asked, 9), index.search(asked, 9, pruned=False)):
+        assert results(found) == expected
+
+
+def test_many_blocks_of_questions_and_packs(spark, docs, asked, monkeypatch):
+    from carelake.operators import inverted_index
+    monkeypatch.setattr(inverted_index, "PACK", 50)
+    monkeypatch.setattr(inverted_index, "ASKED", 3)
+    index = KeywordIndex(docs, "id", ["text", "source"], buckets=4)
+    assert results(index.search(asked, 5)) == {q: r[:5] for q, r in results(index.search(asked)).items()}
