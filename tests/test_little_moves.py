@@ -81,3 +81,37 @@ def test_rows_known_already_are_left_out_by_their_ids(spark, tmp_path, monkeypat
     assert "LeftSemi" in plan_of(out)
     many = spark.range(20, 80).select(F.col("id").cast("string").alias("claim"))  # many known, many new
     assert index.unseen(many, "claim").count() == 39
+
+
+def test_rows_are_not_sorted_to_write_table_partitions(spark, tmp_path):
+    """A task writes the files of its years side by side: nothing to sort, so nothing to spill."""
+    from carelake.sources.tables import UNSORTED, TableStore
+    seen = []
+
+    class Plans(TableStore):
+        def _folder(self, layer, name):
+            seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+            return super()._folder(layer, name)
+
+    rows = spark.range(0, 3000, 1, 3).select((F.col("id") * 7919 % 1000).alias("v"), (1990 + F.col("id") % 50).cast("int").alias("year"))
+    before = {k: spark.conf.get(k) for k in UNSORTED}
+    out = Plans(spark, str(tmp_path)).write_table(rows, "rpt", "t", partition_by="year")
+    assert out.exceptAll(rows).isEmpty() and rows.exceptAll(out).isEmpty()
+    assert {k: spark.conf.get(k) for k in UNSORTED} == before
+
+
+@pytest.mark.parametrize("view", ["vw_ClaimsSummary", "vw_Prescriptions"])
+def test_views_and_facts_are_stored_without_a_sort(wh, spark, sf, no_broadcast, tmp_path, view, monkeypatch):
+    from carelake.plans.warehouse import Warehouse
+    from carelake.sources import testdata
+    own = Warehouse(spark, lambda e: testdata.staged(spark, sf, e), str(tmp_path), testdata.CALENDAR)
+    made, write = {}, own.store.write_table
+    monkeypatch.setattr(own.store, "write_table", lambda df, *a, **k: made.setdefault(a[1], (df, write(df, *a, **k)))[1])
+    own.view(view)
+    fact = next(n for n in made if n.startswith("Fact"))
+    for name in (view, fact):
+        lines = plan_of(made[name][0]).splitlines()
+        joins = next(i for i, x in enumerate(lines) if "Join" in x or "Scan" in x)
+        assert not any("Sort [" in x for x in lines[:joins]), name
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(made[view][1]) == rows(wh.view(view).select(*made[view][1].columns))
