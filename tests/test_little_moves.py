@@ -83,20 +83,13 @@ def test_rows_known_already_are_left_out_by_their_ids(spark, tmp_path, monkeypat
     assert index.unseen(many, "claim").count() == 39
 
 
-def test_rows_are_not_sorted_to_write_table_partitions(spark, tmp_path):
-    """A task writes the files of its years side by side: nothing to sort, so nothing to spill."""
-    from carelake.sources.tables import UNSORTED, TableStore
-    seen = []
-
-    class Plans(TableStore):
-        def _folder(self, layer, name):
-            seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
-            return super()._folder(layer, name)
-
-    rows = spark.range(0, 3000, 1, 3).select((F.col("id") * 7919 % 1000).alias("v"), (1990 + F.col("id") % 50).cast("int").alias("year"))
+def test_more_partitions_than_writers(spark, tmp_path):
+    """A task writes the files of its years side by side, and sorts what lies beyond the number of writers."""
+    from carelake.sources.tables import UNSORTED, WRITERS, TableStore
+    rows = spark.range(0, 3000, 1, 3).select(F.col("id").alias("v"), (1950 + F.col("id") % (WRITERS + 10)).cast("int").alias("year"))
     before = {k: spark.conf.get(k) for k in UNSORTED}
-    out = Plans(spark, str(tmp_path)).write_table(rows, "rpt", "t", partition_by="year")
-    assert out.exceptAll(rows).isEmpty() and rows.exceptAll(out).isEmpty()
+    out = TableStore(spark, str(tmp_path)).write_table(rows, "rpt", "t", partition_by="year")
+    assert out.count() == 3000 and out.exceptAll(rows).isEmpty()
     assert {k: spark.conf.get(k) for k in UNSORTED} == before
 
 
