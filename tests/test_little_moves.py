@@ -108,3 +108,74 @@ def test_views_and_facts_are_stored_without_a_sort(wh, spark, sf, no_broadcast,
         assert not any("Sort [" in x for x in lines[:joins]), name
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(made[view][1]) == rows(wh.view(view).select(*made[view][1].columns))
+
+
+def own_warehouse(spark, root, staging):
+    from carelake.plans.warehouse import Warehouse
+    from carelake.sources import testdata
+    return Warehouse(spark, staging, str(root), testdata.CALENDAR)
+
+
+def without_key(df, key):
+    return sorted(map(str, df.drop(key).collect()))
+
+
+@pytest.mark.parametrize("fact,key", [("FactClaims", "ClaimKey"), ("FactPrescriptions", "PrescriptionKey")])
+def test_repeated_ids_are_counted_in_the_stored_rows(wh, spark, sf, tmp_path, monkeypatch, fact, key):
+    """The batch of the given tables is a join of four of them; it is made once."""
+    from carelake.operators import facts, lookups
+    from carelake.sources import testdata
+    counted, count = [], lookups.repeated_hashes
+    monkeypatch.setattr(lookups, "repeated_hashes", lambda df, k: counted.append((k, plan_of(df))) or count(df, k))
+    monkeypatch.setattr(facts, "repeated_hashes", lookups.repeated_hashes, raising=False)
+    stored = own_warehouse(spark, tmp_path, lambda e: testdata.staged(spark, sf, e))[fact]
+    plans = [plan for k, plan in counted if k in facts.SPECS[fact][:2]]
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert without_key(stored, key) == without_key(wh[fact], key)
+
+
+def test_a_first_load_with_repeated_ids_keeps_the_latest(spark, sf, wh, tmp_path):
+    from carelake.operators.facts import LOOKUPS, load_fact
+    from carelake.schemas import empty_table
+    from carelake.sources import testdata
+
+    def staging(entity):
+        rows = testdata.staged(spark, sf, entity)
+        if entity != "claims":
+            return rows
+        again = rows.where(F.substring("claim_id", -1, 1) == "3")
+        later = again.withColumn("stg_load_date", F.lit("2024-06-03 00:00:00").cast(rows.schema["stg_load_date"].dataType))
+        other = again.withColumn("claim_status", F.lit("Zzz"))
+        return rows.unionByName(later.withColumn("claim_status", F.lit("Aaa"))).unionByName(other).unionByName(
+            other.limit(3).withColumn("claim_id", F.lit(None).cast("string")))
+
+    stored = own_warehouse(spark, tmp_path, staging)["FactClaims"]
+    dims = wh.tables(*{d for d, _, _ in LOOKUPS["FactClaims"].values()} | {"DimDate"})
+    right = load_fact("FactClaims", empty_table(spark, "FactClaims"), staging("claims"), dims, "2024-06-01 00:00:00")
+    assert without_key(stored, "ClaimKey") == without_key(right, "ClaimKey")
+    assert stored.select("ClaimKey").distinct().count() == stored.count() == wh["FactClaims"].count()
+    assert stored.where("ClaimStatus = 'Aaa'").count() > 0 == stored.where("ClaimStatus = 'Zzz'").count()
+
+
+@pytest.mark.parametrize("fact,entity,column", [("FactClaims", "claims", "WriteOffAmount"), ("FactPrescriptions", "prescriptions", "TotalCost"),
+                                                ("FactLabResults", "labs", "DeviationFromMid")])
+def test_columns_that_follow_from_others_are_not_moved(wh, spark, sf, no_broadcast, fact, entity, column):
+    from carelake.operators.facts import LOOKUPS, new_fact_rows
+    from carelake.schemas import empty_table
+    from carelake.sources import testdata
+    dims = wh.tables(*{d for d, _, _ in LOOKUPS[fact].values()} | {"DimDate"})
+    rows = new_fact_rows(fact, testdata.staged(spark, sf, entity), empty_table(spark, fact), dims, "2024-06-01 00:00:00")
+    assert column in rows.columns and column not in below(plan_of(rows), "Exchange hashpartitioning(patient_id")
+
+
+def test_unrepeated_columns_are_written_without_a_dictionary(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from carelake.sources.tables import TableStore
+    rows = spark.range(500).select(F.concat(F.lit("c"), "id").alias("ClaimID"), (F.col("id") % 3).cast("string").alias("ClaimStatus"))
+    out = TableStore(spark, str(tmp_path)).write_table(rows.coalesce(1), "rpt", "t")
+    group = pq.ParquetFile(glob.glob(f"{tmp_path}/rpt/t/*/*.parquet")[0]).metadata.row_group(0)
+    coded = {group.column(i).path_in_schema: any("DICTIONARY" in e for e in group.column(i).encodings) for i in range(2)}
+    assert coded == {"ClaimID": False, "ClaimStatus": True} and out.exceptAll(rows).isEmpty()
