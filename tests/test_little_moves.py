@@ -128,7 +128,9 @@ def test_repeated_ids_are_counted_in_the_stored_rows(wh, spark, sf, tmp_path, mo
     counted, count = [], lookups.repeated_hashes
     monkeypatch.setattr(lookups, "repeated_hashes", lambda df, k: counted.append((k, plan_of(df))) or count(df, k))
     monkeypatch.setattr(facts, "repeated_hashes", lookups.repeated_hashes, raising=False)
-    stored = own_warehouse(spark, tmp_path, lambda e: testdata.staged(spark, sf, e))[fact]
+    own = own_warehouse(spark, tmp_path, lambda e: testdata.staged(spark, sf, e))
+    own._ready.update(wh.tables(*{d for d, _, _ in facts.LOOKUPS[fact].values()} | {"DimDate"}))
+    stored = own[fact]
     plans = [plan for k, plan in counted if k in facts.SPECS[fact][:2]]
     assert len(plans) == 1 and "Join" not in plans[0]
     assert without_key(stored, key) == without_key(wh[fact], key)
@@ -138,23 +140,22 @@ def test_a_first_load_with_repeated_ids_keeps_the_latest(spark, sf, wh, tmp_path
     from carelake.operators.facts import LOOKUPS, load_fact
     from carelake.schemas import empty_table
     from carelake.sources import testdata
-
-    def staging(entity):
-        rows = testdata.staged(spark, sf, entity)
-        if entity != "claims":
-            return rows
-        again = rows.where(F.substring("claim_id", -1, 1) == "3")
-        later = again.withColumn("stg_load_date", F.lit("2024-06-03 00:00:00").cast(rows.schema["stg_load_date"].dataType))
-        other = again.withColumn("claim_status", F.lit("Zzz"))
-        return rows.unionByName(later.withColumn("claim_status", F.lit("Aaa"))).unionByName(other).unionByName(
-            other.limit(3).withColumn("claim_id", F.lit(None).cast("string")))
-
-    stored = own_warehouse(spark, tmp_path, staging)["FactClaims"]
+    batch = testdata.staged(spark, sf, "claims")
+    once = [{**r.asDict(), "claim_id": f"id-{i}"} for i, r in enumerate(batch.limit(30).collect())]
+    later = [{**r, "claim_status": "Aaa", "stg_load_date": "2024-06-03 00:00:00"} for r in once[:5]]
+    other = [{**r, "claim_status": "Zzz"} for r in once[:5]]
+    nameless = [{**r, "claim_id": None} for r in once[:3]]
+    rows = spark.createDataFrame([{**r, "stg_load_date": str(r["stg_load_date"])} for r in once + later + other + nameless],
+                                 ", ".join(f"{f.name} string" for f in batch.schema)).select(
+        *[F.col(f.name).cast(f.dataType) for f in batch.schema])
     dims = wh.tables(*{d for d, _, _ in LOOKUPS["FactClaims"].values()} | {"DimDate"})
-    right = load_fact("FactClaims", empty_table(spark, "FactClaims"), staging("claims"), dims, "2024-06-01 00:00:00")
+    own = own_warehouse(spark, tmp_path, lambda e: rows)
+    own._ready.update(dims)
+    stored = own["FactClaims"]
+    right = load_fact("FactClaims", empty_table(spark, "FactClaims"), rows, dims, "2024-06-01 00:00:00")
     assert without_key(stored, "ClaimKey") == without_key(right, "ClaimKey")
-    assert stored.select("ClaimKey").distinct().count() == stored.count() == wh["FactClaims"].count()
-    assert stored.where("ClaimStatus = 'Aaa'").count() > 0 == stored.where("ClaimStatus = 'Zzz'").count()
+    assert stored.select("ClaimKey").distinct().count() == stored.count() == 30
+    assert stored.where("ClaimStatus = 'Aaa'").count() == 5 and stored.where("ClaimStatus = 'Zzz'").count() == 0
 
 
 @pytest.mark.parametrize("fact,entity,column", [("FactClaims", "claims", "WriteOffAmount"), ("FactPrescriptions", "prescriptions", "TotalCost"),
