@@ -14,6 +14,7 @@ from carelake.operators.keys import surrogate_keys
 from carelake.operators.lookups import lookup_or_unknown, resolve_duplicates
 from carelake.schemas import SURROGATE_KEY, TABLES, conform, local_rows, table_schema
 from carelake.session import scratch_dir
+from carelake.sources.tables import MOVED_ONCE, settings
 
 DEFAULT_CALENDAR = ("2019-01-01", "2030-12-31")
 LATEST = ["stg_load_date"]
@@ -106,9 +107,10 @@ def _merge(target: DataFrame, source: DataFrame, name: str, natural_id: str, mat
     rows = old.join(new, match, "full").select(F.explode(outcome).alias("r")).select("r.*")
     path, seen = scratch_dir(spark, "merged"), Observation()
     state = F.col("_state")
-    (rows.observe(seen, F.max(key).alias("top"), F.count_if(state == "new").alias("inserted"),
-                  F.count_if(state.isin("updated", "closed")).alias("updated"))
-         .write.partitionBy("_state").parquet(path))
+    counted = rows.observe(seen, F.max(key).alias("top"), F.count_if(state == "new").alias("inserted"),
+                           F.count_if(state.isin("updated", "closed")).alias("updated"))
+    with settings(spark, MOVED_ONCE):
+        counted.write.partitionBy("_state").parquet(path)
     merged = spark.read.schema(rows.schema).parquet(path)
     fresh = merged.where(state == "new").drop("_state", key)
     counts = seen.get

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.session import scratch_dir
+from carelake.sources.tables import MOVED_ONCE, settings
 
 #: Files whose row counts are summed in one group.
 GROUP_FILES = 1024
@@ -23,7 +24,8 @@ def _position(df: DataFrame, order_by: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "ranked")
-    df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).write.parquet(path)
+    with settings(spark, MOVED_ONCE):
+        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path)
     per_file = (rows.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
                 .withColumn("_part", F.regexp_extract("_file", r"part-(\d+)", 1).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.schemas import STAGING_COLUMNS, local_rows
-from carelake.sources.tables import CODEC, append_rows
+from carelake.sources.tables import CODEC, MOVED_ONCE, append_rows, settings
 
 STATUS_SCHEMA = "entity string, batch string, status string, seq bigint"
 REJECT_SCHEMA = "entity string, batch string, source_file string, reason string, raw string"
@@ -33,7 +33,9 @@ class StagingArea:
 
     def add(self, staged: DataFrame, entity: str, batch: str) -> None:
         """Store a batch as pending; storing it again replaces it, and it will be loaded again."""
-        staged.write.mode("overwrite").options(**CODEC).parquet(f"{self.root}/{entity}/batch={batch}")
+        # the batch's own session: streams stage at the same time
+        with settings(staged.sparkSession, MOVED_ONCE):
+            staged.write.mode("overwrite").options(**CODEC).parquet(f"{self.root}/{entity}/batch={batch}")
         self._record(entity, [batch], "Pending")
 
     def reject(self, rows: DataFrame, entity: str, batch: str, reason: str) -> int:

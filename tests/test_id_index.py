@@ -123,3 +123,37 @@ def test_a_load_that_failed_after_the_append_is_made_up_for(spark, sf):
     assert etl.table("FactFinancials").count() == first
     assert facts.fact_index(spark, f"{root}/dw/_ids", "FactFinancials").size == first
     staged.unpersist()
+
+
+def test_ids_and_filters_of_a_generation_are_written_in_one_pass(spark, monkeypatch):
+    moved, gathered = [], IdIndex._gathered
+    monkeypatch.setattr(IdIndex, "_gathered", lambda self, ids: moved.append(1) or gathered(self, ids))
+    index = index_of(spark, buckets=3)
+    index.catch_up(table(spark, *[(f"k{i}", i) for i in range(1, 200)], (None, 200)))
+    assert len(moved) == 1 and index.size == 199 and index.top == 200
+    assert index._ids([1]).count() == 199 and index._filters().count() == 3
+
+
+def test_only_ids_that_may_be_known_meet_the_ids_held(spark, monkeypatch):
+    monkeypatch.setattr("carelake.operators.id_index.BROADCAST_IDS", 10)
+    index = index_of(spark, buckets=3)
+    index.catch_up(table(spark, *[(f"k{i}", i) for i in range(1, 500)]))
+    maybe, sure, held, n = index._asked(spark.range(400, 5000).selectExpr("concat('k', id) AS id"))
+    assert 100 <= n < 110 and maybe.count() == n and sure.count() == 4600 - n
+    assert maybe.join(held, "id", "left_semi").count() == 100
+    assert unseen(spark, index, "k1", *[f"k{i}" for i in range(490, 520)], None, None) == [None, None] + [f"k{i}" for i in range(500, 520)]
+
+
+def test_filters_over_steps_equal_one_over_all(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from carelake.operators import id_index
+    draw = np.random.default_rng(3).integers(-2**62, 2**62, size=(2, 5000))
+    ids = pa.table({"id": [str(i) for i in range(5000)], "bucket": pa.array([1] * 5000, pa.int32()), "h1": draw[0], "h2": draw[1]})
+    whole = id_index.bloom_filter(ids.slice(0, 2000))
+    asked = id_index.maybe_known(ids, whole)
+    monkeypatch.setattr(id_index, "STEP", 64)
+    assert id_index.bloom_filter(ids.slice(0, 2000)).equals(whole) and id_index.maybe_known(ids, whole).equals(asked)
+    told = asked.column("maybe").to_pylist()
+    assert all(told[:2000]) and sum(told[2000:]) < 10
