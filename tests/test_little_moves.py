@@ -180,3 +180,30 @@ def test_unrepeated_columns_are_written_without_a_dictionary(spark, tmp_path):
     group = pq.ParquetFile(glob.glob(f"{tmp_path}/rpt/t/*/*.parquet")[0]).metadata.row_group(0)
     coded = {group.column(i).path_in_schema: any("DICTIONARY" in e for e in group.column(i).encodings) for i in range(2)}
     assert coded == {"ClaimID": False, "ClaimStatus": True} and out.exceptAll(rows).isEmpty()
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    from carelake.operators.dimensions import sentinel_rows
+    from carelake.operators.keys import surrogate_keys
+    from carelake.sources.staging import StagingArea
+    from carelake.sources.tables import MOVED_ONCE, TableStore
+    before, kept = shuffle_files(spark), {k: spark.conf.get(k) for k in MOVED_ONCE}
+    rows = spark.range(0, 1000, 1, 3).select(F.col("id").cast("string").alias("lab_id")).repartition(5, "lab_id")
+    TableStore(spark, str(tmp_path)).write_table(rows, "rpt", "t")
+    StagingArea(spark, str(tmp_path)).add(rows, "labs", "1")
+    surrogate_keys(rows, "k", "lab_id")
+    one = sentinel_rows(spark, "DimPatient").repartition(3)
+    TableStore(spark, str(tmp_path)).write_current(one, one, "dw", "DimPatient")
+    assert shuffle_files(spark) <= before and {k: spark.conf.get(k) for k in MOVED_ONCE} == kept
+
+
+def test_a_reloaded_batch_is_made_once(spark, sf):
+    """What counts, asks about and loads the batch reads it from where it was staged."""
+    import __spark_entry__
+    files = __spark_entry__.queries()["reload_by_id_index"](spark, sf).inputFiles()
+    assert any("/stg/claims/" in f for f in files) and not any("lineitem" in f for f in files)
