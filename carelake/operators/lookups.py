@@ -73,6 +73,21 @@ def keep_latest(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
+#: Rows beyond which ``moved`` keeps a side from being broadcast, and rows of it that a task may hold in a hash table.
+BROADCAST_ROWS, HASHED_ROWS = 200_000, 500_000
+
+
+def moved(side: DataFrame, n: int) -> DataFrame:
+    """A join side of about ``n`` rows: many are joined by a shuffle, whatever their size is taken for.
+
+    Statistics of stored tables are those of compressed files, a fortieth of what the rows take up on the driver.
+    """
+    if n <= BROADCAST_ROWS:
+        return side
+    tasks = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash" if n <= tasks * HASHED_ROWS else "merge")
+
+
 class DuplicateKeys(ValueError):
     """A load batch holds the same natural key more than once."""
 

@@ -7,12 +7,12 @@ joined without a hint (see ``operators.lookups``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.predicates import current_only
 from carelake.functions.scalars import (TOTAL, age_years, cache_hit_pct, request_date, request_hour, total_tokens)
-from carelake.operators.lookups import role_playing_dates
+from carelake.operators.lookups import moved, role_playing_dates
 
 STATIC = ("DimDiagnosis", "DimProcedure", "DimDrug")
 
@@ -37,9 +37,12 @@ def _patients(t: dict[str, DataFrame], fact: DataFrame, columns: list[str], vers
         return fact.join(current.select("PatientKey", *columns), "PatientKey")
     if version != "current_by_id":
         raise ValueError(f"unknown patient_version {version!r}")
-    owner = t["DimPatient"].select("PatientKey", "PatientID")
+    # versions meet the current one first, gathered by patient id, so facts move once and no version is sent to the driver
     rest = [c for c in columns if c != "PatientID"]
-    return fact.join(owner, "PatientKey").join(current.select("PatientID", *rest), "PatientID")
+    now = F.collect_list(F.when(F.col("IsCurrent"), F.struct(*rest))).over(Window.partitionBy("PatientID"))
+    followed = (t["DimPatient"].where(F.col("PatientID").isNotNull()).select("PatientKey", "PatientID", now.alias("_now"))
+                .select("PatientKey", "PatientID", F.explode("_now").alias("_now")).select("PatientKey", "PatientID", "_now.*"))
+    return fact.join(moved(followed, t["DimPatient"].count()), "PatientKey")
 
 
 PATIENT = ["PatientID", "FullName", "Gender", "DateOfBirth", "State"]

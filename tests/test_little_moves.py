@@ -207,3 +207,22 @@ def test_a_reloaded_batch_is_made_once(spark, sf):
     import __spark_entry__
     files = __spark_entry__.queries()["reload_by_id_index"](spark, sf).inputFiles()
     assert any("/stg/claims/" in f for f in files) and not any("lineitem" in f for f in files)
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_current_versions_are_followed_by_id_without_a_broadcast(wh, spark, monkeypatch, limit):
+    """Versions with one, no and two current ones, and without an id, as by two joins; many versions are not broadcast and facts move once."""
+    from carelake.operators import lookups
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", limit, raising=False)
+    rows = [(1, "A", False), (2, "A", True), (3, "B", False), (4, "C", True), (5, "C", True), (6, "C", False), (7, None, True), (8, "D", None)]
+    patients = spark.createDataFrame([(k, i, f"n{k}", f"s{k}", now) for k, i, now in rows],
+                                     "PatientKey bigint, PatientID string, FullName string, State string, IsCurrent boolean")
+    fact = spark.range(10).select((F.col("id") % 9).alias("PatientKey"), F.col("id").alias("v"))
+    columns = ["PatientID", "FullName", "State"]
+    got = views._patients({"DimPatient": patients}, fact, columns, "current_by_id").select("v", "PatientKey", *columns)
+    current = patients.where("IsCurrent").select(*columns)
+    right = fact.join(patients.select("PatientKey", "PatientID"), "PatientKey").join(current, "PatientID").select("v", "PatientKey", *columns)
+    assert sorted(got.collect()) == sorted(right.collect()) and got.count() == 8
+    plan = plan_of(views.vw_claims_summary(wh.view_tables("vw_ClaimsSummary"), "current_by_id"))
+    assert ("ShuffledHashJoin [PatientKey" in plan) == (limit == 1)
+    assert "Join [PatientID" not in plan
